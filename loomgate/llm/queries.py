@@ -8,11 +8,12 @@ from .langid import op8_language_bigru
 from .mixing import SQL as MIX_SQL
 from .mixing import op1_mix_sources
 from .packing import op9_packing_bm25
+from .pii import op4_pii_boosted
 from .quality import op2_quality_compression
 from .simhash import op3_simhash_deletion
 from .tokens import op5_token_counts
 from .toxicity import op6_toxicity_noisy_or
 
-_ALL = (op1_mix_sources, op2_quality_compression, op3_simhash_deletion, op5_token_counts, op6_toxicity_noisy_or, op7_ann_hilbert, op8_language_bigru, op9_packing_bm25, op10_embedding_dedup)
+_ALL = (op1_mix_sources, op2_quality_compression, op3_simhash_deletion, op4_pii_boosted, op5_token_counts, op6_toxicity_noisy_or, op7_ann_hilbert, op8_language_bigru, op9_packing_bm25, op10_embedding_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op1_mix_sources": MIX_SQL}
