@@ -1 +1,5 @@
+"""Queries that bind the operators to tables of documents, orders and events, each with equal SQL where SQL can say it."""
 
+from .bindings import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
