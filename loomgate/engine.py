@@ -34,7 +34,7 @@ class Engine:
         return cls(ship(spark), {t: spark.read.schema(s).parquet(f"{root}/{t}") for t, s in SCHEMAS.items()}, **more)
 
     def _now(self):
-        return F.lit(self.now or datetime.utcnow()).cast("timestamp")
+        return F.lit(self.now).cast("timestamp") if self.now else F.current_timestamp()
 
     def _gate(self, tool: str, identity: govern.Identity, requested=None) -> dict:
         g = govern.gate(self.tables["board"], identity, requested)

@@ -42,7 +42,7 @@ def in_band(value, low: str = "amount_min", high: str = "amount_max") -> Column:
 def recency(raw: Column, posted: Column, now: Column, weight: float = RECENCY_WEIGHT, half: float = HALF_LIFE_DAYS, clamp: bool = True) -> Column:
     """raw * (1 + weight / (1 + age / half)); no date adds nothing. clamp counts future dates as today."""
     age = age_days(now, posted)
-    age = F.greatest(age, F.lit(0.0)) if clamp else age
+    age = F.when(age < 0, 0.0).otherwise(age) if clamp else age  # greatest() would take a missing date for today
     return raw * (1.0 + weight * F.coalesce(1.0 / (1.0 + age / half), F.lit(0.0)))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -120,7 +119,7 @@ def rerank(hits: DataFrame, client=None, key: str = "query_id", query: str = "qu
     """
     shown = hits.withColumn("__text", candidate_text(F.col("posted_at"), redact(F.col("body"))))
 
-    def one(table: pa.Table, client=client) -> pa.Table:
+    def one(table: pa.Table) -> pa.Table:
         t = table.sort_by("position")
         n, reason, order = t.num_rows, "no_client", None
         if client is not None:
@@ -136,8 +135,8 @@ def rerank(hits: DataFrame, client=None, key: str = "query_id", query: str = "qu
 
     from pyspark.sql.types import StructType
 
-    schema = StructType(shown.schema.fields).add("rank", "int").add("reranked", "boolean").add("rerank_reason", "string")
-    return shown.groupBy(key).applyInArrow(partial(one), schema).drop("__text")
+    schema = StructType(list(shown.schema.fields)).add("rank", "integer").add("reranked", "boolean").add("rerank_reason", "string")
+    return shown.groupBy(key).applyInArrow(one, schema).drop("__text")
 
 
 def source_meta(hits: DataFrame, posts: DataFrame, boards: DataFrame, regulations: DataFrame, attachments: DataFrame, base_url: str, proxy_url: str | None = None) -> DataFrame:

@@ -76,7 +76,7 @@ def _tf(*terms):
     return " + ".join(_COUNT.format(t=t, n=len(t)) for t in terms)
 
 
-_RECENT = f"(1.0 + 0.8 * coalesce(1.0 / (1.0 + greatest(epoch({NOW} - posted_at)::DOUBLE / 86400.0, 0.0) / 90.0), 0.0))"
+_RECENT = f"(1.0 + 0.8 * coalesce(1.0 / (1.0 + CASE WHEN posted_at > {NOW} THEN 0.0 ELSE epoch({NOW} - posted_at)::DOUBLE / 86400.0 END / 90.0), 0.0))"
 
 
 def _search_sql(where: str, terms: tuple, more: str = "is_current", limit: int = 30) -> str:

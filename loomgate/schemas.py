@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DateType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampType
 
 # The columns of the tables, in Spark DDL.
 DDL = {
@@ -28,7 +28,9 @@ DDL = {
     "query_log": "query_log_id bigint, query_text string, normalized_query string, user_role string, user_email_hash string, asked_at timestamp, result_count int, zero_result boolean, abstained boolean, validator_passed boolean, retrieval_strategy string, reranked boolean, returned_canonical_ids array<string>, answer_citation_ids array<string>, top_score float, latency_ms int, feedback string, feedback_note string, session_id string",
     "acl_audit": "acl_audit_id bigint, occurred_at timestamp, tool_name string, user_role string, user_email_hash string, identity_present boolean, decision string, requested_board_ids array<int>, allowed_board_ids array<int>, denied_board_ids array<int>, reason string, session_id string",
 }
-SCHEMAS = {name: StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+_TYPES = {"int": IntegerType(), "bigint": LongType(), "smallint": ShortType(), "string": StringType(), "boolean": BooleanType(), "timestamp": TimestampType(), "date": DateType(), "float": FloatType(), "array<string>": ArrayType(StringType()), "array<int>": ArrayType(IntegerType())}
+#: Parsed here, as Spark's own parser needs a running session.
+SCHEMAS = {name: StructType([StructField(c.split(" ")[0], _TYPES[c.split(" ")[1]]) for c in ddl.split(", ")]) for name, ddl in DDL.items()}
 
 
 def empty(spark, table: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import file_kind
 
@@ -119,10 +120,6 @@ def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None, lo
     plug = {"excel": excel_text} | (extractors or {})
     arrow = pa.struct([("text", pa.string()), ("status", pa.string()), ("method", pa.string()), ("pages", pa.list_(pa.struct([("page_no", pa.int32()), ("text", pa.string())])))])
 
-    from collections.abc import Iterator
-
-    from pyspark.sql.functions import arrow_udf
-
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for names, contents, kinds in batches:
             out = []
