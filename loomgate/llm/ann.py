@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import materialize, read
 from .vectors import matrix, sample, unit, usable
 
@@ -104,7 +105,7 @@ def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, dims:
     from pyspark import TaskContext
 
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(usable("embedding") & F.col("vec_id").isNotNull()).distinct()
-    spark = vectors.sparkSession
+    spark = ship(vectors.sparkSession)
     answer = "query_id long, rank int, vec_id long, score double"
     x = sample(good)
     if not len(x):

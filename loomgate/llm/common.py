@@ -52,6 +52,7 @@ def scored(fn_factory: Callable[[], Callable[[list], dict]], schema: str, *cols:
     """
     from pyspark.sql.types import StructType
 
+    ship(SparkSession.active())
     names = StructType.fromDDL(schema).fieldNames()
 
     def arrays(fn, columns):
@@ -93,35 +94,42 @@ def py_crc_mod(value, mod: int) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % mod
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_mod: int, held_is: int, per_class: int) -> list[tuple[str, int]]:
-    """(text, label) of at most per_class rows of each class 0 and 1: those with the smallest hash of doc_id.
+def smallest_hashes(rows: DataFrame, per_class: int) -> DataFrame:
+    """rows: id, y. Of each class y at most per_class distinct ids, those with the smallest hash.
 
-    Rows held out (crc32(doc_id) mod held_mod = held_is), null texts and null labels are never taken. The bound is what
-    limits the driver's share; ids are chosen on the narrow labels table, then looked up through a broadcast of at most
-    2 * per_class ids. Ties are repeated rows of one document.
+    Classes are counted first (a row each comes to the driver, as the model needs them there anyway); then only about
+    twice as many rows as wanted pass on, so a hot class is no larger in its task than any other.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        labels.select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("y"))
-        .filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (crc_mod("id", held_mod) != held_is))
-        .distinct()
-        .withColumn("n", F.row_number().over(w))
-        .filter(F.col("n") <= per_class)
-        .drop("n")
-    )
-    rows = (
-        docs.select(F.col("doc_id").alias("id"), "text")
-        .filter(F.col("text").isNotNull())
-        .join(F.broadcast(chosen), "id")
-        .groupBy("id", "y")
-        .agg(F.min("text").alias("text"))
-        .collect()
-    )
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n:
+        return rows.limit(0)
+    share = F.create_map(*(F.lit(x) for y, k in n.items() for x in (y, min(1.0, (2 * per_class + 50) / k))))
+    u = F.pmod(F.xxhash64("id"), F.lit(1 << 31))
+    few = rows.filter(u < F.element_at(share, F.col("y")) * float(1 << 31)).distinct()
+    w = Window.partitionBy("y").orderBy(u, "id")
+    return few.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_class).select("id", "y")
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> list:
+    """(text, y) of the chosen ids, in order of id, through a broadcast of them; of repeated rows the smallest text."""
+    rows = docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).collect()
     return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.id, r.y))]
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_mod: int, held_is: int, per_class: int) -> list[tuple[str, int]]:
+    """(text, label) of at most per_class rows of each class 0 and 1: those with the smallest hash of doc_id.
+
+    Rows held out (crc32(doc_id) mod held_mod = held_is), null texts and null labels are never taken. The bound limits
+    the driver's share and the broadcast of ids.
+    """
+    rows = labels.select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias("y"))
+    rows = rows.filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (crc_mod("id", held_mod) != held_is))
+    return texts_of(docs, smallest_hashes(rows, per_class))
+
+
 class Logistic:
     """Ridge-penalised logistic regression on standardised features, by Newton's method."""
 

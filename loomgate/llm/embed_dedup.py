@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import materialize, read
 from .components import components
 from .vectors import matrix, sample, unit, usable
@@ -147,6 +148,7 @@ def _tiles(distinct: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vectors: vec_id, embedding, label. One row per row: vec_id, n_links, component_id, kept."""
+    ship(vectors.sparkSession)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     good = usable("embedding") & F.col("label").isNotNull()
     parts = v.filter(good)

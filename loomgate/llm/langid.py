@@ -15,10 +15,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, read, scored, with_struct
+from .common import crc_mod, read, scored, smallest_hashes, texts_of, with_struct
 
 HELD_MOD, HELD_IS = 3, 1
 PER_LANG = 400
@@ -204,17 +204,9 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
-    w = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = (
-        docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("y"))
-        .filter(F.col("y").isNotNull() & F.col("id").isNotNull() & (crc_mod("id", HELD_MOD) != HELD_IS))
-        .withColumn("n", F.row_number().over(w))
-        .filter(F.col("n") <= per_lang)
-        .select("id", "y")
-        .distinct()
-    )
-    rows = docs.select(F.col("doc_id").alias("id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
-    return LanguageModel([(r.text, r.y) for r in sorted(rows, key=lambda r: (r.id, r.y))])
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("y"))
+    rows = rows.filter(F.col("y").isNotNull() & F.col("id").isNotNull() & (crc_mod("id", HELD_MOD) != HELD_IS))
+    return LanguageModel(texts_of(docs, smallest_hashes(rows, per_lang)))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

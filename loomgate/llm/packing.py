@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ship
 from .common import read
 from .tokens import Encoder, load, tokenizer_path
 
@@ -146,7 +147,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, separat
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Reads doc_id and text only."""
     from pyspark import TaskContext
 
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     spec = spark.sparkContext.broadcast(load(path or tokenizer_path("byte_bpe_50k.json")))
     end = np.array([separator], "<u4").tobytes()
     field = docs.schema["doc_id"]

@@ -9,6 +9,11 @@ distance and keeps a pair under its first key only. Exact copies are one fingerp
 Distinct fingerprints that share a variant are few (31 of 64 bits agree) unless they are near copies, of which the
 radius allows any fingerprint 2,080 at most; there is no cap on buckets.
 
+The pipeline's stage uses the same index on fingerprints of single words at 3 bits, which need no more keys, only to
+find candidates (word bags differ by fewer bits than longer shingles do), and verifies them by a fingerprint of WIDE
+bits over 5-word shingles, whose distance estimates a similarity of 0.8 within about 0.05. In groups of one bag
+fingerprint, texts are compared with the first of them, so groups of near copies give no more links than texts.
+
 Null texts have no words: fingerprint zero, linked like any other. Fewer words than a shingle make one shingle of all.
 Repeated rows give a row each. An empty table gives no rows.
 """
@@ -23,30 +28,45 @@ from .common import materialize, read, scored
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
-#: For the pipeline's stage, as usual for word shingles there.
-STAGE_SHINGLE = 5
+#: Of the pipeline's stage: words of a shingle, least Jaccard similarity, bits that bags may differ in, and bits that estimate it.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BITS, WIDE = 5, 0.8, 3, 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Unsigned 64 bits."""
-    from xxhash import xxh64_intdigest
-
+def _shingles(text: str | None, size: int):
+    """(lower-cased words joined by spaces, starts, ends) of the shingles; no words, no shingles."""
     words = (text or "").encode("utf-8").translate(_LOWER).split()  # bytes are split at ASCII white space only
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return b"", [], []
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - size + 1)
     last = ends[size - 1 :] if len(words) >= size else ends[-1:]
-    counts = np.zeros(64, np.int64)
-    starts, last = starts[:n].tolist(), last.tolist()
-    for a in range(0, n, 65536):  # bounded memory for very long texts
-        h = np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts[a : a + 65536], last[a : a + 65536])], "<u8")
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.int32 if len(h) > 255 else np.int16)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return b" ".join(words), starts[:n].tolist(), last.tolist()
+
+
+def fingerprint(text: str | None, size: int = SHINGLE, bits: int = 64, distinct: bool = False) -> int:
+    """Unsigned, of so many bits: 64 from the hashes themselves, more from hashes remixed. Repeated shingles count, or once if distinct."""
+    from xxhash import xxh64_intdigest
+
+    joined, starts, last = _shingles(text, size)
+    if not starts:
+        return 0
+    hashes = np.fromiter((xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, last)), "<u8", len(starts))
+    if distinct:
+        hashes = np.unique(hashes)
+    counts = np.zeros(bits, np.int64)
+    for a in range(0, len(hashes), 32768):  # a bit is a byte for a while: bounded memory for very long texts
+        h = hashes[a : a + 32768]
+        for k in range(bits // 64):
+            if k:
+                m = (h ^ (h >> np.uint64(29 + k))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+                m ^= m >> np.uint64(32)
+            else:
+                m = h
+            ones = np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[64 * k : 64 * k + 64] += np.add.reduce(ones, axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -64,8 +84,10 @@ def _segment(x, s: int):
     return F.shiftrightunsigned(x, 32) if s else x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """distinct: fp. All pairs a < b at 1 or 2 differing bits, once each."""
+def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """distinct: fp. All pairs a < b at 1 to bits (3 at most) differing bits, once each."""
+    if not 1 <= bits <= 3:
+        raise ValueError("two segments and one deletion find 3 differing bits at most")
     keys = []
     for s in (0, 1):
         part = _segment(F.col("fp"), s)
@@ -80,7 +102,7 @@ def links(distinct: DataFrame) -> DataFrame:
     bit = F.when(first, low).otherwise(high)
     at = F.when(bit == 0, 0).otherwise(F.bit_count(bit - 1)).cast("long")
     stands = F.shiftrightunsigned(F.col("key"), 32) == F.when(first, at).otherwise(at + 32)
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= BITS) & stands).select("a", "b")
+    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits) & stands).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id") -> DataFrame:
@@ -99,10 +121,49 @@ def op3_simhash_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE) -> DataFrame:
-    """The documents of which doc_id is the smallest of its class; their columns are those of docs. Of rows that repeat a doc_id one stays."""
-    found = near_duplicates(docs, size).select("doc_id", "component_id")
-    chosen = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct())
-    own = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return own.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
+def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """doc_ids that are not the first of their group: exact copies (in lower case, by words), and near copies."""
+    from xxhash import xxh3_128_digest
+
+    wide = WIDE // 64
+    most = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * WIDE)  # the angle of two sets of that similarity
+
+    def make():
+        def run(texts):
+            import pyarrow as pa
+
+            wides = [fingerprint(t, size, WIDE, distinct=True) for t in texts]
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            out = {"digest": pa.array([xxh3_128_digest(_shingles(t, 1)[0]) for t in texts], pa.binary()), "fp": signed([fingerprint(t, 1) for t in texts])}
+            return out | {f"w{k}": signed([x >> 64 * k & (1 << 64) - 1 for x in wides]) for k in range(wide)}
+
+        return run
+
+    names = ["digest", "fp", *(f"w{k}" for k in range(wide))]
+    found = materialize(docs.select("doc_id", scored(make, "digest binary, fp long, " + ", ".join(f"w{k} long" for k in range(wide)), F.col("text")).alias("s")).select("doc_id", *(f"s.{n}" for n in names)))
+    texts = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.min(n).alias(n) for n in names[1:])))
+    sign = F.array(*(f"w{k}" for k in range(wide))).alias("sign")
+    first = materialize(texts.filter("id is not null").groupBy("fp").agg(F.min(F.struct("id", sign)).alias("f")).select("fp", F.col("f.id").alias("first"), F.col("f.sign").alias("first_sign")))
+    near = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= most
+    own = texts.select("fp", "id", sign).join(first, "fp").filter((F.col("id") != F.col("first")) & near(F.col("sign"), F.col("first_sign")))
+    pairs = materialize(links(first.select("fp"), STAGE_BITS))
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_id"), F.col("first_sign").alias(f"{c}_sign"))
+    across = pairs.join(side("a"), "a").join(side("b"), "b").filter(near(F.col("a_sign"), F.col("b_sign")))
+    edges = own.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(across.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    joined = materialize(components(materialize(edges)))
+    least = materialize(joined.groupBy("component").agg(F.min("node").alias("least")))
+    near_ids = joined.join(least, "component").filter(F.col("node") != F.col("least")).select(F.col("node").alias("doc_id"))
+    copies = found.join(texts.select("digest", "id"), "digest").filter(F.col("doc_id") != F.col("id")).select("doc_id")
+    return near_ids.unionByName(copies).distinct()
+
+
+def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """docs without near copies: of each group the row with the smallest doc_id stays, with the columns of docs.
+
+    Of rows that repeat a doc_id one stays; a row without doc_id stays if no row with one has its text (and one of
+    those that repeat each other).
+    """
+    gone = materialize(near_copies(docs, size, similarity)).select(F.col("doc_id").alias("__gone"))
+    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    once = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), "text")
+    return kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
