@@ -49,12 +49,16 @@ class BiGRU:
         self.p["O"] = (rng.normal(size=(2 * hidden, classes)) * 0.3).astype(f)
         self.p["o"] = np.zeros(classes, f)
 
-    def _run(self, x: np.ndarray, d: str, keep: bool):
-        """x: (T, N) bytes. States (T, N, H) after each step, in the order of x; with keep also what backward needs."""
+    def _run(self, x: np.ndarray, d: str, keep: bool, valid: np.ndarray | None = None):
+        """x: (T, N) bytes. States (T, N, H) after each step, in the order of x; with keep also what backward needs.
+
+        valid: bytes of each window that are text; the padding after them leaves no state.
+        """
         T, N = x.shape
         H, W, U = self.H, self.p["W" + d], self.p["U" + d]
         out = np.empty((T, N, H), np.float32)
         h, tape = np.zeros((N, H), np.float32), []
+        short = np.flatnonzero(valid < T) if valid is not None else ()
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
             a, g = W[x[t]], h @ U
             zr = _sigmoid(a[:, : 2 * H] + g[:, : 2 * H])
@@ -67,13 +71,15 @@ class BiGRU:
             new += n
             if keep:
                 tape.append((t, h, z, r, n, g[:, 2 * H :]))
+            if len(short):
+                new[short[valid[short] <= t]] = 0
             out[t] = h = new
         return out, tape
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
+    def positions(self, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
         """(T, N, C) probabilities of every byte."""
-        logits = self._run(x, "f", False)[0] @ self.p["O"][: self.H]
-        logits += self._run(x, "b", False)[0] @ self.p["O"][self.H :]
+        logits = self._run(x, "f", False, valid)[0] @ self.p["O"][: self.H]
+        logits += self._run(x, "b", False, valid)[0] @ self.p["O"][self.H :]
         logits += self.p["o"]
         logits -= logits.max(-1, keepdims=True)
         np.exp(logits, out=logits)
@@ -147,7 +153,7 @@ class LanguageModel:
             raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
             if not len(raw):
                 continue
-            raw = np.pad(raw, (0, max(0, window - len(raw))), constant_values=32)
+            raw = np.resize(raw, max(window, len(raw)))  # a short text repeats
             for at in rng.integers(0, len(raw) - window + 1, min(24, 1 + len(raw) // window)):
                 xs.append(raw[at : at + window])
                 ys.append(self.langs.index(lang))
@@ -175,8 +181,8 @@ class LanguageModel:
             x = np.concatenate(queue)
             who, n = np.concatenate(owner), np.concatenate(valid)
             for a in range(0, len(x), self.PASS):
-                p = self.net.positions(np.ascontiguousarray(x[a : a + self.PASS].T))
                 k = n[a : a + self.PASS]
+                p = self.net.positions(np.ascontiguousarray(x[a : a + self.PASS].T), k)
                 short = np.flatnonzero(k < T)
                 for j in short:
                     p[k[j] :, j] = 0
@@ -199,7 +205,7 @@ class LanguageModel:
         flush()
         for i in use:
             p = total[i] / total[i].sum()
-            found[i], score[i] = self.langs[int(p.argmax())], min(1.0, float(p.max()))
+            found[i], score[i] = self.langs[int(p.argmax())], min(1.0, round(float(p.max()), 6))  # beyond that, batches differ
         return found, score
 
 

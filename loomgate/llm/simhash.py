@@ -9,10 +9,11 @@ distance and keeps a pair under its first key only. Exact copies are one fingerp
 Distinct fingerprints that share a variant are few (31 of 64 bits agree) unless they are near copies, of which the
 radius allows any fingerprint 2,080 at most; there is no cap on buckets.
 
-The pipeline's stage uses the same index on fingerprints of single words at 3 bits, which need no more keys, only to
-find candidates (word bags differ by fewer bits than longer shingles do), and verifies them by a fingerprint of WIDE
-bits over 5-word shingles, whose distance estimates a similarity of 0.8 within about 0.05. In groups of one bag
-fingerprint, texts are compared with the first of them, so groups of near copies give no more links than texts.
+The pipeline's stage asks for less equal texts: similarity 0.8 of 5-word shingles is about 10 of 64 bits, which no
+index of this kind reaches. It indexes a fingerprint of BAG bits over each text's distinct single words, which near
+copies change little: candidates agree in one of its segments but for one bit. A fingerprint of WIDE bits over the
+5-word shingles then verifies them; its distance estimates their similarity within about 0.05. Texts with equal bags
+are compared with the first of them, so groups of near copies give no more links than texts.
 
 Null texts have no words: fingerprint zero, linked like any other. Fewer words than a shingle make one shingle of all.
 Repeated rows give a row each. An empty table gives no rows.
@@ -28,8 +29,8 @@ from .common import materialize, read, scored
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
-#: Of the pipeline's stage: words of a shingle, least Jaccard similarity, bits that bags may differ in, and bits that estimate it.
-STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BITS, WIDE = 5, 0.8, 3, 256
+#: Of the pipeline's stage: words of a shingle, least Jaccard similarity, bits that find candidates and bits that verify them.
+STAGE_SHINGLE, STAGE_SIMILARITY, BAG, WIDE = 5, 0.8, 128, 256
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -80,29 +81,37 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return with_struct(docs, scored(make, "fp long", F.col("text")), ["fp"])
 
 
-def _segment(x, s: int):
-    return F.shiftrightunsigned(x, 32) if s else x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+def pairs(distinct: DataFrame, words: list[str], ident: str | None = None) -> DataFrame:
+    """Pairs a < b of distinct fingerprints, given as 64-bit words, that have a segment of 32 bits with one differing bit at most.
+
+    Each pair comes once: from its first such segment, and from the variant without the differing bit there (or without
+    bit 0 if all agree). bits is the number of all differing bits. a and b are values of ident, or of the only word.
+    """
+    parts = [(w, s) for w in words for s in (0, 1)]
+    cut = lambda x, s: F.shiftrightunsigned(x, 32) if s else x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    # a key: the segment with bit i cleared, i, and which segment it is
+    keys = [cut(F.col(w), s).bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i)).cast("long")).bitwiseOR(F.lit(i << 32 | k << 37).cast("long")) for k, (w, s) in enumerate(parts) for i in range(32)]
+    own = [ident] if ident else []
+    index = distinct.select(*own, *words, F.explode(F.array(*keys)).alias("key"))
+    side = lambda n: index.select("key", *(F.col(c).alias(f"{n}_{c}") for c in own + words))
+    differ = {w: F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}")) for w in words}
+    segments = [cut(differ[w], s) for w, s in parts]
+    which, bit = F.lit(-1), F.lit(0).cast("long")
+    for k, x in reversed(list(enumerate(segments))):
+        which, bit = F.when(F.bit_count(x) <= 1, k).otherwise(which), F.when(F.bit_count(x) <= 1, x).otherwise(bit)
+    at = F.when(bit == 0, 0).otherwise(F.bit_count(bit - 1))
+    first = F.shiftrightunsigned(F.col("key"), 32) == (at + 32 * which).cast("long")
+    bits = sum((F.bit_count(x) for x in differ.values()), F.lit(0))
+    name = ident or words[0]
+    both = side("a").join(side("b"), "key").filter((F.col(f"a_{name}") < F.col(f"b_{name}")) & first)
+    return both.select(F.col(f"a_{name}").alias("a"), F.col(f"b_{name}").alias("b"), bits.alias("bits"))
 
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """distinct: fp. All pairs a < b at 1 to bits (3 at most) differing bits, once each."""
     if not 1 <= bits <= 3:
         raise ValueError("two segments and one deletion find 3 differing bits at most")
-    keys = []
-    for s in (0, 1):
-        part = _segment(F.col("fp"), s)
-        # the segment with bit i deleted (cleared), i, and which segment: 32 + 5 + 1 bits
-        keys += [part.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i)).cast("long")).bitwiseOR(F.lit(i << 32 | s << 37).cast("long")) for i in range(32)]
-    index = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
-    a, b = index.select("key", F.col("fp").alias("a")), index.select("key", F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    low, high = _segment(differ, 0), _segment(differ, 1)
-    first = F.bit_count(low) <= 1  # the low segment is the one to match on, else the high one
-    # the one key that stands for the pair: the deleted bit is the differing one, or bit 0 where none differs
-    bit = F.when(first, low).otherwise(high)
-    at = F.when(bit == 0, 0).otherwise(F.bit_count(bit - 1)).cast("long")
-    stands = F.shiftrightunsigned(F.col("key"), 32) == F.when(first, at).otherwise(at + 32)
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits) & stands).select("a", "b")
+    return pairs(distinct.select("fp"), ["fp"]).filter(F.col("bits") <= bits).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id") -> DataFrame:
@@ -125,31 +134,33 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
     """doc_ids that are not the first of their group: exact copies (in lower case, by words), and near copies."""
     from xxhash import xxh3_128_digest
 
-    wide = WIDE // 64
     most = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * WIDE)  # the angle of two sets of that similarity
+    bag, wide = [f"b{k}" for k in range(BAG // 64)], [f"w{k}" for k in range(WIDE // 64)]
 
     def make():
         def run(texts):
             import pyarrow as pa
 
-            wides = [fingerprint(t, size, WIDE, distinct=True) for t in texts]
-            signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            out = {"digest": pa.array([xxh3_128_digest(_shingles(t, 1)[0]) for t in texts], pa.binary()), "fp": signed([fingerprint(t, 1) for t in texts])}
-            return out | {f"w{k}": signed([x >> 64 * k & (1 << 64) - 1 for x in wides]) for k in range(wide)}
+            def words(values, names):
+                return {n: np.array([x >> 64 * k & (1 << 64) - 1 for x in values], np.uint64).view(np.int64) for k, n in enumerate(names)}
+
+            out = {"digest": pa.array([xxh3_128_digest(_shingles(t, 1)[0]) for t in texts], pa.binary())}
+            out |= words([fingerprint(t, 1, BAG, distinct=True) for t in texts], bag)
+            return out | words([fingerprint(t, size, WIDE, distinct=True) for t in texts], wide)
 
         return run
 
-    names = ["digest", "fp", *(f"w{k}" for k in range(wide))]
-    found = materialize(docs.select("doc_id", scored(make, "digest binary, fp long, " + ", ".join(f"w{k} long" for k in range(wide)), F.col("text")).alias("s")).select("doc_id", *(f"s.{n}" for n in names)))
-    texts = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.min(n).alias(n) for n in names[1:])))
-    sign = F.array(*(f"w{k}" for k in range(wide))).alias("sign")
-    first = materialize(texts.filter("id is not null").groupBy("fp").agg(F.min(F.struct("id", sign)).alias("f")).select("fp", F.col("f.id").alias("first"), F.col("f.sign").alias("first_sign")))
+    found = scored(make, "digest binary, " + ", ".join(f"{n} long" for n in bag + wide), F.col("text")).alias("s")
+    found = materialize(docs.select("doc_id", found).select("doc_id", "s.*"))
+    texts = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.min(n).alias(n) for n in bag + wide)))
+    sign = F.array(*wide).alias("sign")
+    first = materialize(texts.filter("id is not null").groupBy(*bag).agg(F.min(F.struct("id", sign)).alias("f")).select(*bag, F.col("f.id").alias("first"), F.col("f.sign").alias("first_sign")))
     near = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= most
-    own = texts.select("fp", "id", sign).join(first, "fp").filter((F.col("id") != F.col("first")) & near(F.col("sign"), F.col("first_sign")))
-    pairs = materialize(links(first.select("fp"), STAGE_BITS))
-    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_id"), F.col("first_sign").alias(f"{c}_sign"))
-    across = pairs.join(side("a"), "a").join(side("b"), "b").filter(near(F.col("a_sign"), F.col("b_sign")))
-    edges = own.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(across.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    own = texts.select(*bag, "id", sign).join(first, bag).filter((F.col("id") != F.col("first")) & near(F.col("sign"), F.col("first_sign")))
+    across = materialize(pairs(first.select("first", *bag), bag, "first").select("a", "b"))
+    side = lambda c: first.select(F.col("first").alias(c), F.col("first_sign").alias(f"{c}_sign"))
+    across = across.join(side("a"), "a").join(side("b"), "b").filter(near(F.col("a_sign"), F.col("b_sign")))
+    edges = own.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(across.select("a", "b"))
     joined = materialize(components(materialize(edges)))
     least = materialize(joined.groupBy("component").agg(F.min("node").alias("least")))
     near_ids = joined.join(least, "component").filter(F.col("node") != F.col("least")).select(F.col("node").alias("doc_id"))

@@ -12,6 +12,7 @@ labels the score is 0.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -96,7 +97,7 @@ class SentenceModel:
 
     def sentence(self, ws: set[str]) -> float:
         known = self.__dict__.setdefault("_known", {})
-        total = self.bias
+        parts = [self.bias]
         for w in ws:
             x = known.get(w)
             if x is None:
@@ -105,8 +106,8 @@ class SentenceModel:
                     if len(known) >= self.REMEMBERED:
                         known.clear()
                     known[w] = x
-            total += x
-        return total
+            parts.append(x)
+        return math.fsum(parts)  # in whatever order the set gives them
 
     def logits(self, text: str) -> list[float]:
         """One per sentence with words."""
