@@ -54,12 +54,16 @@ def normal(c: Column) -> Column:
     return F.lower(collapse(c))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(gram, chunk_id, tf): Latin and digit runs whole, other runs in pairs. Partition or bucket it by gram when written."""
-    runs = chunks.select("chunk_id", F.explode(F.regexp_extract_all(normal(F.col("body")), F.lit(_RUN.pattern), F.lit(0))).alias("run"))
+def index_tokens(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """(keys, gram): Latin and digit runs whole, other runs in pairs."""
+    runs = rows.select(*keys, F.explode(F.regexp_extract_all(normal(F.col(text)), F.lit(_RUN.pattern), F.lit(0))).alias("run"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - 1, F.lit(1))), lambda i: F.substring("run", i, F.lit(2)))
-    tokens = F.when(F.col("run").rlike("^[a-z0-9]"), F.array("run")).otherwise(pairs)
-    return runs.select("chunk_id", F.explode(tokens).alias("gram")).groupBy("gram", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return runs.select(*keys, F.explode(F.when(F.col("run").rlike("^[a-z0-9]"), F.array("run")).otherwise(pairs)).alias("gram"))
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(gram, chunk_id, tf). Partition or bucket it by gram when written."""
+    return index_tokens(chunks, "body", "chunk_id").groupBy("gram", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def occurrences(body: Column, term: str) -> Column:
@@ -176,7 +180,7 @@ def search_many(queries: DataFrame, chunks: DataFrame, index: DataFrame, k: int
     """queries: query_id, text. Top k chunks of each by the number of matching index tokens: one join for all queries."""
     from pyspark.sql import Window
 
-    q = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(normal(F.col("text")), F.lit(_RUN.pattern), F.lit(0)))).alias("gram"))
+    q = index_tokens(queries, "text", "query_id").distinct()
     wanted = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
     hits = q.join(index, "gram").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("matched"))
     w = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("score"), "chunk_id")

@@ -464,8 +464,9 @@ def hourly_events(spark, d):
     return windowed_counts(read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("at"), "event_type", "n")
 
 
-@query(f"""{VIEWS}, q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')), '[a-z]+|[0-9]+|[^\\sa-z0-9]+')) AS g FROM benchmark),
-t AS (SELECT item_id, unnest(g) AS gram FROM q), runs AS (SELECT post_id, unnest(regexp_extract_all({_BODY}, '[a-z]+|[0-9]+|[^\\sa-z0-9]+')) AS gram FROM post),
+@query(f"""{VIEWS}, q AS (SELECT item_id, unnest(regexp_extract_all(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ')), '[a-z]+|[0-9]+|[^\\sa-z0-9]+')) AS gram FROM benchmark),
+t AS (SELECT DISTINCT item_id, CASE WHEN regexp_matches(gram, '^[a-z0-9]') THEN gram ELSE substr(gram, CAST(i AS INTEGER), 2) END AS gram FROM q, LATERAL (SELECT unnest(range(1, CASE WHEN regexp_matches(gram, '^[a-z0-9]') THEN 2 ELSE greatest(length(gram) - 1, 1) + 1 END)) AS i)),
+runs AS (SELECT post_id, unnest(regexp_extract_all({_BODY}, '[a-z]+|[0-9]+|[^\\sa-z0-9]+')) AS gram FROM post),
 x AS (SELECT post_id, CASE WHEN regexp_matches(gram, '^[a-z0-9]') THEN gram ELSE substr(gram, CAST(i AS INTEGER), 2) END AS gram FROM runs, LATERAL (SELECT unnest(range(1, CASE WHEN regexp_matches(gram, '^[a-z0-9]') THEN 2 ELSE greatest(length(gram) - 1, 1) + 1 END)) AS i)),
 p AS (SELECT gram, post_id, count(*) AS tf FROM x GROUP BY ALL), h AS (SELECT item_id, post_id, sum(tf) AS score, count(*) AS matched FROM t JOIN p USING (gram) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY matched DESC, score DESC, post_id) AS rank FROM h)
