@@ -15,6 +15,8 @@ from pyspark.sql.functions import arrow_udf
 
 from ..runtime import ship
 
+#: Rows whose values are Python objects at a time: Arrow batches are larger, and what a worker has once used it keeps.
+SLICE = 256
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,25 +57,24 @@ def scored(fn_factory: Callable[[], Callable[[list], dict]], schema: str, *cols:
     ship(SparkSession.active())
     names = StructType.fromDDL(schema).fieldNames()
 
-    def arrays(fn, columns):
+    def part(fn, columns):
         out = fn(*(c.to_pylist() for c in columns))
         return pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)], names)
 
-    if len(cols) == 1:
-
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            fn = fn_factory()
-            for batch in batches:
-                yield arrays(fn, [batch])
+    def arrays(fn, columns):
+        n = len(columns[0])
+        parts = [part(fn, [c.slice(at, SLICE) for c in columns]) for at in range(0, max(n, 1), SLICE)]
+        return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
 
-    else:
+    single = len(cols) == 1
 
-        def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-            fn = fn_factory()
-            for batch in batches:
-                yield arrays(fn, batch)
+    def run(batches):
+        fn = fn_factory()
+        for batch in batches:
+            yield arrays(fn, [batch] if single else batch)
+            pa.default_memory_pool().release_unused()
 
-    run.__annotations__ = {"batches": Iterator[pa.Array] if len(cols) == 1 else Iterator[tuple[(pa.Array,) * len(cols)]], "return": Iterator[pa.Array]}
+    run.__annotations__ = {"batches": Iterator[pa.Array] if single else Iterator[tuple[(pa.Array,) * len(cols)]], "return": Iterator[pa.Array]}
     return arrow_udf(run, returnType=schema).asNondeterministic()(*cols)
 
 
