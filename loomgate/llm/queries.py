@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op7_ann_hilbert
+from .embed_dedup import SQL as DEDUP_SQL
 from .embed_dedup import op10_embedding_dedup
 from .langid import op8_language_bigru
 from .mixing import SQL as MIX_SQL
@@ -16,4 +17,4 @@ from .toxicity import op6_toxicity_noisy_or
 
 _ALL = (op1_mix_sources, op2_quality_compression, op3_simhash_deletion, op4_pii_boosted, op5_token_counts, op6_toxicity_noisy_or, op7_ann_hilbert, op8_language_bigru, op9_packing_bm25, op10_embedding_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_mix_sources": MIX_SQL}
+ORACLES = {"op1_mix_sources": MIX_SQL, "op10_embedding_dedup": DEDUP_SQL}
