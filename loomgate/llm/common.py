@@ -29,8 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomgate-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        sc = spark.sparkContext
+        found = getattr(sc, "_loomgate_shared", None) or "file://" + tempfile.mkdtemp(prefix="loomgate-")
+        sc._loomgate_shared = found
     return found.rstrip("/")
 
 
