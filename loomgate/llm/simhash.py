@@ -9,10 +9,12 @@ distance and keeps a pair under its first key only. Exact copies are one fingerp
 Distinct fingerprints that share a variant are few (31 of 64 bits agree) unless they are near copies, of which the
 radius allows any fingerprint 2,080 at most; there is no cap on buckets.
 
-The pipeline's stage uses the same index on fingerprints of single words at 3 bits, which need no more keys, only to
-find candidates (word bags differ by fewer bits than longer shingles do), and verifies them by a fingerprint of WIDE
-bits over 5-word shingles, whose distance estimates a similarity of 0.8 within about 0.05. In groups of one bag
-fingerprint, texts are compared with the first of them, so groups of near copies give no more links than texts.
+The pipeline's stage asks for a Jaccard similarity of STAGE_SIMILARITY of the distinct 5-word shingles, which is out of
+reach for fingerprints within 3 bits. It is an exact join of sets: shingles have one order, frequent ones last, and two
+texts that are similar enough share one of their first n - ceil(0.8 n) + 1 (prefix). Distinct texts are indexed under
+those; lengths and places rule pairs out, and every pair left is verified by its shingles. What a sample says is
+frequent only makes the buckets small: any order gives the same pairs. Buckets are compared with their first text
+first; then all other pairs of a bucket that are not in one group yet.
 
 Null texts have no words: fingerprint zero, linked like any other. Fewer words than a shingle make one shingle of all.
 Repeated rows give a row each. An empty table gives no rows.
@@ -20,6 +22,8 @@ Repeated rows give a row each. An empty table gives no rows.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,8 +32,14 @@ from .common import materialize, read, scored
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
-#: Of the pipeline's stage: words of a shingle, least Jaccard similarity, bits that bags may differ in, and bits that estimate it.
-STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_BITS, WIDE = 5, 0.8, 3, 256
+#: Of the pipeline's stage: words of a shingle and least Jaccard similarity.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Of distinct texts one in so many is sampled; shingles of that many sampled texts are frequent; the most frequent are kept.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 18
+#: Bits of the map of rows whose texts are wanted.
+PLACES = 1 << 22
+#: Odd factors of a shingle's words, by place.
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -45,27 +55,18 @@ def _shingles(text: str | None, size: int):
     return b" ".join(words), starts[:n].tolist(), last.tolist()
 
 
-def fingerprint(text: str | None, size: int = SHINGLE, bits: int = 64, distinct: bool = False) -> int:
-    """Unsigned, of so many bits: 64 from the hashes themselves, more from hashes remixed. Repeated shingles count, or once if distinct."""
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Unsigned, of 64 bits. Repeated shingles count."""
     from xxhash import xxh64_intdigest
 
     joined, starts, last = _shingles(text, size)
     if not starts:
         return 0
     hashes = np.fromiter((xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, last)), "<u8", len(starts))
-    if distinct:
-        hashes = np.unique(hashes)
-    counts = np.zeros(bits, np.int64)
+    counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 32768):  # a bit is a byte for a while: bounded memory for very long texts
-        h = hashes[a : a + 32768]
-        for k in range(bits // 64):
-            if k:
-                m = (h ^ (h >> np.uint64(29 + k))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-                m ^= m >> np.uint64(32)
-            else:
-                m = h
-            ones = np.unpackbits(m.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            counts[64 * k : 64 * k + 64] += np.add.reduce(ones, axis=0, dtype=np.int32)
+        ones = np.unpackbits(hashes[a : a + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += np.add.reduce(ones, axis=0, dtype=np.int32)
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
@@ -121,49 +122,173 @@ def op3_simhash_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def word_hashes():
+    """A bounded memory of the hashes of words."""
+    from xxhash import xxh64_intdigest
+
+    from .tokens import Remembered
+
+    return Remembered(lambda w: xxh64_intdigest(w, SEED), most=200_000)
+
+
+def shingle_set(text: str | None, size: int, of_word) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles, sorted; fewer words than size are one shingle."""
+    words = (text or "").encode("utf-8").translate(_LOWER).split()
+    n = max(1, len(words) - size + 1) if words else 0
+    x = np.fromiter(map(of_word.__getitem__, words), np.uint64, len(words))
+    h = np.zeros(n, np.uint64)
+    for k in range(min(size, len(words))):
+        h = h * np.uint64(3) + x[k : k + n] * _FACTORS[k % len(_FACTORS)]
+    h = (h ^ (h >> np.uint64(32))) * _FACTORS[0]
+    return np.unique(h ^ (h >> np.uint64(29)))
+
+
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; numbers of texts) of the shingles that are frequent in a sample. At most MOST_FREQUENT come to the driver."""
+
+    def make():
+        of_word = word_hashes()
+        return lambda texts: {"h": [shingle_set(t, size, of_word).view(np.int64) for t in texts]}
+
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    every = some.select(F.explode(scored(make, "h array<long>", F.col("text"))["h"]).alias("h"))
+    top = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+    hashes, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(h: np.ndarray, least: Fraction, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of a set of hashes the first in the common order that a set of that similarity must share one of."""
+    keys, counts = frequent
+    rank = np.zeros(len(h), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        rank = np.where(keys[at] == h, counts[at], 0)
+    return h[np.lexsort((h, rank))[: len(h) - -(-least.numerator * len(h) // least.denominator) + 1]] if len(h) else h
+
+
+def _row():
+    """Stands for a row's doc_id and text."""
+    tagged = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    return F.unhex(F.md5(F.concat(tagged(F.col("doc_id").cast("string")), tagged(F.col("text")))))
+
+
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row and text of docs, of rows whose hash is among those of wanted: all wanted ones and some more. Spares most texts a shuffle.
+
+    PLACES bits at most come to the driver; a full map lets every row pass.
+    """
+    place = F.pmod(F.xxhash64("row"), F.lit(PLACES))
+    on = np.zeros(PLACES, bool)
+    on[wanted.select(place.alias("p")).distinct().toArrow().column(0).to_numpy()] = True
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(on))
+
+    def make():
+        return lambda at: {"in": (lambda x: (bits.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool))(np.array(at, np.int64))}
+
+    rows = docs.select(_row().alias("row"), "text")
+    return rows.withColumn("s", scored(make, "in boolean", place)).filter("s.in").select("row", "text")
+
+
+def bound(n: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """How many hashes two sets can share at most; n, spread: of both, sizes and numbers by the first byte, 255 at most."""
+    rest = np.array(n) - spread.sum(-1, dtype=np.int64)
+    return spread.min(0).sum(-1, dtype=np.int64) + rest.min(0)
+
+
+def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """Those of pairs (a, b: nodes of sizes) whose texts have that similarity: none that can't by their spreads, and then by all their shingles."""
+
+    def can():
+        def run(an, a, bn, b):
+            n, spread = np.array([an, bn], np.int64), np.stack([np.frombuffer(b"".join(x), np.uint8).reshape(-1, 256) for x in (a, b)])
+            return {"can": bound(n, spread) * (least.numerator + least.denominator) >= n.sum(0) * least.numerator}
+
+        return run
+
+    def make():
+        of_word = word_hashes()
+        return lambda texts: {"h": [shingle_set(t, size, of_word).view(np.int64) for t in texts]}
+
+    side = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("spread").alias(f"{c}_spread"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("s", scored(can, "can boolean", "a_n", "a_spread", "b_n", "b_spread"))
+    pairs = materialize(pairs.filter("s.can").select("a", "b"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(nodes.join(sizes.select("node", "row"), "node"))
+    # rows that repeat a doc_id and text are one
+    sets = _among(docs, wanted).join(wanted, "row").dropDuplicates(["row"]).select("node", scored(make, "h array<long>", F.col("text"))["h"].alias("h"))
+    sets = materialize(sets)
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("h").alias(f"{c}_h"))
+    both = F.size(F.array_intersect("a_h", "b_h"))
+    enough = both * (least.numerator + least.denominator) >= (F.size("a_h") + F.size("b_h")) * least.numerator
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
+
+
 def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
-    """doc_ids that are not the first of their group: exact copies (in lower case, by words), and near copies."""
+    """doc_id and row (see _row) of what is not the first of its group: exact copies (in lower case, by words), and near copies.
+
+    The first has the smallest doc_id; null comes last.
+    """
     from xxhash import xxh3_128_digest
 
-    wide = WIDE // 64
-    most = int(np.arccos(2 * similarity / (1 + similarity)) / np.pi * WIDE)  # the angle of two sets of that similarity
+    least = Fraction(str(similarity))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
 
     def make():
-        def run(texts):
-            import pyarrow as pa
+        import pyarrow as pa
+
+        of_word = word_hashes()
 
-            wides = [fingerprint(t, size, WIDE, distinct=True) for t in texts]
-            signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            out = {"digest": pa.array([xxh3_128_digest(_shingles(t, 1)[0]) for t in texts], pa.binary()), "fp": signed([fingerprint(t, 1) for t in texts])}
-            return out | {f"w{k}": signed([x >> 64 * k & (1 << 64) - 1 for x in wides]) for k in range(wide)}
+        def run(texts):
+            sets = [shingle_set(t, size, of_word) for t in texts]
+            out = {"digest": pa.array([xxh3_128_digest(_shingles(t, 1)[0]) for t in texts], pa.binary()), "n": np.array([len(h) for h in sets], np.int32)}
+            out["spread"] = pa.array([np.minimum(np.bincount(h >> np.uint64(56), minlength=256), 255).astype(np.uint8).tobytes() for h in sets], pa.binary())
+            return out | {"keys": [prefix(h, least, frequent.value).view(np.int64) for h in sets]}
 
         return run
 
-    names = ["digest", "fp", *(f"w{k}" for k in range(wide))]
-    found = materialize(docs.select("doc_id", scored(make, "digest binary, fp long, " + ", ".join(f"w{k} long" for k in range(wide)), F.col("text")).alias("s")).select("doc_id", *(f"s.{n}" for n in names)))
-    texts = materialize(found.groupBy("digest").agg(F.min("doc_id").alias("id"), *(F.min(n).alias(n) for n in names[1:])))
-    sign = F.array(*(f"w{k}" for k in range(wide))).alias("sign")
-    first = materialize(texts.filter("id is not null").groupBy("fp").agg(F.min(F.struct("id", sign)).alias("f")).select("fp", F.col("f.id").alias("first"), F.col("f.sign").alias("first_sign")))
-    near = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= most
-    own = texts.select("fp", "id", sign).join(first, "fp").filter((F.col("id") != F.col("first")) & near(F.col("sign"), F.col("first_sign")))
-    pairs = materialize(links(first.select("fp"), STAGE_BITS))
-    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_id"), F.col("first_sign").alias(f"{c}_sign"))
-    across = pairs.join(side("a"), "a").join(side("b"), "b").filter(near(F.col("a_sign"), F.col("b_sign")))
-    edges = own.select(F.col("id").alias("a"), F.col("first").alias("b")).unionByName(across.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    joined = materialize(components(materialize(edges)))
-    least = materialize(joined.groupBy("component").agg(F.min("node").alias("least")))
-    near_ids = joined.join(least, "component").filter(F.col("node") != F.col("least")).select(F.col("node").alias("doc_id"))
-    copies = found.join(texts.select("digest", "id"), "digest").filter(F.col("doc_id") != F.col("id")).select("doc_id")
-    return near_ids.unionByName(copies).distinct()
+    found = docs.select("doc_id", _row().alias("row"), F.monotonically_increasing_id().alias("at"), scored(make, "digest binary, n int, spread binary, keys array<long>", F.col("text")).alias("s"))
+    found = materialize(found.select("doc_id", "row", "at", "s.digest", "s.n", "s.spread", "s.keys"))
+    texts = found.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")).alias("f")).select("digest", "f.*")
+    # nodes are numbers in the order of doc_id, so the first of a bucket is what its near copies were made of, if anything
+    texts = materialize(texts.orderBy("no_id", "doc_id", "digest").withColumn("node", F.monotonically_increasing_id()))
+    sizes = materialize(found.select("at", "n", "spread").join(texts.select("at", "node", "row"), "at").drop("at"))
+    index = found.select("at", "n", "keys").join(texts.select("at", "node"), "at").select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    bucket = Window.partitionBy("key")
+    index = index.withColumn("first", F.min(F.struct("node", "n", "pos")).over(bucket)).withColumn("rows", F.count(F.lit(1)).over(bucket))
+    index = materialize(index.filter("rows > 1").drop("rows"))
+
+    def may(an, ap, bn, bp):
+        """Can hold at the first key that two texts share: lengths, and what is left of both from there on."""
+        lengths = F.greatest(an, bn) * least.numerator <= F.least(an, bn) * least.denominator
+        return lengths & (F.least(an - ap, bn - bp) * (least.numerator + least.denominator) >= (an + bn) * least.numerator)
+
+    to_first = index.filter((F.col("node") != F.col("first.node")) & may(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
+    edges = _verified(materialize(to_first.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()), sizes, docs, size, least)
+    # all other pairs, but of those that are in one group already
+    groups = materialize(components(edges))
+    rest = index.filter(F.col("node") != F.col("first.node")).select("key", "node", "n", "pos").join(groups, "node", "left")
+    rest = materialize(rest.withColumn("component", F.coalesce("component", "node")))
+    side = lambda c: rest.select("key", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "pos", "component")))
+    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
+    more = side("a").join(side("b"), "key").filter(apart & may(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))
+    more = _verified(materialize(more.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()), sizes, docs, size, least)
+    groups = materialize(components(edges.unionByName(more)))
+    of = texts.join(groups, "node", "left").select("digest", "node", "row", F.coalesce("component", "node").alias("component"))
+    of = materialize(of)
+    stays = of.groupBy("component").agg(F.min(F.struct("node", "row")).alias("f")).select("component", F.col("f.row").alias("stays"))
+    stays = materialize(of.join(stays, "component").select("digest", "stays"))
+    return found.select("doc_id", "row", "digest").join(stays, "digest").filter("row <> stays").select("doc_id", "row").distinct()
 
 
 def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """docs without near copies: of each group the row with the smallest doc_id stays, with the columns of docs.
 
-    Of rows that repeat a doc_id one stays; a row without doc_id stays if no row with one has its text (and one of
-    those that repeat each other).
+    Rows are told apart by doc_id and text; of rows that repeat both one stays. A row without doc_id stays if its group
+    has none with one.
     """
-    gone = materialize(near_copies(docs, size, similarity)).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    once = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").drop("__n")
+    gone = materialize(near_copies(docs, size, similarity)).select(F.col("row").alias("__row"))
+    kept = docs.withColumn("__row", _row()).join(gone, "__row", "left_anti")
+    once = Window.partitionBy("__row").orderBy("__row")
+    return kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select([f"`{c}`" for c in docs.columns])
