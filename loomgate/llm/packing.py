@@ -57,7 +57,7 @@ class Index:
 
 
 class Packer:
-    """Packs one partition. Pieces are (doc_id, start, length, crc32, doc_tokens, sequence, offset)."""
+    """Packs one partition. Pieces are (key, start, length, ids, doc_tokens, sequence, offset), ids as bytes."""
 
     def __init__(self, window: int):
         self.window, self.sequence, self.open, self.out = window, 0, [], []
@@ -71,7 +71,7 @@ class Packer:
     def close(self) -> None:
         at = 0
         for doc_id, ids, start, length in self.open:
-            self.out.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4, self.sequence, at))
+            self.out.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4, self.sequence, at))
             at += length
         self.open = []
         self.sequence += 1
@@ -144,32 +144,39 @@ class Packer:
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, separator: int = SEPARATOR, shard_docs: int = SHARD_DOCS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Reads doc_id and text only."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row_id, ids. Reads doc_id and text only.
+
+    The ids of a sequence's pieces in the order of their offsets are the sequence. row_id (partition * 2^32 + a running
+    number) is of the row that a piece is from: it tells repeated documents apart. ids_crc32 is that of ids.
+    """
     from pyspark import TaskContext
 
     spark = ship(docs.sparkSession)
     spec = spark.sparkContext.broadcast(load(path or tokenizer_path("byte_bpe_50k.json")))
     end = np.array([separator], "<u4").tobytes()
     field = docs.schema["doc_id"]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "row_id", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         encoder, packer, base = Encoder(spec.value), Packer(window), TaskContext.get().partitionId() << 32
-        kinds = [to_arrow_type(field.dataType)] + [pa.int64()] * 6
+        kinds = [to_arrow_type(field.dataType)] + [pa.int64()] * 7
 
         def emit():
-            cols = list(zip(*packer.out)) or [()] * 7
+            of, starts, lengths, ids, totals, sequences, offsets = list(zip(*packer.out)) or [()] * 7
             packer.out = []
-            cols[5] = [base + s for s in cols[5]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            cols = [[d for d, _ in of], starts, lengths, [zlib.crc32(x) for x in ids], totals, [base + s for s in sequences], offsets, [base + n for _, n in of]]
+            ends = np.cumsum([0, *lengths]).astype(np.int32)
+            whole = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), whole], names)
 
-        keys, texts, size = [], [], 0
+        keys, texts, size, n = [], [], 0, 0
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.encode(t.as_py()) + end
-                keys.append(k)
+                keys.append((k, n))
+                n += 1
                 texts.append(ids)
                 size += len(ids) // 4
                 if len(keys) >= shard_docs or size >= shard_tokens:
@@ -181,9 +188,9 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, separat
         packer.finish()
         yield emit()
 
-    schema = f"doc_id {field.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    schema = f"doc_id {field.dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row_id long, ids array<int>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op9_packing_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(read(spark, sf_dir, "documents")).drop("row_id", "ids")
