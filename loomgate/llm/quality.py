@@ -1,12 +1,14 @@
 """Quality classifier by compression: two zstandard dictionaries, one built from good and one from bad labelled text.
 
 A text is cut into blocks of BLOCK bytes (its whole length, nothing left out); each block is compressed with either
-dictionary. The normalised difference of the two compressed sizes says which kind of text it resembles, the ratio to
-the raw size how repetitive it is; a logistic fit on rows that built no dictionary turns them into a probability.
-
-Fit on at most PER_CLASS labelled rows of each class (parameter per_class), never on held-out rows. Null and empty
-texts get the score of an empty text. Repeated rows get equal scores. Without labels of both classes the score is the
-share of label 1 (0.5 without any).
+dictionary. The normalised difference of the two compressed sizes says which kind of text it resembles, and the size
+under the good one for each byte how repetitive it is. A logistic fit on rows that built no dictionary, weighted to the
+mix of classes among all labels, turns the two into a probability.
+
+Fit on at most PER_CLASS labelled rows of each class (parameter per_class) with at most FIT_BYTES of text, never on
+held-out rows. Null and empty texts get the score of an empty text. Repeated rows get equal scores, repeated labels
+count once, contradictory ones for both classes. With fewer than LEAST rows of either class the score is the share of
+label 1 among the rows (0.5 without any). An empty table gives no rows; columns of docs with the added names are replaced.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from .common import Logistic, crc_mod, labelled_sample, read, scored, with_struc
 PER_CLASS = 3000
 HELD_MOD, HELD_IS = 5, 0
 THRESHOLD = 0.3
-BLOCK, DICT_BYTES, LEVEL = 4096, 65536, 3
+BLOCK, DICT_BYTES, LEVEL = 512, 112_640, 3
+#: Rows of a class that two dictionaries and a fit need.
+LEAST = 4
+#: Bytes of text of a class, for dictionaries and fit.
+FIT_BYTES = 16 << 20
 
 
 def _dictionary(texts: list[str]) -> bytes:
     blocks = [b[i : i + BLOCK] for b in (t.encode() for t in texts) for i in range(0, len(b), BLOCK)]
-    blocks = blocks[:: max(1, len(blocks) // 6000)]  # spread over all texts: training time stays bounded
     try:
         return zs.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, blocks)) // 8)), blocks).as_bytes()
     except zs.ZstdError:  # too few samples to train on: the text itself serves as raw dictionary
@@ -34,18 +39,20 @@ def _dictionary(texts: list[str]) -> bytes:
 
 
 class CompressionModel:
-    """Picklable; compressors are made on first use."""
+    """Picklable; compressors are made on first use. sizes: of both classes among all labels."""
 
-    def __init__(self, rows: list[tuple[str, int]]):
+    def __init__(self, rows: list[tuple[str, int]], sizes: dict[int, int] | None = None):
         self.base = float(np.mean([y for _, y in rows])) if rows else 0.5
         self.dicts, self.fit = None, None
         by = {y: [t for t, z in rows if z == y and t] for y in (0, 1)}
-        if min(map(len, by.values())) < 4:
+        if min(map(len, by.values())) < LEAST:
             return
         built = {y: max(2, int(len(t) * 0.6)) for y, t in by.items()}
         self.dicts = [_dictionary(by[y][: built[y]]) for y in (0, 1)]
         rest = [(t, y) for y in (0, 1) for t in by[y][built[y] :]]
-        self.fit = Logistic([self.features(t) for t, _ in rest], [y for _, y in rest])
+        sizes = sizes or {y: len(t) for y, t in by.items()}
+        weight = np.array([sizes.get(y, 1) / (len(by[y]) - built[y]) for _, y in rest])
+        self.fit = Logistic([self.features(t) for t, _ in rest], [y for _, y in rest], weight)
         del self._tools
 
     def _make(self):
@@ -53,17 +60,13 @@ class CompressionModel:
         return [zs.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in kinds]
 
     def features(self, text: str) -> list[float]:
+        """(bad - good) / (bad + good) of the compressed sizes, and good / bytes."""
         if not hasattr(self, "_tools"):
             self._tools = self._make()
-        bad, good = self._tools
         raw = text.encode("utf-8", "replace")
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)] or [b""]
-        b = [len(bad(x)) for x in blocks]
-        g = [len(good(x)) for x in blocks]
-        n, sb, sg = len(raw) + 16, sum(b), sum(g)
-        diff, ratio, size = (sb - sg) / (sb + sg), sg / n, np.log(n)
-        least = min((x - y) / (x + y) for x, y in zip(b, g))
-        return [diff, diff * size, ratio, ratio * ratio, size, ratio * size, abs(diff), least, size * size]
+        bad, good = (sum(len(tool(x)) for x in blocks) for tool in self._tools)
+        return [(bad - good) / (bad + good), good / (len(raw) + 16)]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.fit is None:
@@ -72,9 +75,9 @@ class CompressionModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> CompressionModel:
-    rows = labelled_sample(docs, labels, "quality", HELD_MOD, HELD_IS, per_class)
+    rows, sizes = labelled_sample(docs, labels, "quality", HELD_MOD, HELD_IS, per_class, FIT_BYTES)
     rng = np.random.default_rng(7)
-    return CompressionModel([rows[i] for i in rng.permutation(len(rows))])
+    return CompressionModel([rows[i] for i in rng.permutation(len(rows))], sizes)
 
 
 def classify(docs: DataFrame, model: CompressionModel, threshold: float = THRESHOLD) -> DataFrame:
