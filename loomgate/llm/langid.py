@@ -5,15 +5,17 @@ each window is one sequence of the network, in both directions. Every byte gets
 languages, and a document's distribution is the mean over all its bytes. Trained in numpy by backpropagation through
 time over WINDOW steps, with Adam.
 
-Learns from at most PER_LANG documents of each lang value (parameter), those with the smallest hash of doc_id among
-the rows not held out; windows are drawn from all over their texts. A null text, or one without any letter, is `und`
-with score 0, an empty one too. Without any training row every text is `und`. Repeated rows get equal predictions.
+Inference is made of elementwise steps only, so a text gets the very same numbers in whatever batch it comes.
+
+Learns from at most PER_LANG documents of each lang value with at most FIT_BYTES of text, and from the FIT_CLASSES
+commonest values (parameters): documents with the smallest hash of doc_id among the rows not held out. Training windows
+are drawn from anywhere in their whole texts. A null text, or one without any letter (Unicode category L), is `und` with
+score 0, an empty one too. Without any training row every text is `und`. Repeated rows get equal predictions. An empty
+table gives no rows; columns of docs with the added names are replaced.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,12 @@ HELD_MOD, HELD_IS = 3, 1
 PER_LANG = 400
 WINDOW, HIDDEN = 64, 8
 UND = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of text of a language.
+FIT_BYTES = 8 << 20
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _sigmoid(x):
@@ -38,6 +45,8 @@ def _sigmoid(x):
 class BiGRU:
     """z, r = sigmoid(Wx + Uh), n = tanh(Wx + r * Uh), h = n + z * (h - n); x is a byte, so Wx is a row of a table."""
 
+    LANES = 64
+
     def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.H, self.C = hidden, classes
@@ -49,16 +58,12 @@ class BiGRU:
         self.p["O"] = (rng.normal(size=(2 * hidden, classes)) * 0.3).astype(f)
         self.p["o"] = np.zeros(classes, f)
 
-    def _run(self, x: np.ndarray, d: str, keep: bool, valid: np.ndarray | None = None):
-        """x: (T, N) bytes. States (T, N, H) after each step, in the order of x; with keep also what backward needs.
-
-        valid: bytes of each window that are text; the padding after them leaves no state.
-        """
+    def _run(self, x: np.ndarray, d: str):
+        """x: (T, N) bytes. States (T, N, H) after each step, in the order of x, and what backward needs."""
         T, N = x.shape
         H, W, U = self.H, self.p["W" + d], self.p["U" + d]
         out = np.empty((T, N, H), np.float32)
         h, tape = np.zeros((N, H), np.float32), []
-        short = np.flatnonzero(valid < T) if valid is not None else ()
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
             a, g = W[x[t]], h @ U
             zr = _sigmoid(a[:, : 2 * H] + g[:, : 2 * H])
@@ -69,27 +74,57 @@ class BiGRU:
             new = h - n
             new *= z
             new += n
-            if keep:
-                tape.append((t, h, z, r, n, g[:, 2 * H :]))
-            if len(short):
-                new[short[valid[short] <= t]] = 0
+            tape.append((t, h, z, r, n, g[:, 2 * H :]))
             out[t] = h = new
         return out, tape
 
     def positions(self, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """(T, N, C) probabilities of every byte."""
-        logits = self._run(x, "f", False, valid)[0] @ self.p["O"][: self.H]
-        logits += self._run(x, "b", False, valid)[0] @ self.p["O"][self.H :]
-        logits += self.p["o"]
-        logits -= logits.max(-1, keepdims=True)
+        """(T, C, N) probabilities of every byte of N windows (T, N); valid: bytes of each that are text, the rest is 0.
+
+        Sums run over hidden units one after the other (einsum), never by matrix products, whose rounding depends on
+        their shape; windows are padded to a multiple of LANES, so that vector instructions meet no remainder.
+        """
+        T, whole = x.shape
+        N = -(-whole // self.LANES) * self.LANES
+        x, valid = np.pad(x, ((0, 0), (0, N - whole))), np.pad(valid, (0, N - whole))
+        H, f = self.H, np.float32
+        logits = np.empty((T, self.C, N), f)
+        logits[:] = self.p["o"][:, None]
+        short = np.flatnonzero(valid < T)
+        g, label = np.empty((3 * H, N), f), np.empty((self.C, N), f)
+        for k, d in enumerate("fb"):
+            W, U, O = np.ascontiguousarray(self.p["W" + d].T), self.p["U" + d], self.p["O"][k * H : (k + 1) * H]
+            h = np.zeros((H, N), f)
+            for t in range(T) if d == "f" else range(T - 1, -1, -1):
+                a = W[:, x[t]]
+                np.einsum("jk,jn->kn", U, h, out=g)
+                zr = g[: 2 * H]
+                zr += a[: 2 * H]
+                _sigmoid(zr)
+                z, n = zr[:H], g[2 * H :]
+                n *= zr[H:]
+                n += a[2 * H :]
+                np.tanh(n, out=n)
+                h -= n
+                h *= z
+                h += n
+                if len(short):
+                    h[:, short[valid[short] <= t]] = 0
+                logits[t] += np.einsum("jc,jn->cn", O, h, out=label)
+        logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(-1, keepdims=True)
-        return logits
+        total = logits[:, 0].copy()
+        for c in range(1, self.C):
+            total += logits[:, c]
+        logits /= total[:, None]
+        for j in short:
+            logits[valid[j] :, :, j] = 0
+        return logits[:, :, :whole]
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         T, N = x.shape
         H = self.H
-        runs = {d: self._run(x, d, True) for d in "fb"}
+        runs = {d: self._run(x, d) for d in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], -1)
         logits = both @ self.p["O"] + self.p["o"]
         logits -= logits.max(-1, keepdims=True)
@@ -122,14 +157,14 @@ class BiGRU:
             grad["W" + d], grad["U" + d] = gW, gU
         return float(loss), grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 350, batch: int = 256, rate: float = 0.03, seed: int = 5) -> None:
-        """x: (n, T) windows, y: their classes."""
+    def train(self, draw, steps: int = 350, batch: int = 256, rate: float = 0.03, seed: int = 5) -> None:
+        """draw(rng, n): n windows (n, T) and their classes."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         for step in range(1, steps + 1):
-            pick = rng.integers(0, len(x), batch)
-            _, grad = self.gradient(np.ascontiguousarray(x[pick].T), y[pick])
+            x, y = draw(rng, batch)
+            _, grad = self.gradient(np.ascontiguousarray(x.T), y)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             rate_now = rate * (1 - 0.95 * step / steps)
             for k, g in grad.items():
@@ -139,39 +174,45 @@ class BiGRU:
                 self.p[k] -= (rate_now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
+class Windows:
+    """Draws windows of texts: a language first, so that all weigh alike, then one of its texts, then a place in it."""
+
+    def __init__(self, by_class: list[list[bytes]], window: int):
+        self.window = window
+        self.texts = [[np.resize(np.frombuffer(t, np.uint8), max(window, len(t))) for t in texts] for texts in by_class]  # a short text repeats
+
+    def __call__(self, rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
+        y = rng.integers(0, len(self.texts), n)
+        x = np.empty((n, self.window), np.uint8)
+        for i, k in enumerate(y):
+            raw = self.texts[k][rng.integers(0, len(self.texts[k]))]
+            at = rng.integers(0, len(raw) - self.window + 1)
+            x[i] = raw[at : at + self.window]
+        return x, y
+
+
 class LanguageModel:
     #: Windows in one pass of the network: bounds the memory of long texts.
-    PASS = 2048
+    PASS = 1024
 
     def __init__(self, rows: list[tuple[str, str]], window: int = WINDOW, hidden: int = HIDDEN):
-        self.window, self.langs, self.net = window, sorted({l for _, l in rows}), None
-        if not rows:
-            return
-        rng = np.random.default_rng(3)
-        xs, ys = [], []
+        self.window, self.net = window, None
+        by: dict[str, list[bytes]] = {}
         for text, lang in rows:
-            raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-            if not len(raw):
-                continue
-            raw = np.resize(raw, max(window, len(raw)))  # a short text repeats
-            for at in rng.integers(0, len(raw) - window + 1, min(24, 1 + len(raw) // window)):
-                xs.append(raw[at : at + window])
-                ys.append(self.langs.index(lang))
-        if xs:
-            # languages weigh alike in training
-            ys = np.array(ys)
-            most = max(np.bincount(ys))
-            take = np.concatenate([np.resize(rng.permutation(np.flatnonzero(ys == k)), most) for k in np.unique(ys)])
-            self.net = BiGRU(len(self.langs), hidden)
-            self.net.train(np.stack(xs)[take], ys[take])
+            if text:
+                by.setdefault(lang, []).append(text.encode("utf-8", "replace"))
+        self.langs = sorted(by)
+        if by:
+            self.net = BiGRU(len(by), hidden)
+            self.net.train(Windows([by[l] for l in self.langs], window))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         score, found = np.zeros(len(texts)), [UND] * len(texts)
         if self.net is None:
             return found, score
-        use = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-        T, C = self.window, len(self.langs)
-        total = np.zeros((len(texts), C))
+        use = [i for i, t in enumerate(texts) if t and has_letter(t)]
+        T = self.window
+        total = np.zeros((len(texts), len(self.langs)))
         queue, owner, valid, waiting = [], [], [], 0
 
         def flush():
@@ -181,12 +222,11 @@ class LanguageModel:
             x = np.concatenate(queue)
             who, n = np.concatenate(owner), np.concatenate(valid)
             for a in range(0, len(x), self.PASS):
-                k = n[a : a + self.PASS]
-                p = self.net.positions(np.ascontiguousarray(x[a : a + self.PASS].T), k)
-                short = np.flatnonzero(k < T)
-                for j in short:
-                    p[k[j] :, j] = 0
-                np.add.at(total, who[a : a + self.PASS], p.sum(0))
+                p = self.net.positions(np.ascontiguousarray(x[a : a + self.PASS].T), n[a : a + self.PASS])
+                of_window = p[0].astype(np.float64)
+                for t in range(1, T):
+                    of_window += p[t]
+                np.add.at(total, who[a : a + self.PASS], of_window.T)  # window after window, in their order
             queue, owner, valid, waiting = [], [], [], 0
 
         for i in use:
@@ -204,15 +244,15 @@ class LanguageModel:
                 flush()
         flush()
         for i in use:
-            p = total[i] / total[i].sum()
-            found[i], score[i] = self.langs[int(p.argmax())], min(1.0, round(float(p.max()), 6))  # beyond that, batches differ
+            whole = sum(total[i].tolist())
+            found[i], score[i] = self.langs[int(total[i].argmax())], min(1.0, float(total[i].max()) / whole)
         return found, score
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("y"))
     rows = rows.filter(F.col("y").isNotNull() & F.col("id").isNotNull() & (crc_mod("id", HELD_MOD) != HELD_IS))
-    return LanguageModel(texts_of(docs, smallest_hashes(rows, per_lang)))
+    return LanguageModel(texts_of(docs, smallest_hashes(rows, per_lang), FIT_BYTES))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
