@@ -4,10 +4,11 @@ Words are counted per source, a source's target divided by its size is its repet
 floor(rate) times plus once more if a hash of its id and the seed falls below the fraction.
 
 Targets share the total by weight, but stop at MOST times their source's size; what is over is shared again by weight
-until none is above. That is a water level: with sources ordered by size / weight, the first few stand at their limit
-and the rest share what remains. Per-source rows meet in one task for that (as many as there are sources); documents
-never do: sums are taken on the map side, and the rates come back by a join whose hot source AQE can split (or by a
-broadcast where Spark measures the sources to be small).
+until none is above. That is a water level: it is raised from the total shared by all, each time taking the sources
+that it passes out of the sharing, until it passes none; a round is one sum over the sources, few are needed. Weights go
+by a source's place in the order of names, which comes from a range partitioning and the sizes of its partitions. So
+neither documents nor sources, however many, meet in one task: sums are taken on the map side, and the rates come back
+by a join whose hot source AQE can split (or by a broadcast where Spark measures the sources to be small).
 
 Null sources are one source, last in order; null texts have size 0; sources of size 0 get target 0 and rate 0.
 Repeated rows get equal draws. An empty table gives no rows. Columns named like the added ones are replaced.
@@ -15,7 +16,7 @@ Repeated rows get equal draws. An empty table gives no rows. Columns named like
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, read
@@ -37,50 +38,72 @@ def draw(seed: int, col: str = "doc_id"):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def placed(per_source: DataFrame) -> DataFrame:
+    """per_source with place, from 0, of each source in the order of names, null last."""
+    order = F.col("source").asc_nulls_last()
+    sorted_ = materialize(per_source.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    # one row a partition
+    parts = sorted_.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    out = sorted_.withColumn("__part", part).join(F.broadcast(parts), "__part")
+    return out.withColumn("place", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__before")
+
+
 def targets(per_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """per_source: source, source_size. Adds target (double) and rate (double, most at most)."""
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighted = per_source.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    # those that reach their limit first come first
-    level = Window.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    whole = level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = level.rowsBetween(Window.unboundedPreceding, -1)
-    t = weighted.select(
-        "source",
-        "source_size",
-        "w",
-        (F.sum("source_size").over(whole) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))).alias("left"),
-        (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0))).alias("share"),
-    )
-    # what remains, shared among this one and all later ones, is above this one's limit
-    full = F.col("left") * F.col("w") > most * F.col("source_size") * F.col("share")
-    t = t.withColumn("open", F.struct(F.col("left").alias("left"), F.col("share").alias("share")))
-    t = t.withColumn("full", full).withColumn("pool", F.first(F.when(~F.col("full"), F.col("open")), ignorenulls=True).over(whole))
-    target = F.when(F.col("full"), (most * F.col("source_size")).cast("double")).otherwise(F.col("pool.left").cast("double") * F.col("w") / F.col("pool.share"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    t = materialize(placed(per_source).withColumn("w", weight).select("source", "source_size", "w"))
+    sums = F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")
+    all_ = t.agg(*sums).first()
+    exact = lambda c, digits: (c if isinstance(c, Column) else F.lit(c)).cast(f"decimal({digits},0)")
+    left, share = all_.size, max(all_.w, 1)
+    while True:
+        # the level is left / share; sources whose limit it passes share no more
+        full = exact(left, 20) * exact(F.col("w"), 10) > exact(F.col("source_size") * most, 20) * exact(share, 18)
+        passed = t.filter(full).agg(*sums).first()
+        if (left, share) == (after := (all_.size - most * passed.size, max(all_.w - passed.w, 1))):
+            break
+        left, share = after
+    target = F.when(full, (most * F.col("source_size")).cast("double")).otherwise(F.lit(left).cast("double") * F.col("w") / F.lit(share))
     t = t.select("source", "source_size", target.alias("target"))
     return t.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0))
 
 
 def rates(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target, rate, copies (int) and taken (size * copies)."""
-    docs = docs.select([f"`{c}`" for c in docs.columns if c.lower() not in ADDED])
-    per_source = docs.select("source", sizes().alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    """docs with size, source_size, target, rate, copies (int) and taken (size * copies).
+
+    Words are counted twice, for the sums and for the rows: that is less than a second copy of the texts. Where docs has
+    no other long columns, count them into a written table first, as op1 does (see counted).
+    """
+    return _rated(docs.select([f"`{c}`" for c in docs.columns if c.lower() not in ADDED]).withColumn("size", sizes()), weights, most, seed)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """doc_id, source and size of docs as a written table."""
+    return materialize(docs.select("doc_id", "source", sizes().alias("size")))
+
+
+def _rated(sized: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rate = materialize(targets(per_source, weights, most)).withColumnRenamed("source", "__source")
-    out = docs.withColumn("size", sizes()).join(rate, docs["source"].eqNullSafe(F.col("__source"))).drop("__source")
+    out = sized.join(rate, sized["source"].eqNullSafe(F.col("__source"))).drop("__source")
     whole = F.floor("rate").cast("int")
     copies = whole + (draw(seed) < F.col("rate") - whole).cast("int")
     return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The documents of the mix, repeated as often as it takes them, with the columns of docs."""
-    r = rates(docs, weights, most, seed).filter("copies > 0")
-    return r.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([F.col(f"`{c}`") for c in docs.columns])
+    """The documents of the mix, repeated as often as it takes them, with the columns of docs as they are, whatever their names."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", "text", "source")
+    r = rates(whole, weights, most, seed).filter("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
+    return r.select("__row.*")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return rates(docs).select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return _rated(counted(docs)).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
 SQL = r"""
