@@ -25,11 +25,22 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-def unit(m: np.ndarray) -> np.ndarray:
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each by the power of two that brings its largest component near 1: squares stay finite, and cosines the same bits."""
     m = m.astype(np.float64)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(1, initial=1e-300, keepdims=True))[1])
+
+
+def unit(m: np.ndarray) -> np.ndarray:
+    m = scaled(m)
     return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
+def lengths(vectors: DataFrame) -> list[int]:
+    """How long the vectors are: most tables have one length."""
+    return sorted(r[0] for r in vectors.select(F.size("embedding")).distinct().collect())
+
+
 def sample(vectors: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
     """At most so many vectors, of the length that most of them have."""
     got = [r[0] for r in vectors.select("embedding", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(rows).select("embedding").collect()]
