@@ -1,15 +1,16 @@
 """Embedding near-duplicates inside labels, by PCA-ordered tiled comparison. Exact: no pair at the threshold is missed.
 
 Unit vectors are rotated to their principal axes (fitted on a bounded sample; any rotation gives the same links).
-Within a label they are range-partitioned along the first axis and cut into tiles of TILE rows. Two tiles meet only if
-their ranges come within sqrt(2 - 2t), the largest distance of two unit vectors with cosine t. Inside a pair of tiles
-the leading dimensions are multiplied first; what the rest can add is bounded by the product of the suffix norms, and
-pairs that cannot reach t any more are dropped before the next dimensions. Survivors get their cosine from the
-original vectors in double precision.
+Within a label they are range-partitioned along the first axis and cut into blocks of BLOCK rows, the unit that travels:
+a block is sent once for each block that it meets, not for each of their tiles. Two blocks meet only if their ranges come
+within sqrt(2 - 2t), the largest distance of two unit vectors with cosine t; so do the tiles of TILE rows inside a pair
+of blocks. There the leading dimensions are multiplied first; what the rest can add is bounded by the product of the
+suffix norms, and pairs that cannot reach t any more are dropped before the next dimensions. Survivors get their cosine
+from the original vectors in double precision.
 
-Exact copies are one vector with a multiplicity. A pair of tiles returns link counts and a spanning forest of its
-links, never the pairs. Work is quadratic in a label's rows along the first axis, as the question is; tiles of a hot
-label spread over all tasks.
+Exact copies are one vector with a multiplicity. A pair of blocks returns link counts and a spanning forest of its
+links, never the pairs. Work is quadratic in a label's rows within reach along the first axis, as the question is; the
+pairs of blocks of a hot label spread over all tasks, each with two blocks in memory.
 
 Vectors that are null, zero or hold null or non-finite components, and those without a label, link with nothing.
 Repeated rows are copies: they link. Vectors of different lengths never link. An empty table gives no rows.
@@ -25,14 +26,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import materialize, read
+from .common import discard, materialize, read
 from .components import components
-from .vectors import matrix, sample, unit, usable
+from .vectors import matrix, sample, scaled, unit, usable
 
-THRESHOLD, TILE, STEP = 0.93, 1024, 16
+THRESHOLD, BLOCK, TILE, STEP = 0.93, 4096, 512, 16
+#: Of a block's rows, so that longer vectors make shorter blocks.
+BLOCK_BYTES = 1 << 20
 _SLACK = 1e-9  # far above the rounding of a double product, far below any cosine that matters
 
 
+def reach(t: float) -> float:
+    """The largest distance of two unit vectors with cosine t."""
+    return float(np.sqrt(max(0.0, 2 - 2 * t))) + 1e-6
+
+
 def principal_axes(x: np.ndarray) -> np.ndarray:
     """Columns are the principal axes of the rows' second moments, largest first."""
     _, axes = np.linalg.eigh(x.T @ x)
@@ -57,18 +65,35 @@ def candidates(a: np.ndarray, b: np.ndarray, t: float, step: int = STEP) -> tupl
     return i, j
 
 
-def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray | None, t: float, rows: int = 128) -> np.ndarray:
-    """Boolean matrix of the links of original rows a and b; in blocks of rows, so that memory stays small."""
-    ua, ub = unit(a), unit(b)
-    ra, rb = (ua, ub) if axes is None else (ua @ axes, ub @ axes)
-    a, b = a.astype(np.float64), b.astype(np.float64)
-    na, nb = np.sqrt(np.einsum("ij,ij->i", a, a)), np.sqrt(np.einsum("ij,ij->i", b, b))
-    out = np.zeros((len(a), len(b)), bool)
-    for at in range(0, len(a), rows):
-        i, j = candidates(ra[at : at + rows], rb, t)
-        i = i + at
-        ok = np.einsum("ij,ij->i", a[i], b[j]) / (na[i] * nb[j]) >= t
-        out[i[ok], j[ok]] = True
+class Rows:
+    """Rows of a block, in the order of their first axis: scaled, with norms, and rotated as unit vectors."""
+
+    def __init__(self, m: np.ndarray, axes: np.ndarray | None):
+        self.m = scaled(m)
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.m, self.m))
+        u = self.m / self.norm[:, None]
+        self.r = u if axes is None else u @ axes
+
+    def tiles(self, size: int) -> list[tuple[int, int, float, float]]:
+        """(from, to, least, most on the first axis)."""
+        return [(i, min(i + size, len(self.r)), float(x.min()), float(x.max())) for i in range(0, len(self.r), size) for x in [self.r[i : i + size, 0]]]
+
+
+def linked(a: Rows, b: Rows, t: float, tile: int = TILE, rows: int = 128) -> np.ndarray:
+    """Boolean matrix of the links of a and b. Tiles too far apart on the first axis are never multiplied, rows in strips, so that memory stays small."""
+    out = np.zeros((len(a.m), len(b.m)), bool)
+    near, same = reach(t), a is b
+    for lo, hi, least, most in a.tiles(tile):
+        for lo_b, hi_b, least_b, most_b in b.tiles(tile):
+            if least > most_b + near or least_b > most + near or (same and lo_b < lo):
+                continue
+            for at in range(lo, hi, rows):
+                i, j = candidates(a.r[at : min(at + rows, hi)], b.r[lo_b:hi_b], t)
+                i, j = i + at, j + lo_b
+                ok = np.einsum("ij,ij->i", a.m[i], b.m[j]) / (a.norm[i] * b.norm[j]) >= t
+                out[i[ok], j[ok]] = True
+                if same:
+                    out[j[ok], i[ok]] = True
     return out
 
 
@@ -89,8 +114,8 @@ def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return rows, root_r[rows], cols, root_c[cols]
 
 
-def _tiles(distinct: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
-    """One row per tile: tile, label, dim, lo, hi, n, ids, copies, rows (bytes)."""
+def _blocks(distinct: DataFrame, axes: np.ndarray, block: int) -> DataFrame:
+    """One row per block: block, label, dim, lo, hi, n, ids, copies, rows (bytes)."""
     from pyspark import TaskContext
 
     dtype = "<f8" if "double" in distinct.schema["embedding"].dataType.simpleString() else "<f4"
@@ -116,7 +141,7 @@ def _tiles(distinct: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
             rows = pa.concat_tables(held)
             axis = rows["axis"].to_numpy()
             m = matrix(rows["embedding"].combine_chunks()).astype(dtype)
-            made = {"tile": [base + k], "label": [rows["label"][0].as_py()], "dim": [m.shape[1]], "lo": [float(axis.min())], "hi": [float(axis.max())], "n": [len(m)]}
+            made = {"block": [base + k], "label": [rows["label"][0].as_py()], "dim": [m.shape[1]], "lo": [float(axis.min())], "hi": [float(axis.max())], "n": [len(m)]}
             made |= {"ids": [rows["rep"].to_numpy().astype("<i8").tobytes()], "copies": [rows["copies"].to_numpy().astype("<i8").tobytes()], "rows": [m.tobytes()]}
             held, k = [], k + 1
             kinds = [pa.int64(), rows["label"].type, pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -127,10 +152,11 @@ def _tiles(distinct: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
             keys = list(zip(t["label"].to_pylist(), t["dim"].to_pylist()))
             at = 0
             while at < len(keys):
-                if held and (keys[at] != key or sum(map(len, held)) >= tile):
+                most = max(64, min(block, BLOCK_BYTES // (max(keys[at][1], 1) * int(dtype[-1]))))
+                if held and (keys[at] != key or sum(map(len, held)) >= most):
                     yield out()
                 key = keys[at]
-                room, end = tile - sum(map(len, held)), at
+                room, end = most - sum(map(len, held)), at
                 while end < len(keys) and end - at < room and keys[end] == key:
                     end += 1
                 held.append(t.slice(at, end - at))
@@ -143,10 +169,10 @@ def _tiles(distinct: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
     axis = arrow_udf(first_axis, returnType="double").asNondeterministic()
     placed = materialize(distinct.select("label", F.size("embedding").alias("dim"), axis("embedding").alias("axis"), "rep", "copies", "embedding"))
     ordered = placed.repartitionByRange("label", "dim", "axis", "rep").sortWithinPartitions("label", "dim", "axis", "rep")
-    return ordered.mapInArrow(cut, f"tile long, label {label}, dim int, lo double, hi double, n int, ids binary, copies binary, rows binary")
+    return ordered.mapInArrow(cut, f"block long, label {label}, dim int, lo double, hi double, n int, ids binary, copies binary, rows binary")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """vectors: vec_id, embedding, label. One row per row: vec_id, n_links, component_id, kept."""
     ship(vectors.sparkSession)
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
@@ -155,26 +181,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     distinct = materialize(parts.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     x = sample(distinct.select("embedding", F.col("rep").alias("vec_id")))
     axes = principal_axes(unit(x)) if len(x) else np.eye(1)
-    tiles = materialize(_tiles(distinct, axes, tile))
-    # tiles that come near along the first axis, through equal cells of that width
-    near = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    blocks = materialize(_blocks(distinct, axes, block))
+    # blocks that come near along the first axis, through equal cells of that width
+    near = reach(threshold)
     cell = lambda c: F.floor(c / near).cast("int")
-    meta = tiles.select("tile", "label", "dim", "lo", "hi")
-    a = meta.select("label", "dim", F.col("tile").alias("ta"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence(cell(F.col("lo") - near), cell(F.col("hi") + near))).alias("cell"))
-    b = meta.select("label", "dim", F.col("tile").alias("tb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
-    pairs = a.join(b, ["label", "dim", "cell"]).filter((F.col("ta") <= F.col("tb")) & (F.col("la") <= F.col("hb") + near) & (F.col("lb") <= F.col("ha") + near))
-    pairs = materialize(pairs.select("ta", "tb").distinct())
-    load = lambda s: tiles.select(F.col("tile").alias(f"t{s}"), F.col("dim").alias(f"dim_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "rows")))
-    loaded = pairs.join(load("a"), "ta").join(load("b"), "tb").select((F.col("ta") == F.col("tb")).alias("own"), "dim_a", "ids_a", "copies_a", "rows_a", "ids_b", "copies_b", "rows_b")
+    meta = blocks.select("block", "label", "dim", "lo", "hi")
+    a = meta.select("label", "dim", F.col("block").alias("ba"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.explode(F.sequence(cell(F.col("lo") - near), cell(F.col("hi") + near))).alias("cell"))
+    b = meta.select("label", "dim", F.col("block").alias("bb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
+    pairs = a.join(b, ["label", "dim", "cell"]).filter((F.col("ba") <= F.col("bb")) & (F.col("la") <= F.col("hb") + near) & (F.col("lb") <= F.col("ha") + near))
+    pairs = materialize(pairs.select("ba", "bb").distinct())
+    load = lambda s: blocks.select(F.col("block").alias(f"b{s}"), F.col("dim").alias(f"dim_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "copies", "rows")))
+    none = [F.lit(None).cast("binary").alias(f"{c}_b") for c in ("ids", "copies", "rows")]
+    own = load("a").join(pairs.filter("ba = bb"), "ba", "left_semi").select("dim_a", "ids_a", "copies_a", "rows_a", *none)
+    other = pairs.filter("ba < bb").join(load("a"), "ba").join(load("b"), "bb").select("dim_a", "ids_a", "copies_a", "rows_a", "ids_b", "copies_b", "rows_b")
+    loaded = own.unionByName(other)
     dtype = "<f8" if "double" in v.schema["embedding"].dataType.simpleString() else "<f4"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(batch, k, first, dim):
+            ids, copies, m = (np.frombuffer(batch.column(c)[k].as_py(), "<i8" if c < first + 2 else dtype) for c in range(first, first + 3))
+            return ids, copies, Rows(m.reshape(-1, dim), axes if dim == len(axes) else None)
+
         for batch in batches:
             for k in range(batch.num_rows):
-                own, dim = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                ia, ca, ma, ib, cb, mb = (np.frombuffer(batch.column(c)[k].as_py(), "<i8" if (c - 2) % 3 < 2 else dtype) for c in range(2, 8))
-                ma, mb = ma.reshape(-1, dim), mb.reshape(-1, dim)
-                m = linked(ma, mb, axes if dim == len(axes) else None, threshold)
+                dim, own = batch.column(0)[k].as_py(), not batch.column(4)[k].is_valid
+                ia, ca, ra = side(batch, k, 1, dim)
+                ib, cb, rb = (ia, ca, ra) if own else side(batch, k, 4, dim)
+                m = linked(ra, rb, threshold, tile)
                 if own:
                     np.fill_diagonal(m, False)
                 r, rr, c, rc = forest(m)
@@ -188,6 +221,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (ids, roots, counts)], ["rep", "root", "links"])
 
     found = materialize(loaded.mapInArrow(compare, "rep long, root long, links long"))
+    discard(blocks, pairs)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     least = materialize(joined.groupBy("component").agg(F.min("node").alias("component_id")))
