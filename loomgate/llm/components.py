@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -31,16 +31,21 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         joins = materialize(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["id"].alias("to")))
         maps.append(joins)
-        e = e.join(joins.withColumnsRenamed({"node": "a", "to": "x"}), "a").select("x", "b")
-        e = e.join(joins.withColumnsRenamed({"node": "b", "to": "y"}), "b").filter("x <> y")
-        e = materialize(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        new = e.join(joins.withColumnsRenamed({"node": "a", "to": "x"}), "a").select("x", "b")
+        new = new.join(joins.withColumnsRenamed({"node": "b", "to": "y"}), "b").filter("x <> y")
+        new = materialize(new.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        discard(e)
+        e = new
     else:
         raise RuntimeError("components did not contract")
+    discard(e)
     if not maps:
         return nodes.select("node", F.col("node").alias("component"))
     # from the last round back: where a node went, and where that went later
     whole = maps[-1].withColumnRenamed("to", "component")
     for joins in reversed(maps[:-1]):
         later = whole.withColumnsRenamed({"node": "to", "component": "later"})
-        whole = materialize(joins.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("component")))
+        longer = materialize(joins.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("component")))
+        discard(joins, *([whole] if hasattr(whole, "_written") else [maps[-1]]))
+        whole = longer
     return nodes.join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

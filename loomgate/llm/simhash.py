@@ -7,7 +7,8 @@ Distinct fingerprints are indexed under their 2 * 32 variants, equal keys are jo
 distance and keeps a pair under its first key only. Exact copies are one fingerprint and never become pairs.
 
 Distinct fingerprints that share a variant are few (31 of 64 bits agree) unless they are near copies, of which the
-radius allows any fingerprint 2,080 at most; there is no cap on buckets.
+radius allows any fingerprint 2,080 at most; there is no cap on buckets. Chance meetings are one in 2^31 for each of the
+64 keys, so candidates outnumber the index only from some 10^9 distinct fingerprints on.
 
 The pipeline's stage asks for a Jaccard similarity of STAGE_SIMILARITY of the distinct 5-word shingles, which is out of
 reach for fingerprints within 3 bits. It is an exact join of sets: shingles have one order, frequent ones last, and two
@@ -16,8 +17,10 @@ those; lengths and places rule pairs out, and every pair left is verified by its
 frequent only makes the buckets small: any order gives the same pairs. Buckets are compared with their first text
 first; then all other pairs of a bucket that are not in one group yet.
 
-Null texts have no words: fingerprint zero, linked like any other. Fewer words than a shingle make one shingle of all.
-Repeated rows give a row each. An empty table gives no rows.
+Null texts have no words: fingerprint zero, linked like any other; in the stage all texts without words are one group.
+Fewer words than a shingle make one shingle of all. Repeated rows give a row each in near_duplicates; in the stage one
+of those that repeat doc_id and text stays. An empty table gives no rows. Columns of docs named like added ones are
+left alone in the stage; near_duplicates returns its own columns only.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, scored
+from .common import discard, materialize, read, scored
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -115,6 +118,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id"
     of = materialize(of)
     least = materialize(of.groupBy("component").agg(F.min("rep").alias("component_id")))
     classes = materialize(of.join(least, "component").select("fp", "component_id"))
+    discard(reps, joined, of, least)
     return fps.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -222,7 +226,9 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, size: int, le
     side = lambda c: sets.select(F.col("node").alias(c), F.col("h").alias(f"{c}_h"))
     both = F.size(F.array_intersect("a_h", "b_h"))
     enough = both * (least.numerator + least.denominator) >= (F.size("a_h") + F.size("b_h")) * least.numerator
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
+    held = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
+    discard(pairs, wanted, sets)
+    return held
 
 
 def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
@@ -265,7 +271,8 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
         return lengths & (F.least(an - ap, bn - bp) * (least.numerator + least.denominator) >= (an + bn) * least.numerator)
 
     to_first = index.filter((F.col("node") != F.col("first.node")) & may(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
-    edges = _verified(materialize(to_first.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()), sizes, docs, size, least)
+    pairs = materialize(to_first.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
+    edges = _verified(pairs, sizes, docs, size, least)
     # all other pairs, but of those that are in one group already
     groups = materialize(components(edges))
     rest = index.filter(F.col("node") != F.col("first.node")).select("key", "node", "n", "pos").join(groups, "node", "left")
@@ -273,12 +280,16 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
     side = lambda c: rest.select("key", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "pos", "component")))
     apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
     more = side("a").join(side("b"), "key").filter(apart & may(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))
-    more = _verified(materialize(more.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()), sizes, docs, size, least)
+    left = materialize(more.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    discard(pairs, index, rest, groups)
+    more = _verified(left, sizes, docs, size, least)
     groups = materialize(components(edges.unionByName(more)))
+    discard(left, edges, more, sizes)
     of = texts.join(groups, "node", "left").select("digest", "node", "row", F.coalesce("component", "node").alias("component"))
     of = materialize(of)
     stays = of.groupBy("component").agg(F.min(F.struct("node", "row")).alias("f")).select("component", F.col("f.row").alias("stays"))
     stays = materialize(of.join(stays, "component").select("digest", "stays"))
+    discard(of, groups, texts)
     return found.select("doc_id", "row", "digest").join(stays, "digest").filter("row <> stays").select("doc_id", "row").distinct()
 
 
