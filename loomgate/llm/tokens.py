@@ -4,7 +4,8 @@ Offline (on the driver, once per tokenizer) every vocabulary string is encoded o
 exactly their own id are proved to be whole tokens. A text is then split at white space; a chunk that is a proved
 string counts 1, the rest are merged by the library, and a bounded memory keeps what each chunk came to. Special
 strings inside texts are left to the library, as are texts with the separators U+001C to U+001F, which Python and the
-library class differently. Null texts are empty: 0 tokens.
+library class differently. Null texts are empty: 0 tokens. Very long texts are split and counted in the task that reads
+them, whole. Repeated rows get equal counts. An empty table gives no rows; columns of docs with the added names are replaced.
 """
 
 from __future__ import annotations
