@@ -11,6 +11,8 @@ them, whole. Repeated rows get equal counts. An empty table gives no rows; colum
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import read, scored, with_struct
 
 LIMIT = 2048
+_UINT32 = next(c for c in "IL" if array(c).itemsize == 4)
+assert sys.byteorder == "little"  # ids are stored that way
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -132,14 +136,21 @@ class Encoder:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         table = byte_alphabet()
         ranks = {bytes(table[c] for c in s): i for s, i in self.tok.get_vocab(with_added_tokens=False).items()}
-        self.fast = tiktoken.Encoding("loomgate", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.fast = tiktoken.Encoding("loomgate", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special) or self.UNUSUAL.search(text):
+        if any(s in text for s in self.special) or self._unusual(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return array(_UINT32, self.fast(text)).tobytes()
+
+    def _unusual(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")  # quick, and all of it but four separators is usual
+            return any(c in text for c in "\x1c\x1d\x1e\x1f")
+        except UnicodeEncodeError:
+            return bool(self.UNUSUAL.search(text))
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
