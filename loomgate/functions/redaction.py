@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns in their order of application; strict ones end at digits, legacy ones at word boundaries.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-NUMBERS = {"RRN": r"\d{6}-\d{7}", "CARD": r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", "PHONE": r"0\d{1,2}-?\d{3,4}-?\d{4}"}
-ACCOUNT = r"(?<![\d-])(?=(?:\d-?){9})\d{2,6}(?:-\d{2,6}){2,}(?![\d-])"
+# Patterns in their order of application, and the marks that take their place.
+_WORD = r"\p{L}\p{N}_"  # what a word character is
+EMAIL = rf"[{_WORD}.+-]+@[{_WORD}-]+\.[{_WORD}.-]+"
+NUMBERS = {"RRN": r"\p{Nd}{6}-\p{Nd}{7}", "CARD": r"\p{Nd}{4}[- ]?\p{Nd}{4}[- ]?\p{Nd}{4}[- ]?\p{Nd}{4}", "PHONE": r"0\p{Nd}{1,2}-?\p{Nd}{3,4}-?\p{Nd}{4}"}
+ACCOUNT = r"(?<![\p{Nd}-])(?=(?:\p{Nd}-?){9})\p{Nd}{2,6}(?:-\p{Nd}{2,6}){2,}(?![\p{Nd}-])"
+MARKS = {"EMAIL": "[이메일]", "RRN": "[주민번호]", "CARD": "[카드]", "PHONE": "[전화]", "ACCOUNT": "[계좌번호]"}
 
 
 def redact(c: Column, policy: str = "strict", account: bool = True) -> Column:
     """c with mail addresses, registration numbers, cards, phones and accounts masked, in that order.
 
-    strict also masks numbers that a particle follows directly; legacy needs a word boundary.
+    strict also masks numbers that a particle follows directly, ending them at digits; legacy ends them at words.
     """
-    edge = (r"(?<!\d)", r"(?!\d)") if policy == "strict" else (r"\b", r"\b")
-    out = F.regexp_replace(c, EMAIL if policy == "strict" else rf"(?U)\b{EMAIL}\b", "[EMAIL]")
+    edge = r"\p{Nd}" if policy == "strict" else f"[{_WORD}]"
+    out = F.regexp_replace(c, EMAIL, MARKS["EMAIL"])
     for name, pattern in NUMBERS.items():
-        out = F.regexp_replace(out, f"(?U){edge[0]}{pattern}{edge[1]}", f"[{name}]")
-    return F.regexp_replace(out, f"(?U){ACCOUNT}", "[ACCOUNT]") if account else out
+        out = F.regexp_replace(out, f"(?<!{edge}){pattern}(?!{edge})", MARKS[name])
+    return F.regexp_replace(out, ACCOUNT, MARKS["ACCOUNT"]) if account else out
 
 
 def email_hash(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import band_udf
-from ..functions.text import clause_date, strip, title_of
+from ..functions.text import after_title, clause_date, strip, title_of
 
 #: The circled numbers 1 to 50, from their three ranges.
 CIRCLED = "".join(map(chr, [*range(0x2460, 0x2474), *range(0x3251, 0x3260), *range(0x32B1, 0x32C0)]))
@@ -14,7 +14,7 @@ CIRCLED = "".join(map(chr, [*range(0x2460, 0x2474), *range(0x3251, 0x3260), *ran
 MARKERS = {
     "article": r"^제\s*(\d+)\s*조(?:\s*의\s*(\d+))?",
     "supplement": r"^부\s*칙()",
-    "appendix": r"^(?:별표|별지)\s*(\d+)?",
+    "appendix": r"^별\s*[표지]\s*(\d+)?",
     "paragraph": f"^([{CIRCLED}])",
     "item": r"^(\d+)\s*\.",
     "subitem": r"^([가나다라마바사아자차카타파하])\s*\.",
@@ -43,8 +43,8 @@ def parse_clauses(regulations: DataFrame, legacy_ids: bool = False) -> DataFrame
     key = F.concat(F.lit("R"), F.col("regulation_id").cast("string"), F.lit("#"))
     in_supplement = F.last(F.when(is_("supplement"), True).when(is_("appendix"), False), ignorenulls=True).over(run)
     supplement = F.concat(key, F.lit("supp"), F.col("supps").cast("string"))
-    branch = lambda pre: F.coalesce(F.concat(F.lit(pre), marker("article", 2).cast("int").cast("string")), F.lit(""))
-    number = F.concat(marker("article", 1).cast("int").cast("string"), branch("의"))
+    branch = lambda pre: F.coalesce(F.concat(F.lit(pre), marker("article", 2).try_cast("int").cast("string")), F.lit(""))
+    number = F.concat(marker("article", 1).try_cast("int").cast("string"), branch("의"))
     below = F.lit(False) if legacy_ids else F.coalesce(in_supplement, F.lit(False))
     head_id = (
         F.when(is_("article") & below, F.concat(supplement, F.lit("-a"), number))
@@ -57,7 +57,7 @@ def parse_clauses(regulations: DataFrame, legacy_ids: bool = False) -> DataFrame
     within = lambda g: Window.partitionBy("regulation_id", g).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     paragraph_no = F.when(is_("paragraph"), F.instr(F.lit(CIRCLED), marker("paragraph", 1)))
     rows = rows.withColumn("paragraph_no", paragraph_no).withColumn("para", F.last(F.concat("head", F.lit("-p"), F.col("paragraph_no").cast("string")), ignorenulls=True).over(within("heads")))
-    item_no = F.when(is_("item"), marker("item", 1).cast("int"))
+    item_no = F.when(is_("item"), marker("item", 1).try_cast("int"))
     rows = rows.withColumn("item_no", item_no).withColumn("item", F.last(F.concat(F.coalesce("para", "head"), F.lit("-i"), F.col("item_no").cast("string")), ignorenulls=True).over(within("groups")))
     owner = F.coalesce("item", "para", "head")
     sub = F.when(is_("subitem"), marker("subitem", 1))
@@ -66,22 +66,22 @@ def parse_clauses(regulations: DataFrame, legacy_ids: bool = False) -> DataFrame
     for name in MARKERS:
         rest = F.when(is_(name), strip(F.regexp_replace("raw", MARKERS[name], ""))).otherwise(rest)
     rows = rows.withColumn("rest", rest).withColumn("clause_title", F.when(is_("article"), title_of(F.col("rest"))))
-    body = F.when(F.col("clause_title").isNotNull(), strip(F.regexp_replace("rest", r"^\s*\([^()]*\)", ""))).otherwise(F.col("rest"))
+    body = F.when(is_("article"), after_title(F.col("rest"))).otherwise(F.col("rest"))
     marked = rows.filter("kind is not null").select(
         "regulation_id",
         "seq",
         F.when(is_("paragraph"), F.col("para")).when(is_("item"), F.col("item")).when(is_("subitem"), F.concat(owner, F.lit("-s"), sub)).otherwise(F.col("head_id")).alias("canonical_clause_id"),
-        F.when(is_("article"), F.concat(F.lit("제"), marker("article", 1).cast("int").cast("string"), F.lit("조"), branch("의")))
+        F.when(is_("article"), F.concat(F.lit("제"), marker("article", 1).try_cast("int").cast("string"), F.lit("조"), branch("의")))
         .when(is_("supplement"), "부칙")
         .when(is_("appendix"), F.concat(F.lit("별표"), F.coalesce(marker("appendix", 1), F.lit(""))))
         .when(is_("paragraph"), marker("paragraph", 1))
         .otherwise(F.concat(F.coalesce(F.col("item_no").cast("string"), sub), F.lit(".")))
         .alias("clause_label"),
         F.when(head, "article").otherwise(F.col("kind")).alias("depth"),
-        F.when(is_("article"), marker("article", 1).cast("int")).alias("article_no"),
-        F.when(is_("article"), marker("article", 2).cast("smallint")).alias("article_branch"),
+        F.when(is_("article"), marker("article", 1).try_cast("int")).alias("article_no"),
+        F.when(is_("article"), marker("article", 2).try_cast("smallint")).alias("article_branch"),
         F.col("paragraph_no").cast("smallint").alias("paragraph_no"),
-        F.col("item_no").cast("smallint").alias("item_no"),
+        F.col("item_no").try_cast("smallint").alias("item_no"),
         "sub_item_label",
         "clause_title",
         F.when(is_("supplement"), clause_date(F.col("raw"))).alias("effective_date"),
@@ -93,12 +93,20 @@ def parse_clauses(regulations: DataFrame, legacy_ids: bool = False) -> DataFrame
 
 
 # Action types of approval matrices.
-ACTIONS = ("전결", "합의", "승인", "결재", "보고", "통보")
+ACTIONS = ("전결", "합의", "보고", "협조")
 
 
 def parse_matrix(cells: DataFrame, actions=ACTIONS) -> tuple[DataFrame, DataFrame]:
-    """cells: regulation_id, order_seq, business_item, action_type, amount_expr, ... to (rows, quarantine with error)."""
-    parsed = cells.withColumn("band", band_udf("amount_expr")).withColumn("error", F.when(~F.coalesce(F.col("action_type").isin(*actions), F.lit(False)), F.concat(F.lit("action type "), F.coalesce("action_type", F.lit("null")))).otherwise(F.col("band.error")))
+    """cells: regulation_id, order_seq, business_item, action_type, amount_expr, ... to (rows, quarantine with error).
+
+    Where a cell has amount_min or amount_max instead of an expression, those are its band.
+    """
+    if "amount_min" not in cells.columns:
+        cells = cells.withColumns({"amount_min": F.lit(None).cast("long"), "amount_max": F.lit(None).cast("long")})
+    cells = cells.withColumn("action_type", strip(F.col("action_type")))
+    given = F.struct(F.when(F.col("amount_min") <= F.coalesce("amount_max", "amount_min"), F.col("amount_min")).alias("amount_min"), F.col("amount_max").alias("amount_max"), F.when(F.col("amount_min") > F.col("amount_max"), "least above most").alias("error"))
+    band = F.when(F.col("amount_expr").isNull(), given).otherwise(band_udf("amount_expr"))
+    parsed = cells.withColumn("band", band).withColumn("error", F.when(~F.coalesce(F.col("action_type").isin(*actions), F.lit(False)), F.concat(F.lit("action type "), F.coalesce("action_type", F.lit("null")))).otherwise(F.col("band.error")))
     parsed = parsed.withColumn("canonical_authority_id", F.concat(F.lit("R"), F.col("regulation_id").cast("string"), F.lit("#auth"), F.col("order_seq").cast("string")))
     good = parsed.filter("error is null").withColumns({"amount_min": F.col("band.amount_min"), "amount_max": F.col("band.amount_max")}).drop("band", "error")
     return good, parsed.filter("error is not null").drop("band")
