@@ -16,12 +16,12 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def merge(target: DataFrame, source: DataFrame, keys: list[str], update_when: Column | None = None, keep: list[str] = (), id_column: str | None = None) -> DataFrame:
+def merge(target: DataFrame, source: DataFrame, keys: list[str], update_when: Column | None = None, keep: list[str] = (), id_column: str | None = None, top: int | None = None) -> DataFrame:
     """The target after source is merged in.
 
     source has one row per key. Rows whose key is in both take source's values, except keep, where update_when holds
-    (over columns t_<name> and s_<name>; always if None). New keys are inserted, with ids above the largest one if
-    id_column is given. Keys compare null-safe.
+    (over columns t_<name> and s_<name>; always if None). New keys are inserted, with ids above the largest one (top, or
+    target's own where target is the whole table) if id_column is given. Keys compare null-safe.
     """
     cols = target.columns
     t = target.select([F.col(c).alias(f"t_{c}") for c in cols]).withColumn("t__in", F.lit(True))
@@ -37,19 +37,29 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], update_when: Co
         fixed = c == id_column or c in keep or c not in source.columns
         out.append(F.when(F.col("t__in").isNull(), new).when(update & F.lit(not fixed), new).otherwise(old).cast(target.schema[c].dataType).alias(c))
     merged = both.select(*out, F.col("t__in").isNull().alias("__new"))
-    return assign_ids(merged, target, id_column, keys) if id_column else merged.drop("__new")
+    return assign_ids(merged, target, id_column, keys, top) if id_column else merged.drop("__new")
 
 
-def assign_ids(merged: DataFrame, target: DataFrame, id_column: str, keys: list[str]) -> DataFrame:
-    """New rows get ids above the target's largest, by order of their key. Numbering runs over new rows only: offsets per range of keys, no single task."""
+#: New rows that one task numbers at most, about.
+NUMBERED = 1_000_000
+
+
+def assign_ids(merged: DataFrame, target: DataFrame, id_column: str, keys: list[str], top: int | None = None) -> DataFrame:
+    """New rows get ids above the largest, by a hash of their key and then the key: equal rows get equal ids however often they are computed.
+
+    Keys are dealt by their hash, each task numbers its own, and the counts of the tasks before it are added.
+    """
     old, new = merged.filter(~F.col("__new")).drop("__new"), merged.filter("__new").drop("__new")
-    top = target.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("__top"))
-    placed = new.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # both small sides have one row and one row per partition
-    numbered = placed.join(F.broadcast(offsets.select("__part", "__before", "__first")), "__part").join(F.broadcast(top))
-    numbered = numbered.withColumn(id_column, (F.col("__top") + F.col("__before") + F.col("__at") - F.col("__first") + 1).cast(target.schema[id_column].dataType))
+    if top is None:
+        top = target.agg(F.max(id_column)).first()[0] or 0
+    deals = max(1, -(-new.count() // NUMBERED))
+    dealt = new.withColumn("__deal", F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(deals)).cast("int"))
+    sizes = dealt.groupBy("__deal").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__deal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("__deal").orderBy(*keys))
+    # a row a deal
+    numbered = dealt.withColumn("__at", place).join(F.broadcast(sizes.select("__deal", before.alias("__before"))), "__deal")
+    numbered = numbered.withColumn(id_column, (F.lit(top) + F.col("__before") + F.col("__at")).cast(target.schema[id_column].dataType))
     return old.unionByName(numbered.select(old.columns))
 
 
@@ -79,9 +89,9 @@ def supersede(target: DataFrame, new: DataFrame, key: str, id_column: str, link:
     return old.unionByName(fresh.select([F.col(c) if c in fresh.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in cols]))
 
 
-def retire_missing(target: DataFrame, seen: DataFrame, scope: str, key: str) -> DataFrame:
-    """Current rows of the scopes that were read again whose key did not come back are no longer current."""
-    scopes = seen.select(scope).distinct().withColumn("__scope", F.lit(True))
+def retire_missing(target: DataFrame, seen: DataFrame, scope: str, key: str, scopes: DataFrame | None = None) -> DataFrame:
+    """Current rows of the scopes that were read again (those in seen, or given) whose key did not come back are no longer current."""
+    scopes = (seen if scopes is None else scopes).select(scope).distinct().withColumn("__scope", F.lit(True))
     keys = seen.select(scope, key).distinct().withColumn("__seen", F.lit(True))
     out = target.join(scopes, scope, "left").join(keys, [scope, key], "left")
     gone = F.col("__scope").isNotNull() & F.col("__seen").isNull()

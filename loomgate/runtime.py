@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,13 @@ def ship(spark: SparkSession) -> SparkSession:
     sc.addPyFile(path)
     sc._loomgate_shipped = True
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a job writes: in spark.checkpoint.dir, or, where that is unset, in a temporary folder in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loomgate-")
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

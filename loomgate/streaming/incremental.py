@@ -9,43 +9,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from .. import store
 from ..operators.filters import stalled
 from ..operators.merge import last_per_key, merge
 
 
-def table_path(root: str, version: int) -> str:
-    return f"{root}/v{version:06d}"
-
-
-def current_version(spark, root: str) -> int:
-    """Number of the last whole version of a table kept as versions, -1 if there is none."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return -1
-    whole = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max([int(n[1:]) for n in whole if n.startswith("v")], default=-1)
-
-
-def upsert_stream(source: DataFrame, root: str, keys: list[str], order: str, checkpoint: str, update_when: Column | None = None, transform: Callable[[DataFrame], DataFrame] | None = None):
-    """A stream merged into a versioned table: each batch writes the next whole version, so readers never see half of one.
+def upsert_stream(source: DataFrame, root: str, keys: list[str], order: str, checkpoint: str, update_when: Column | None = None, transform: Callable[[DataFrame], DataFrame] | None = None, parts: int = store.PARTS):
+    """A stream merged into a table of parts: a batch rewrites the parts that its keys fall in, so readers never see half of one.
 
     The version of batch n is n; a batch that runs again after a crash writes the same version again.
     """
 
     def one(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = last_per_key(transform(batch) if transform else batch, keys, order)
-        before = current_version(spark, root)
-        before = n - 1 if before >= n else before
-        target = spark.read.parquet(table_path(root, before)) if before >= 0 else rows.limit(0)
-        merge(target, rows, keys, update_when).write.mode("overwrite").parquet(table_path(root, n))
+        rows = last_per_key(transform(batch) if transform else batch, keys, order).persist()
+        try:
+            touched = store.update(spark, root, rows, keys, lambda old: merge(old, rows, keys, update_when), parts=parts, version=n)
+            if not touched and store.manifest(spark, root) is None:
+                store.write(spark, root, rows, keys, parts, version=n)
+        finally:
+            rows.unpersist()
 
     return source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def latest(spark, root: str) -> DataFrame:
-    return spark.read.parquet(table_path(root, current_version(spark, root)))
+    return store.read(spark, root)
 
 
 def consecutive_failures(runs: DataFrame, key: str = "board_id", order: str = "at", failed: str = "failed") -> DataFrame:
@@ -53,7 +42,7 @@ def consecutive_failures(runs: DataFrame, key: str = "board_id", order: str = "a
     w = Window.partitionBy(key).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     successes = runs.withColumn("__ok", F.sum(F.when(F.col(failed), 0).otherwise(1)).over(w))
     n = successes.groupBy(key).agg(F.count_if(F.col("__ok") == 0).alias("consecutive_failures"))
-    return n.withColumn("health", F.when(F.col("consecutive_failures") > 0, "degraded").otherwise("ok"))
+    return n.withColumn("health", F.when(F.col("consecutive_failures") > 0, "degraded").otherwise("healthy"))
 
 
 def failure_stream(runs: DataFrame, key: str = "board_id", order: str = "at") -> DataFrame:
@@ -65,7 +54,7 @@ def failure_stream(runs: DataFrame, key: str = "board_id", order: str = "at") ->
             for failed in pdf.sort_values(order)["failed"]:
                 n = n + 1 if failed else 0
         state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "consecutive_failures": [n], "health": ["degraded" if n else "ok"]})
+        yield pd.DataFrame({key: [k[0]], "consecutive_failures": [n], "health": ["degraded" if n else "healthy"]})
 
     return runs.groupBy(key).applyInPandasWithState(step, f"{key} bigint, consecutive_failures int, health string", "n int", "update", "NoTimeout")
 
