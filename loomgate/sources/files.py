@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import io
+import json
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -15,9 +17,9 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions.text import file_kind
 
-#: (text, status, method, pages) of a file's bytes; a plug-in may raise, which counts as failed.
-Extractor = Callable[[bytes, str], tuple[str | None, str, str | None, list[tuple[int, str]]]]
-RESULT = "struct<text:string,status:string,method:string,pages:array<struct<page_no:int,text:string>>>"
+#: (text, method) of a file's bytes and name, by kind; an engine may raise, which counts as having found nothing.
+Extractor = Callable[[bytes, str], tuple[str | None, str | None]]
+RESULT = "struct<text:string,status:string,method:string,pages:array<struct<page_no:int,text:string>>,is_table:boolean,error:string,page_count:int>"
 
 # Header words of approval matrices, tried in this order.
 HEADERS = {
@@ -38,7 +40,7 @@ def header_fields(header: list[str], longest_first: bool = False) -> list[str |
     words = [(w, field) for field, ws in HEADERS.items() for w in ws]
     if longest_first:
         words.sort(key=lambda x: -len(x[0]))
-    return [next((field for w, field in words if w in (h or "").lower()), None) for h in header]
+    return [next((field for w, field in words if w in (h or "").strip()), None) for h in header]
 
 
 def sheet_rows(content: bytes) -> list[list[str]]:
@@ -65,7 +67,7 @@ def sheet_rows(content: bytes) -> list[list[str]]:
 
 
 def grid_text(rows: list[list[str]]) -> str:
-    return "\n".join("\t".join(r) for r in rows if any(x.strip() for x in r))
+    return "\n".join("\t".join(x.strip() for x in r) for r in rows if any(x.strip() for x in r))
 
 
 def grid_cells(rows: list[list[str]], longest_first: bool = False) -> list[dict]:
@@ -76,7 +78,7 @@ def grid_cells(rows: list[list[str]], longest_first: bool = False) -> list[dict]
     for r in rows[1:]:
         rec: dict = {}
         for f, v in zip(fields, r):
-            if f and f not in rec and v.strip():
+            if f and v.strip():
                 rec[f] = v.strip()
         if rec.get("business_item"):
             rec["consulter_roles"] = [x.strip() for x in re.split("[/,·;]", rec.get("consulter_roles", "")) if x.strip()]
@@ -108,33 +110,75 @@ def matrix_cells(files: DataFrame, key: str = "regulation_id", longest_first: bo
     return files.select(key, "content").mapInArrow(run, f"{key} {kind}, error string, {CELL}")
 
 
-def excel_text(content: bytes, name: str = ""):
-    return grid_text(sheet_rows(content)), "done", "sheet", []
+class OcrClient:
+    """Text recognition behind one call. post(path, body) sends a JSON body and returns the JSON reply."""
 
+    def __init__(self, base_url: str = "", post: Callable[[str, dict], dict] | None = None, timeout: float = 120.0):
+        self.base_url, self.timeout = base_url.rstrip("/"), timeout
+        self.post = post or self._http
 
-def extract(files: DataFrame, extractors: dict[str, Extractor] | None = None, longest: int = 10) -> DataFrame:
-    """files: file_name, content. Adds kind and extract: spreadsheets by their XML, other kinds by plug-ins.
+    def _http(self, path: str, body: dict) -> dict:
+        from urllib.request import Request, urlopen
 
-    Empty bytes and kinds without a plug-in are pending; a plug-in that raises has failed.
+        request = Request(self.base_url + path, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        with urlopen(request, timeout=self.timeout) as reply:
+            return json.load(reply)
+
+    def pages(self, content: bytes) -> list[tuple[int, str | None]]:
+        """(number from 1, text) of each page."""
+        body = {"document": {"document_url": "data:application/pdf;base64," + base64.b64encode(content).decode()}}
+        return [(n, (page or {}).get("markdown")) for n, page in enumerate(self.post("/v1/ocr", body).get("pages") or [], 1)]
+
+
+def result(text: str | None = None, status: str = "pending", method: str | None = None, pages: list = (), is_table: bool = False, error: str | None = None, page_count: int | None = None) -> dict:
+    return {"text": text or None, "status": status, "method": method, "pages": [{"page_no": n, "text": t} for n, t in pages], "is_table": is_table, "error": error, "page_count": page_count}
+
+
+def recognised(content: bytes, ocr: OcrClient) -> dict:
+    try:
+        pages = ocr.pages(content)
+    except Exception as e:  # whatever the service does, the file has failed and nothing else
+        return result(status="failed", method="ocr-shim", error=f"{type(e).__name__}: {e}")
+    return result("\n\n".join(t for _, t in pages if t), "done", "ocr-shim", pages, page_count=len(pages))
+
+
+#: Characters that a text layer must have to count as one.
+LEAST_TEXT = 10
+
+
+def extracted(content: bytes | None, name: str, kind: str, engines: dict[str, Extractor], ocr: OcrClient | None, least: int = LEAST_TEXT) -> dict:
+    """What is in a file, by its kind. Never raises: a file that cannot be read has failed, one that nothing here reads is pending.
+
+    Sheets are read here. hwp goes to its engine; without one, or where it finds nothing, the file has failed. pdf goes to
+    its engine for the text layer; less than `least` characters are a scan, for ocr, as images are; without ocr they wait.
     """
-    plug = {"excel": excel_text} | (extractors or {})
-    arrow = pa.struct([("text", pa.string()), ("status", pa.string()), ("method", pa.string()), ("pages", pa.list_(pa.struct([("page_no", pa.int32()), ("text", pa.string())])))])
+    if not content:
+        return result(error="no content")
+    try:
+        if kind == "excel":
+            return result(grid_text(sheet_rows(content)), "done", "native", is_table=True)
+        text, method = engines[kind](content, name) if kind in engines else (None, None)
+    except Exception as e:
+        text, method, failed = None, None, f"{type(e).__name__}: {e}"
+        if kind not in ("hwp", "pdf"):
+            return result(status="failed", error=failed)
+    text = (text or "").strip()
+    if kind == "hwp":
+        return result(text, "done", method) if text else result(status="failed", error="no engine could read it")
+    if kind == "pdf" and len(text) >= least:
+        return result(text, "done", method or "native")
+    if kind in ("pdf", "image"):
+        return recognised(content, ocr) if ocr else result(method="native" if kind == "pdf" else None, error="no text layer, and no text recognition")
+    return result(text, "done", method) if text else result(error=f"unsupported kind {kind}")
+
+
+def extract(files: DataFrame, engines: dict[str, Extractor] | None = None, ocr: OcrClient | None = None, least: int = LEAST_TEXT) -> DataFrame:
+    """files: file_name, content. Adds kind, sha256 of the content (null if empty) and extract (see extracted)."""
+    arrow = pa.struct([("text", pa.string()), ("status", pa.string()), ("method", pa.string()), ("pages", pa.list_(pa.struct([("page_no", pa.int32()), ("text", pa.string())]))), ("is_table", pa.bool_()), ("error", pa.string()), ("page_count", pa.int32())])
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for names, contents, kinds in batches:
-            out = []
-            for name, content, kind in zip(names.to_pylist(), contents.to_pylist(), kinds.to_pylist()):
-                got = (None, "pending", None, [])
-                if content and kind in plug:
-                    try:
-                        got = plug[kind](content, name)
-                    except Exception:
-                        got = (None, "failed", None, [])
-                text, status, method, pages = got
-                if text is None and pages:
-                    text = "\n\n".join(t for _, t in pages if t)
-                out.append({"text": text, "status": status, "method": method, "pages": [{"page_no": n, "text": t} for n, t in pages]})
-            yield pa.array(out, arrow)
-
-    with_kind = files.withColumn("kind", file_kind(F.col("file_name")))
+            yield pa.array([extracted(c.as_py(), n, k, engines or {}, ocr, least) for n, c, k in zip(names.to_pylist(), contents, kinds.to_pylist())], arrow)
+
+    with_kind = files.withColumn("kind", file_kind(F.col("file_name"))).withColumn("sha256", F.when(F.length("content") > 0, F.sha2("content", 256)))
     return with_kind.withColumn("extract", arrow_udf(run, returnType=RESULT)("file_name", "content", "kind"))

@@ -11,14 +11,14 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions.text import file_kind, list_date, strip
 
-PAGE_SIZE, MOST_PAGES = 50, 200
+MOST_PAGES = 200
 #: Fields of a list row, as the page's script has them.
 ROW = "art_seq_no string, art_title string, mbr_nick string, read_cnt string, write_date string, add_file_yn string, notice_yn string"
 REF = "board_no int, art_no bigint, position int, title string, author string, view_count int, posted_at timestamp, has_file boolean, is_notice boolean"
 
 
 class PageFetcher(Protocol):
-    """What the streaming source needs of a site."""
+    """What the streaming source needs of a site: the HTML of a board's page, counted from 1, newest entries first; empty beyond the last."""
 
     def list_page(self, board_no: int, page: int) -> str: ...
 
@@ -33,14 +33,15 @@ def list_array(html: Column) -> Column:
 def list_rows(pages: DataFrame) -> DataFrame:
     """pages: board_no, html. One row per list entry with a numeric id, in order of the array."""
     rows = pages.select("board_no", F.posexplode(list_array(F.col("html"))).alias("position", "r"))
-    flag = lambda c: F.coalesce(F.upper(F.col(c)) == "Y", F.lit(False))
+    flag = lambda c: F.coalesce(F.col(c) == "Y", F.lit(False))
+    count = strip(F.col("r.read_cnt"))
     return rows.select(
         "board_no",
         F.col("r.art_seq_no").try_cast("bigint").alias("art_no"),
         "position",
         strip(F.coalesce("r.art_title", F.lit(""))).alias("title"),
-        F.col("r.mbr_nick").alias("author"),
-        F.coalesce(F.regexp_replace("r.read_cnt", ",", "").try_cast("int"), F.lit(0)).alias("view_count"),
+        F.nullif("r.mbr_nick", F.lit("")).alias("author"),
+        F.coalesce(F.when(count.rlike("^[0-9]+$"), count.try_cast("int")), F.lit(0)).alias("view_count"),
         list_date(F.col("r.write_date")).alias("posted_at"),
         flag("r.add_file_yn").alias("has_file"),
         flag("r.notice_yn").alias("is_notice"),
@@ -81,45 +82,79 @@ def fixture_pages(spark, directory: str) -> DataFrame:
     return files.select(F.regexp_extract(path, r"/(\d+)/[^/]+$", 1).try_cast("int").alias("board_no"), F.regexp_extract(path, r"/([^/]+)\.html$", 1).alias("name"), F.col("value").alias("html"))
 
 
-class BoardReader(SimpleDataSourceStreamReader):
-    """Entries above the largest id read so far, newest pages first, stopping at the first known one. The offset is {board: art_no}."""
+def fixture_files(spark, directory: str) -> DataFrame:
+    """Saved attachments <directory>/<board>/files/<stored name>: board_no, stored, content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    kept = files.select(F.regexp_extract("path", r"/(\d+)/files/[^/]+$", 1).try_cast("int").alias("board_no"), F.try_url_decode(F.regexp_extract("path", r"/files/([^/]+)$", 1)).alias("stored"), "content")
+    return kept.filter("board_no is not null and stored <> ''")
 
-    def __init__(self, options: dict):
-        self.boards = [int(b) for b in options.get("boards", "").split(",") if b]
-        self.directory, self.full = options["path"], options.get("full", "false") == "true"
 
-    def initialOffset(self) -> dict:
-        return {str(b): 0 for b in self.boards}
+class SavedPages:
+    """Pages from a folder <path>/<board>/board_p<n>.html that the driver sees, or a shared one if it is mounted."""
+
+    def __init__(self, path: str):
+        self.path = path.removeprefix("file://")
 
-    def _page(self, board: int, page: int) -> str:
+    def list_page(self, board_no: int, page: int) -> str:
         try:
-            with open(f"{self.directory}/{board}/board_p{page}.html", encoding="utf-8") as f:
+            with open(f"{self.path}/{board_no}/board_p{page}.html", encoding="utf-8") as f:
                 return f.read()
         except FileNotFoundError:
             return ""
 
+
+def page_rows(html: str) -> list[dict]:
+    """Entries of a list page, in plain Python, for the reader below."""
+    import re
+
+    m = re.search(r"var\s+exData\s*=\s*(\[.*?\])\s*;", html, re.S)
+    try:
+        found = json.loads(re.sub(r",\s*([\]}])", r"\1", m[1]).replace("\\'", "'")) if m else []
+    except ValueError:
+        return []
+    return [r for r in found if isinstance(r, dict)]
+
+
+class BoardReader(SimpleDataSourceStreamReader):
+    """Entries above the largest id read so far, newest pages first, stopping at the first known one. The offset is {board: art_no}.
+
+    Pages are read until an empty one. A page that repeats the one before, or more than most_pages of them, is an error:
+    silence would drop older entries for good. full reads boards from their beginning once more. Entries whose date is
+    not after since (yyyy-MM-dd) end a board as well.
+    """
+
+    def __init__(self, options: dict, fetcher: PageFetcher | None = None):
+        self.boards = [int(b) for b in options.get("boards", "").split(",") if b]
+        self.fetcher = fetcher or SavedPages(options["path"])
+        self.full, self.since = options.get("full", "false") == "true", options.get("since", "")
+        self.most = int(options.get("most_pages", MOST_PAGES))
+
+    def initialOffset(self) -> dict:
+        return {str(b): 0 for b in self.boards}
+
     def _rows(self, board: int, low: int, high: int | None = None):
-        import re
-
-        for page in range(1, MOST_PAGES + 1):
-            m = re.search(r"var\s+exData\s*=\s*(\[.*?\])\s*;", self._page(board, page), re.S)
-            try:
-                rows = json.loads(re.sub(r",\s*([\]}])", r"\1", m[1]).replace("\\'", "'")) if m else []
-            except ValueError:
-                rows = []
+        before = None
+        for page in range(1, self.most + 1):
+            rows = page_rows(self.fetcher.list_page(board, page))
             if not rows:
                 return
+            if rows == before:
+                raise RuntimeError(f"board {board}: page {page} repeats the one before")
+            before = rows
             for r in rows:
-                art = str(r.get("art_seq_no", ""))
+                art, day = str(r.get("art_seq_no", "")), str(r.get("write_date", ""))
                 if not art.isdigit():
                     continue
-                if int(art) <= low:
+                if int(art) <= low or (self.since and day and day <= self.since):
                     return
                 if high is None or int(art) <= high:
-                    yield (board, int(art), str(r.get("art_title", "")).strip(), str(r.get("write_date", "")))
+                    yield (board, int(art), str(r.get("art_title", "")).strip(), day)
+        raise RuntimeError(f"board {board}: more than {self.most} pages")
 
     def read(self, start: dict):
-        rows = [x for b in self.boards for x in self._rows(b, int(start.get(str(b), 0)))]
+        low = {str(b): 0 if self.full else int(start.get(str(b), 0)) for b in self.boards}
+        self.full = False
+        rows = [x for b in self.boards for x in self._rows(b, low[str(b)])]
         end = {str(b): max([int(start.get(str(b), 0)), *(r[1] for r in rows if r[0] == b)]) for b in self.boards}
         return iter(rows), end
 
@@ -130,15 +165,22 @@ class BoardReader(SimpleDataSourceStreamReader):
         pass
 
 
-class BoardSource(DataSource):
-    """spark.readStream.format("boards").option("boards", "1,2").load(path)"""
+def board_source(fetcher: PageFetcher | None = None, name: str = "boards") -> type[DataSource]:
+    """A streaming source over a fetcher: spark.dataSource.register(board_source(fetcher)); readStream.format(name).option("boards", "1,2")."""
+
+    class BoardSource(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return "board_no int, art_no bigint, title string, write_date string"
+
+        def simpleStreamReader(self, schema) -> BoardReader:
+            return BoardReader(self.options, fetcher)
 
-    @classmethod
-    def name(cls) -> str:
-        return "boards"
+    return BoardSource
 
-    def schema(self) -> str:
-        return "board_no int, art_no bigint, title string, write_date string"
 
-    def simpleStreamReader(self, schema) -> BoardReader:
-        return BoardReader(self.options)
+#: Pages saved in a folder: .option("path", folder).
+BoardSource = board_source()
