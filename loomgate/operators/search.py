@@ -2,8 +2,10 @@
 
 A query is a list of groups: a chunk matches if every group has a term in it (AND of ORs). Terms match as substrings
 of the normalised body, as an index of character bigrams gives them; the score is the number of occurrences. The
-postings table (gram, chunk_id, tf) narrows the candidates by an equality join before bodies are looked at, so a
-search reads the postings of its own grams, not the corpus.
+postings table (gram, chunk_id, tf), sorted by gram where it is stored, narrows the candidates by an equality join before
+bodies are looked at, so a search reads the postings of its own grams and the bodies that have them all. A term that is
+one run of Latin letters or digits has no grams, as it may be part of a longer word: it does not narrow. Without
+postings a search is one scan that marks which hits have all words and which some.
 """
 
 from __future__ import annotations
@@ -62,8 +64,9 @@ def index_tokens(rows: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(gram, chunk_id, tf). Partition or bucket it by gram when written."""
-    return index_tokens(chunks, "body", "chunk_id").groupBy("gram", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    """(gram, chunk_id, tf). Bodies are dealt by chunk first, so their grams are counted, and joined per chunk, without another shuffle. Sort it by gram when written."""
+    dealt = chunks.select("chunk_id", "body").repartition("chunk_id")
+    return index_tokens(dealt, "body", "chunk_id").groupBy("gram", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def occurrences(body: Column, term: str) -> Column:
@@ -94,8 +97,8 @@ def expand(groups: list[list[str]], glossary: DataFrame) -> list[list[str]]:
 
 
 def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """Chunks that hold all grams of some term of every group. Terms too short for the index do not narrow."""
-    out = chunks
+    """Chunks that hold all grams of some term of every group, and those with tokens of their own. Terms too short for the index do not narrow."""
+    narrow = None
     for g in groups:
         wanted = [grams(t) for t in g]
         if not all(wanted):
@@ -105,8 +108,13 @@ def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]]) ->
         some = F.lit(False)
         for w in wanted:
             some = some | (F.size(F.array_intersect("have", F.array(*map(F.lit, w)))) == len(w))
-        out = out.join(have.filter(some).select("chunk_id"), "chunk_id", "left_semi")
-    return out
+        ids = have.filter(some).select("chunk_id")
+        narrow = ids if narrow is None else narrow.join(ids, "chunk_id", "left_semi")
+    if narrow is None:
+        return chunks
+    if "tokenized" not in chunks.columns:
+        return chunks.join(narrow, "chunk_id", "left_semi")
+    return chunks.join(narrow.withColumn("__in", F.lit(True)), "chunk_id", "left").filter(F.col("__in") | F.col("tokenized").isNotNull()).drop("__in")
 
 
 @dataclass
@@ -124,48 +132,62 @@ class Searcher:
             return c.join(self.authority.select("authority_id", "canonical_authority_id"), "authority_id", "left")
         return c if "canonical_authority_id" in c.columns else c.withColumn("canonical_authority_id", F.lit(None).cast("string"))
 
-    def full_text(self, groups, base: DataFrame) -> DataFrame:
-        rows = candidates(base, self.index, groups) if self.index is not None else base
+    def full_text(self, groups, base: DataFrame, some_too: bool = False) -> DataFrame:
+        """Hits of all groups; with some_too also those of some, all marking which."""
+        loose = [[t for g in groups for t in g]]
+        rows = candidates(base, self.index, loose if some_too else groups) if self.index is not None else base
         body = normal(F.col("body"))
         ok, score = match(groups, body)
+        some, _ = match(loose, body)
         if "tokenized" in rows.columns:
             words = F.split(F.lower("tokenized"), " ")
+            has = lambda g: F.coalesce(F.arrays_overlap(words, F.array(*map(F.lit, g))), F.lit(False))
             split = F.lit(True)
             for g in groups:
-                split = split & F.arrays_overlap(words, F.array(*map(F.lit, g)))
-            ok = ok | F.coalesce(split, F.lit(False))
-        return rows.filter(ok).withColumn("raw_score", score.cast("double")).withColumn("match_kind", F.lit("fts"))
+                split = split & has(g)
+            ok, some = ok | split, some | has(loose[0])
+        return rows.filter(some if some_too else ok).withColumn("all", ok).withColumn("raw_score", score.cast("double")).withColumn("match_kind", F.lit("fts"))
 
     def search(self, query: str, *, now: Column, board_ids=None, only_current=True, as_of=None, limit=30, synonyms=True, recency_weight=0.8, or_below=5, inclusive=False) -> tuple[DataFrame, dict]:
         """(hits in order, report). Hits of an exact clause reference come first; ties by chunk_id.
 
         With fewer than or_below hits of more than one term and no clause reference, any term is enough, if that finds
-        more. A blank query has no hits.
+        more. A blank query has no hits. The hits, limit of them at most, are computed here, once, and returned as they
+        are: one pass over the candidates, and a second only where some words have to do.
         """
         text = normalize_query(query)
         spark = self.chunks.sparkSession
         base = self._base(board_ids, only_current, as_of, inclusive)
         groups = parse_query(text)
+        shown = [F.col(c) for c in HIT if c in base.columns]
         if not groups:
-            return base.limit(0).select(*[F.col(c) for c in HIT if c in base.columns]), {"strategy": "empty", "query": ""}
+            return base.limit(0).select(*shown), {"strategy": "empty", "query": ""}
         ref = spark.range(1).select(clause_ref(F.lit(text)).alias("r")).first().r
         expanded = expand(groups, self.glossary) if synonyms and self.glossary is not None else groups
-        found, used = self.full_text(expanded, base), expanded
-        fell_back = False
-        if ref is None and len(groups) > 1:
-            few = found.limit(or_below).count()
-            if few < or_below:
-                loose = [[t for g in expanded for t in g]]
-                wider = self.full_text(loose, base)
-                if wider.limit(few + 1).count() > few:
-                    found, used, fell_back = wider, loose, True
-        if ref is not None:
-            exact = base.filter((F.col("canonical_clause_id") == ref) | (F.col("clause_label") == ref)).withColumn("raw_score", F.lit(1.0)).withColumn("match_kind", F.lit("exact"))
-            found = first_kind(exact.unionByName(found))
         score = recency(F.col("raw_score"), F.col("posted_at"), now, recency_weight)
-        hits = found.withColumn("score", score).orderBy((F.col("match_kind") == "exact").desc(), F.desc("score"), "chunk_id").limit(limit)
+        order = [(F.col("match_kind") == "exact").desc(), F.desc("score"), "chunk_id"]
+
+        def top(found: DataFrame, n: int, *first) -> tuple[list, object]:
+            hits = found.withColumn("score", score).orderBy(*first, *order).limit(n).select(*shown, "raw_score", "match_kind", "score", "all")
+            return hits.collect(), hits.schema
+
+        used, fell_back = expanded, False
+        if ref is not None:
+            exact = base.filter((F.col("canonical_clause_id") == ref) | (F.col("clause_label") == ref)).withColumn("all", F.lit(True)).withColumn("raw_score", F.lit(1.0)).withColumn("match_kind", F.lit("exact"))
+            rows, schema = top(first_kind(exact.unionByName(self.full_text(expanded, base))), limit)
+        else:
+            may_fall = len(groups) > 1
+            one_pass = may_fall and self.index is None
+            rows, schema = top(self.full_text(expanded, base, one_pass), max(limit, or_below + 1), F.col("all").desc())
+            whole = [r for r in rows if r.all]
+            if may_fall and len(whole) < or_below and (len(rows) > len(whole) or not one_pass):
+                some, schema = top(self.full_text(expanded, base, True), max(limit, or_below + 1))
+                if len(some) > len(whole):
+                    whole, used, fell_back = some, [[t for g in expanded for t in g]], True
+            rows = whole[:limit]
         strategy = "exact_clause" if ref is not None else "or_fallback" if fell_back else "synonym_expanded" if expanded != groups else "ngram"
-        return hits.select(*[c for c in HIT if c in hits.columns], "raw_score", "match_kind", "score"), {"strategy": strategy, "query": " ".join(" OR ".join(g) for g in used), "clause_ref": ref}
+        hits = spark.createDataFrame(rows, schema).coalesce(1).drop("all")
+        return hits, {"strategy": strategy, "query": " ".join(" OR ".join(g) for g in used), "normalized": text, "clause_ref": ref, "n": len(rows), "top_score": rows[0].score if rows else None}
 
 
 def first_kind(hits: DataFrame) -> DataFrame:
@@ -176,13 +198,22 @@ def first_kind(hits: DataFrame) -> DataFrame:
     return hits.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+#: Rows of a batch of queries' tokens that are broadcast at most.
+BROADCAST_TOKENS = 1_000_000
+
+
 def search_many(queries: DataFrame, chunks: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
-    """queries: query_id, text. Top k chunks of each by the number of matching index tokens: one join for all queries."""
+    """queries: query_id, text. Top k chunks of each by the number of matching index tokens: one pass over the postings for all queries.
+
+    The queries' tokens are counted and, up to BROADCAST_TOKENS, sent to the postings. Postings that lie by chunk
+    (postings() leaves them so) are then summed where they are; only each task's k best of a query travel.
+    """
     from pyspark.sql import Window
 
     q = index_tokens(queries, "text", "query_id").distinct()
     wanted = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    hits = q.join(index, "gram").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("matched"))
+    few = q.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    hits = index.select("gram", "chunk_id", "tf").join(F.broadcast(q) if few else q, "gram").groupBy("query_id", "chunk_id").agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("matched"))
     w = Window.partitionBy("query_id").orderBy(F.desc("matched"), F.desc("score"), "chunk_id")
-    ranked = hits.join(wanted, "query_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).join(wanted, "query_id")
     return ranked.join(chunks.select("chunk_id", "board_id"), "chunk_id")
