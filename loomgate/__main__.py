@@ -1,6 +1,7 @@
 """python -m loomgate {ingest,health,eval} --root STORE ...
 
-Exit codes: 0 all well, 1 some posts failed or sources are silent, 2 wrong usage.
+`ingest --health-check` checks and does nothing else. Exit codes: 0 done (posts that failed are in the counters and are
+read again next time), 1 sources are silent, 2 wrong usage.
 """
 
 from __future__ import annotations
@@ -11,17 +12,17 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from . import jobs, tables
+from . import ingest, jobs, tables
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="loomgate")
     sub = p.add_subparsers(dest="job", required=True)
     i = sub.add_parser("ingest")
-    which = i.add_mutually_exclusive_group(required=True)
+    which = i.add_mutually_exclusive_group()
     which.add_argument("--board", type=int)
     which.add_argument("--all", action="store_true")
-    i.add_argument("--pages", required=True)
+    i.add_argument("--pages")
     i.add_argument("--full", action="store_true")
     i.add_argument("--health-check", action="store_true")
     h = sub.add_parser("health")
@@ -35,16 +36,20 @@ def main(argv: list[str] | None = None) -> int:
     if a.job == "eval":
         print(json.dumps(jobs.evaluate(tables.load(spark, a.root), a.eval_set).first().asDict(), ensure_ascii=False))
         return 0
-    bad = 0
-    if a.job == "ingest":
-        for r in jobs.ingest_pages(spark, a.pages, a.root, None if a.all else [a.board], a.full).collect():
-            print(json.dumps(r.asDict(), ensure_ascii=False, default=str))
-            bad += r.failures
     if a.job == "health" or a.health_check:
         silent = [r.name for r in jobs.health(spark, a.root, hours=getattr(a, "hours", 24)).collect()]
         print(json.dumps({"silent": silent}, ensure_ascii=False))
-        bad += len(silent)
-    return int(bad > 0)
+        return int(bool(silent))
+    if not (a.all or a.board) or not a.pages:
+        i.print_usage(sys.stderr)
+        return 2
+    t = tables.load(spark, a.root)
+    boards = ingest.seed_boards(spark, boards=t["board"]) if t["board"].isEmpty() else t["board"]
+    t |= tables.save(spark, a.root, {"board": boards})
+    tables.save(spark, a.root, {"ingest_state": ingest.seed_states(t["ingest_state"], t["board"])})
+    for r in jobs.ingest_pages(spark, a.pages, a.root, None if a.all else [a.board], a.full).collect():
+        print(json.dumps(r.asDict(), ensure_ascii=False, default=str))
+    return 0
 
 
 if __name__ == "__main__":

@@ -1,65 +1,117 @@
-"""Batch jobs: ingest saved board pages into a store, check its health, evaluate a golden set."""
+"""Batch jobs: ingest board pages into a store, check its health, evaluate a golden set."""
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ingest, tables
+from . import ingest, store, tables
 from .operators import analytics, govern, merge
-from .operators.chunks import build_chunks
-from .operators.clauses import parse_clauses
+from .operators.chunks import build_chunks, replace_posts
+from .operators.clauses import parse_clauses, parse_matrix
 from .operators.search import postings, search_many
 from .runtime import ship
 from .schemas import conform
 from .sources import pages
+from .sources.files import extract, matrix_cells
 from .streaming.incremental import stalled_sources
 
 
-def ingest_pages(spark: SparkSession, directory: str, root: str, board_numbers: list[int] | None = None, full: bool = False, now: datetime | None = None) -> DataFrame:
-    """Read <directory>/<board number>/{board_p1,post_<n>,inner_<n>}.html of boards that the store knows, and merge what is new.
+def ingest_pages(spark: SparkSession, directory: str, root: str, board_numbers: list[int] | None = None, full: bool = False, now: datetime | None = None, engines: dict | None = None, ocr=None) -> DataFrame:
+    """ingest_saved() of <directory>/<board number>/{board_p1,post_<n>,inner_<n>}.html and files/<stored name>."""
+    ship(spark)
+    return ingest_saved(spark, pages.fixture_pages(spark, directory), pages.fixture_files(spark, directory), root, board_numbers, full, now, engines, ocr)
+
+
+def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, root: str, board_numbers: list[int] | None = None, full: bool = False, now: datetime | None = None, engines: dict | None = None, ocr=None) -> DataFrame:
+    """Merge what is new on boards that the store knows. saved: board_no, name, html. contents: board_no, stored, content of attachments.
 
-    Returns counters per board. A post without a readable page counts as a failure, and is read again next time.
+    Returns counters per board. A post without a readable page counts as a failure, and is read again next time; a file
+    that is missing or cannot be read fails by itself, and its post goes on. Only the parts of tables that the new posts
+    fall in are written.
     """
     ship(spark)
     at = F.lit(now or datetime.now()).cast("timestamp")
+    run, held = f"{root}/_run/{uuid.uuid4().hex}", []
+
+    def written(df: DataFrame) -> DataFrame:
+        held.append(f"{run}/{len(held)}")
+        df.write.parquet(held[-1])
+        return spark.read.schema(df.schema).parquet(held[-1])
+
     t = tables.load(spark, root)
-    saved = pages.fixture_pages(spark, directory).join(t["board"].filter("included").select(F.col("bizbox_board_no").alias("board_no")), "board_no", "left_semi")
+    known = t["board"].filter("included").select("board_id", F.col("bizbox_board_no").alias("board_no"))
+    saved = saved.join(known.select("board_no"), "board_no", "left_semi")
     if board_numbers is not None:
         saved = saved.filter(F.col("board_no").isin(board_numbers))
     refs = pages.list_rows(saved.filter(F.col("name").rlike(r"^board_p\d+$")).select("board_no", "html")).dropDuplicates(["board_no", "art_no"])
-    known = t["board"].select("board_id", "bizbox_board_no")
-    state = t["ingest_state"].join(known, "board_id").select(F.col("bizbox_board_no").alias("board_id"), "last_art_no", "last_posted_at")
+    state = t["ingest_state"].join(known, "board_id").select(F.col("board_no").alias("board_id"), "last_art_no", "last_posted_at")
     refs = refs if full else pages.since(refs, state)
     page = lambda kind: saved.filter(F.col("name").rlike(rf"^{kind}_\d+$")).select("board_no", F.split_part("name", F.lit("_"), F.lit(2)).try_cast("bigint").alias("art_no"), "html")
-    bodies = pages.post_bodies(refs, page("post"), page("inner"))
+    bodies = written(pages.post_bodies(refs, page("post"), page("inner")))
     good = bodies.filter("view_html is not null")
-    posts = ingest.upsert_posts(t["post"], ingest.posts_of(good, t["board"]).withColumn("crawled_at", at))
-    t |= tables.save(spark, root, {"post": posts})
-    ids = t["post"].join(known, "board_id").select("post_id", F.col("bizbox_board_no").alias("board_no"), F.col("bizbox_art_no").alias("art_no"))
-    links = pages.attachment_links(good).join(ids, ["board_no", "art_no"])
-    new = conform(links.select("post_id", "file_name", "kind", F.col("url").alias("download_url"), F.concat_ws("/", "post_id", "stored").alias("storage_path"), F.lit("pending").alias("ocr_status"), F.lit(False).alias("is_table")), "attachment")
-    files = merge.merge(t["attachment"], new, ["post_id", "storage_path"], update_when=F.lit(False), id_column="attachment_id")
-    regulations = ingest.upsert_regulations(t["regulation"], ingest.regulations_of(t["post"]))
-    t |= tables.save(spark, root, {"attachment": files, "regulation": regulations})
-    text = t["regulation"].filter("is_current").join(t["post"].select(F.col("post_id").alias("source_post_id"), "body_text"), "source_post_id")
-    clauses = ingest.upsert_clauses(t["clause"], parse_clauses(text.select("regulation_id", F.col("body_text").alias("text"))))
-    t |= tables.save(spark, root, {"clause": clauses})
-    done = bodies.select("board_no", "art_no", "posted_at", F.when(F.col("view_html").isNull(), "no page").alias("error"))
-    n = links.groupBy("board_no", "art_no").agg(F.count(F.lit(1)).alias("n_attachments"))
-    done = done.join(n, ["board_no", "art_no"], "left").join(known, F.col("board_no") == F.col("bizbox_board_no"))
-    runs = ingest.summarize(done.withColumns({"n_attachments": F.coalesce("n_attachments", F.lit(0)), "n_clauses": F.lit(0), "n_authorities": F.lit(0)}))
-    fresh = conform(t["board"].select("board_id", F.lit("idle").alias("status"), F.lit("ok").alias("health"), F.lit(0).alias("consecutive_failures")), "ingest_state")
-    base = merge.insert_absent(t["ingest_state"], fresh, ["board_id"])
-    state = merge.advance_state(base, runs, at)
-    bad = runs.select("board_id", F.col("failures").alias("__f"))
-    state = state.join(bad, "board_id", "left").withColumn("consecutive_failures", F.when(F.col("__f") > 0, F.coalesce("consecutive_failures", F.lit(0)) + 1).when(F.col("__f") == 0, 0).otherwise(F.col("consecutive_failures")).cast("int"))
-    state = state.withColumn("health", F.when(F.col("consecutive_failures") > 0, "degraded").otherwise("ok")).withColumn("heartbeat_at", F.when(F.col("__f").isNotNull(), at).otherwise(F.col("heartbeat_at")))
-    chunks = build_chunks(t["post"], t["regulation"], t["clause"], now=at)
-    runs = spark.createDataFrame(runs.collect(), runs.schema)  # one row per board; the state they are made of changes next
-    tables.save(spark, root, {"chunk": chunks, "ingest_state": conform(state, "ingest_state")})
+    # attachments: fetched, hashed and read before their posts, whose hash they are part of
+    links = pages.attachment_links(good).join(contents, ["board_no", "stored"], "left")
+    files = written(extract(links, engines, ocr))
+    new = written(conform(ingest.posts_of(good, t["board"], files.select("board_no", "art_no", "sha256")).withColumn("crawled_at", at), "post"))
+    top = lambda name, column: t[name].agg(F.max(column)).first()[0] or 0
+    highest = top("post", "post_id")
+    t["post"] = tables.update(spark, root, "post", new, lambda old: ingest.upsert_posts(old, new, highest))
+    mine = written(t["post"].join(new.select(*ingest.NATURAL), ingest.NATURAL, "left_semi").join(known, "board_id"))
+    ids = mine.select("post_id", "board_no", F.col("bizbox_art_no").alias("art_no"))
+    files = written(files.join(ids, ["board_no", "art_no"]))
+    rows = written(ingest.attachments_of(files, at))
+    highest_file = top("attachment", "attachment_id")
+    t["attachment"] = tables.update(spark, root, "attachment", rows, lambda old: ingest.upsert_attachments(old, rows, highest_file))
+    named = t["attachment"].select("attachment_id", "post_id", "storage_path", "sha256")
+    of_file = files.withColumn("storage_path", F.concat_ws("/", F.col("post_id").cast("string"), "stored")).join(named.drop("sha256"), ["post_id", "storage_path"])
+    sheets = written(of_file.select("attachment_id", F.explode("extract.pages").alias("p")).select("attachment_id", "p.page_no", F.col("p.text").alias("ocr_text")))
+    highest_page = top("attachment_page", "page_id")
+    t["attachment_page"] = tables.update(spark, root, "attachment_page", sheets, lambda old: ingest.upsert_pages(old, sheets, highest_page))
+    # regulations, their clauses and their matrices
+    regs = written(ingest.regulations_of(mine))
+    highest_reg = top("regulation", "regulation_id")
+    t["regulation"] = tables.update(spark, root, "regulation", regs, lambda old: ingest.upsert_regulations(old, regs, highest_reg))
+    my_regs = written(t["regulation"].filter("is_current").join(mine.select(F.col("post_id").alias("source_post_id"), "body_text"), "source_post_id"))
+    parsed = written(parse_clauses(my_regs.select("regulation_id", F.col("body_text").alias("text"))))
+    read_again = my_regs.select("regulation_id")
+    highest_clause = top("clause", "clause_id")
+    t["clause"] = tables.update(spark, root, "clause", read_again, lambda old: ingest.upsert_clauses(old, parsed, highest_clause, read_again))
+    excel = of_file.filter("kind = 'excel' and content is not null").join(my_regs.select("regulation_id", F.col("source_post_id").alias("post_id")), "post_id")
+    cells = matrix_cells(excel.select("regulation_id", "content"))
+    lines, refused = parse_matrix(cells.filter("error is null").drop("error"))
+    lines = written(merge.last_per_key(lines, ["canonical_authority_id"], "amount_min"))
+    highest_line = top("authority_matrix", "authority_id")
+    t["authority_matrix"] = tables.update(spark, root, "authority_matrix", lines, lambda old: ingest.upsert_authority(old, lines, highest_line))
+    # the corpus, of these posts only
+    my_ids = mine.select("post_id")
+    rebuilt = written(build_chunks(mine.drop("board_no"), my_regs.drop("body_text"), t["clause"].join(read_again, "regulation_id", "left_semi"), now=at))
+    keyed = my_ids.select(F.col("post_id").alias("source_post_id"))
+    t["chunk"] = tables.update(spark, root, "chunk", keyed, lambda old: replace_posts(old, rebuilt, my_ids))
+    grams = postings(rebuilt).join(rebuilt.select("chunk_id", "source_post_id"), "chunk_id").select(tables.POSTINGS.fieldNames())
+    store.update(spark, f"{root}/postings", keyed, ["source_post_id"], lambda old: old.join(keyed, "source_post_id", "left_anti").select(grams.columns).unionByName(grams), tables.POSTINGS, sort=["gram", "chunk_id"])
+    # counters and marks
+    per_post = lambda df, name: df.groupBy("board_no", "art_no").agg(F.count(F.lit(1)).alias(name))
+    reg_post = my_regs.select("regulation_id", F.col("source_post_id").alias("post_id")).join(ids, "post_id").drop("post_id")
+    error = F.when(F.col("view_html").isNull(), "no page").when(F.col("__text").isNull(), "unreadable")
+    text_of = new.join(known, "board_id").select("board_no", F.col("bizbox_art_no").alias("art_no"), F.col("body_text").alias("__text"))
+    done = bodies.join(text_of, ["board_no", "art_no"], "left").select("board_no", "art_no", "posted_at", error.alias("error")).join(known, "board_no")
+    for df, name in ((files, "n_attachments"), (parsed.join(reg_post, "regulation_id"), "n_clauses"), (lines.join(reg_post, "regulation_id"), "n_authorities")):
+        done = done.join(per_post(df, name), ["board_no", "art_no"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    chunks_of = rebuilt.join(mine.select(F.col("post_id").alias("source_post_id"), F.col("board_id").alias("__b")), "source_post_id").groupBy(F.col("__b").alias("board_id")).agg(F.count(F.lit(1)).alias("chunks"))
+    bad = refused.join(reg_post, "regulation_id").join(known, "board_no").groupBy("board_id").agg(F.count(F.lit(1)).alias("refused_cells"))
+    runs = ingest.summarize(done).join(chunks_of, "board_id", "left").join(bad, "board_id", "left").fillna(0, ["chunks", "refused_cells"])
+    runs = spark.createDataFrame(runs.collect(), runs.schema)  # a row per board; the tables they come from change next
+    state = merge.advance_state(ingest.seed_states(t["ingest_state"], t["board"]), runs, at)
+    state = state.join(runs.select("board_id", F.col("failures").alias("__f")), "board_id", "left")
+    ran = F.col("__f").isNotNull()
+    # a run that ends is idle; its failures make a source degraded, and only a run that breaks off is an error in a row
+    state = state.withColumns({"status": F.when(ran, "idle").otherwise(F.col("status")), "consecutive_failures": F.when(ran, 0).otherwise(F.col("consecutive_failures")), "health": F.when(F.col("__f") > 0, "degraded").when(ran, "healthy").otherwise(F.col("health")), "heartbeat_at": F.when(ran, at).otherwise(F.col("heartbeat_at"))})
+    tables.save(spark, root, {"ingest_state": state})
+    store.remove(spark, run)
     return runs
 
 
@@ -68,17 +120,16 @@ def health(spark: SparkSession, root: str, now: datetime | None = None, hours: i
     return stalled_sources(t["ingest_state"], t["board"], F.lit(now or datetime.now()).cast("timestamp"), hours)
 
 
-def evaluate(t: dict[str, DataFrame], eval_set: str | None = None, k: int = 10, allowed: DataFrame | None = None) -> DataFrame:
-    """Metrics of a golden set, all its queries in one batch."""
-    q = t["eval_query"] if eval_set is None else t["eval_query"].filter(F.col("eval_set") == eval_set)
+def evaluate(t: dict[str, DataFrame], eval_set: str | None = None, k: int = 10, allowed: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Metrics of a golden set, all its queries in one batch. index: postings of the chunks, computed if there are none."""
+    q = (t["eval_query"] if eval_set is None else t["eval_query"].filter(F.col("eval_set") == eval_set)).orderBy("eval_query_id")
     chunks = t["chunk"].filter("is_current")
     chunks = chunks if allowed is None else govern.only_allowed(chunks, allowed)
-    found = search_many(q.select(F.col("eval_query_id").alias("query_id"), F.col("query_text").alias("text")), chunks, postings(chunks), k)
+    found = search_many(q.select(F.col("eval_query_id").alias("query_id"), F.col("query_text").alias("text")), chunks, postings(chunks) if index is None else index, k)
     found = found.filter(F.col("matched") == F.col("terms")).withColumnRenamed("query_id", "eval_query_id").drop("board_id")
     ids = chunks.join(t["authority_matrix"].select("authority_id", "canonical_authority_id"), "authority_id", "left")
     hits = found.join(ids, "chunk_id")
-    canonical = F.coalesce("canonical_clause_id", "canonical_authority_id", F.concat(F.lit("post#"), F.col("source_post_id").cast("string")))
-    top = hits.select("eval_query_id", canonical.alias("canonical_id"), "rank", F.col("score").cast("double").alias("score"))
+    top = hits.select("eval_query_id", govern.canonical_id().alias("canonical_id"), "rank", F.col("score").cast("double").alias("score"))
     cites = govern.validate_citations(govern.cite(hits), t["clause"], t["authority_matrix"], t["post"]).filter("validated").select("chunk_id", F.col("citation_id").alias("canonical_id")).distinct()
     cited = hits.select("eval_query_id", "chunk_id").join(cites, "chunk_id").select("eval_query_id", "canonical_id")
     silent = govern.abstain(top, q.select("eval_query_id"), key="eval_query_id")

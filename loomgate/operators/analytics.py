@@ -36,6 +36,27 @@ def approvers(authority: DataFrame, text: str, regulations: DataFrame | None = N
     return (rows.filter(ok) if groups else rows.limit(0)).select(*LINE).orderBy(F.col("order_seq").asc_nulls_last(), "authority_id")
 
 
+def dispatch(question: str, authority: DataFrame, regulations: DataFrame, board_ids=None) -> tuple[str, DataFrame]:
+    """(kind, rows) of a question about approvals or numbers: an amount in it asks for the approval line, a word of counting for
+    the regulations of each board, anything else for the approvers of a business item. No rows is an answer.
+
+    All kinds have the columns of LINE and label, value: the business item and its approver, or the board and its count.
+    """
+    from ..functions.money import question_amount
+    from ..functions.text import AGGREGATE_WORDS, AUTHORITY_WORDS, normalize_query
+
+    text = normalize_query(question)
+    amount = question_amount(text)
+    lined = lambda df: df.withColumn("label", F.col("business_item")).withColumn("value", F.col("approver_role"))
+    if amount is not None:
+        return "approval_line", lined(approval_line(authority, amount, regulations, board_ids))
+    if not any(w in text for w in AUTHORITY_WORDS) and any(w in text for w in AGGREGATE_WORDS):
+        counts = board_counts(regulations, None, board_ids)
+        none = [F.lit(None).cast(authority.schema[c].dataType).alias(c) for c in LINE]
+        return "board_count", counts.select(*none, F.col("board_id").cast("string").alias("label"), F.col("value").cast("string").alias("value"))
+    return "approver", lined(approvers(authority, text, regulations, board_ids, stop=AUTHORITY_WORDS))
+
+
 def band_join(values: DataFrame, value: str, bands: DataFrame, width: int | None = None, broadcast_rows: int = 10_000) -> DataFrame:
     """Each value with the bands that hold it.
 
@@ -111,11 +132,11 @@ def evaluate(queries: DataFrame, gold: DataFrame, found: DataFrame, cited: DataF
         share(F.col("should_abstain") & F.col("abstained"), F.col("should_abstain")).alias("abstain_recall"),
         F.count_if(~F.col("should_abstain") & F.col("abstained")).alias("over_abstain"),
     )
-    return main.join(types)  # one row each
+    return main.crossJoin(types)  # both have one row: aggregates without keys
 
 
 def run_counts(posts: DataFrame) -> DataFrame:
-    """Per board: posts, attachments, clauses, authorities, failures and the marks of what succeeded. posts: board_id, art_no, posted_at, error, counts."""
+    """Per board: posts, attachments, clauses, authorities, failures, the lowest failed number, and the marks of what succeeded. posts: board_id, art_no, posted_at, error, counts."""
     ok = F.col("error").isNull()
     return posts.groupBy("board_id").agg(
         F.count_if(ok).alias("posts"),
@@ -125,5 +146,5 @@ def run_counts(posts: DataFrame) -> DataFrame:
         F.count_if(~ok).alias("failures"),
         F.max(F.when(ok, F.col("art_no"))).alias("last_art_no"),
         F.max(F.when(ok, F.col("posted_at"))).alias("last_posted_at"),
-        F.collect_list(F.when(~ok, F.col("art_no"))).alias("retry"),
+        F.min(F.when(~ok, F.col("art_no"))).alias("lowest_failure"),
     )

@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.redaction import email_hash, redact
 from ..functions.text import absolute_url
+from ..schemas import SCHEMAS, conform
 
 
 @dataclass(frozen=True)
 class Identity:
     role: str | None = None
     email: str | None = None
+    session: str | None = None
 
     @classmethod
-    def from_headers(cls, headers: dict[str, str], role_key: str = "x-user-role", email_key: str = "x-user-email") -> Identity:
+    def from_headers(cls, headers: dict[str, str], role_key: str = "x-user-role", email_key: str = "x-user-email", session_key: str = "x-session-id") -> Identity:
         low = {k.lower(): v.strip() for k, v in headers.items() if v}
-        return cls(low.get(role_key) or None, low.get(email_key) or None)
+        return cls(low.get(role_key) or None, low.get(email_key) or None, low.get(session_key) or None)
 
     @property
     def present(self) -> bool:
@@ -54,6 +56,11 @@ def only_allowed(df: DataFrame, allowed: DataFrame, column: str = "board_id") ->
     return df.join(allowed.select(F.col("board_id").alias(column)), column, "left_semi")
 
 
+def canonical_id() -> Column:
+    """The id of a hit: its clause's, its authority row's, or its post's."""
+    return F.coalesce("canonical_clause_id", "canonical_authority_id", F.concat(F.lit("post#"), F.col("source_post_id").cast("string")))
+
+
 def cite(hits: DataFrame) -> DataFrame:
     """One citation per hit: the clause, the authority, or the post; hits without an id have none."""
     kind = F.when((F.col("chunk_class") == "clause") & F.col("canonical_clause_id").isNotNull(), "clause").when((F.col("chunk_class") == "authority_cell") & F.col("canonical_authority_id").isNotNull(), "authority").when(F.col("source_post_id").isNotNull(), "post")
@@ -111,13 +118,15 @@ def permute(hits: DataFrame, order: DataFrame, key: str = "query_id", top_k: int
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).drop("place")
 
 
-def rerank(hits: DataFrame, client=None, key: str = "query_id", query: str = "query_text", top_k: int = 8) -> DataFrame:
+def rerank(hits: DataFrame, client=None, key: str = "query_id", query: str = "query_text", top_k: int = 8, candidates: int = 100) -> DataFrame:
     """Top hits per query in the order of client.rank(query, candidates) -> list of positions, with reranked and rerank_reason.
 
+    A client sees so many candidates of a query at most, the first in position; they are one group in one task.
+
     Bodies are redacted before they reach the client. Without a client, or when it fails or answers with positions
     that are not there, the order stays and the reason says so. hits: key, query, position, posted_at, body.
     """
-    shown = hits.withColumn("__text", candidate_text(F.col("posted_at"), redact(F.col("body"))))
+    shown = hits.filter(F.col("position") < max(candidates, top_k)).withColumn("__text", candidate_text(F.col("posted_at"), redact(F.col("body"))))
 
     def one(table: pa.Table) -> pa.Table:
         t = table.sort_by("position")
@@ -150,18 +159,14 @@ def source_meta(hits: DataFrame, posts: DataFrame, boards: DataFrame, regulation
     return h.withColumn("source", source).select(*hits.columns, "source")
 
 
-def audit_row(spark, identity: Identity, tool: str, decision: str, now, requested=None, allowed=None, denied=None, reason=None, session=None) -> DataFrame:
-    from ..schemas import conform
-
-    row = [(now, tool, identity.role, identity.email, identity.present, decision, requested, allowed, denied, reason, session)]
+def audit_row(spark, identity: Identity, tool: str, decision: str, now, requested=None, allowed=None, denied=None, reason=None) -> DataFrame:
+    """One row of acl_audit; the address only as its hash."""
+    row = [(now, tool, identity.role, identity.email, identity.present, decision, requested, allowed, denied, reason, identity.session)]
     df = spark.createDataFrame(row, "occurred_at timestamp, tool_name string, user_role string, email string, identity_present boolean, decision string, requested_board_ids array<int>, allowed_board_ids array<int>, denied_board_ids array<int>, reason string, session_id string")
     return conform(df.withColumn("user_email_hash", email_hash(F.col("email"))), "acl_audit")
 
 
-def append(df: DataFrame, path: str) -> bool:
-    """Append to a log; a failure to write never fails the request."""
-    try:
-        df.write.mode("append").parquet(path)
-        return True
-    except Exception:
-        return False
+def query_row(spark, identity: Identity, now, **values) -> DataFrame:
+    """One row of query_log from the columns' values."""
+    row = {f.name: values.get(f.name) for f in SCHEMAS["query_log"]} | {"user_role": identity.role, "user_email_hash": identity.email, "asked_at": now, "session_id": identity.session}
+    return spark.createDataFrame([row], SCHEMAS["query_log"]).withColumn("user_email_hash", email_hash(F.col("user_email_hash")))
