@@ -134,7 +134,7 @@ SELECT chunk_id, board_id, match_kind, raw_score FROM k WHERE n = 1""")
 def exact_union_dedup(spark, d):
     s = search.Searcher(corpus(spark, d).join(posts(spark, d).select(F.col("post_id").alias("chunk_id"), "lang"), "chunk_id"))
     base = s._base(None, True, None, False)
-    exact = base.filter("lang = 'de'").withColumn("raw_score", F.lit(1.0)).withColumn("match_kind", F.lit("exact"))
+    exact = base.filter("lang = 'de'").withColumn("all", F.lit(True)).withColumn("raw_score", F.lit(1.0)).withColumn("match_kind", F.lit("exact"))
     return search.first_kind(exact.unionByName(s.full_text([["keit"]], base))).select("chunk_id", "board_id", "match_kind", "raw_score")
 
 
@@ -146,10 +146,11 @@ def search_postings(spark, d):
     return search.postings(corpus(spark, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("tf"))
 
 
-@query(_search_sql("contains(b, 'thnd') AND contains(b, 'the')", ("thnd", "the")))
+@query(_search_sql("contains(b, 'mail7.example.com') OR contains(b, 'mail6.example.com')", ("mail7.example.com", "mail6.example.com")))
 def search_indexed(spark, d):
+    """The postings of 7, 6 and example tell which bodies are looked at."""
     c = corpus(spark, d)
-    hits, _ = search.Searcher(c, index=search.postings(c)).search("thnd the", now=_now(), synonyms=False)
+    hits, _ = search.Searcher(c, index=search.postings(c)).search("mail7.example.com OR mail6.example.com", now=_now(), synonyms=False)
     return _shown(hits)
 
 
@@ -186,18 +187,30 @@ def chunk_build(spark, d):
     return built.select("chunk_class", "board_id", "source_post_id", "char_len", "content_hash")
 
 
-_RE_MAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_W = r"\p{L}\p{N}_"
 
 
-@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_RE_MAIL}', '[EMAIL]', 'g'),
- '\b\d{{6}}-\d{{7}}\b', '[RRN]', 'g'), '\b\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}[ -]?\d{{4}}\b', '[CARD]', 'g'), '\b0\d{{1,2}}-?\d{{3,4}}-?\d{{4}}\b', '[PHONE]', 'g') AS body FROM documents""")
+@query(rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[{_W}.+-]+@[{_W}-]+\.[{_W}.-]+', '[이메일]', 'g'),
+ '\b\d{{6}}-\d{{7}}\b', '[주민번호]', 'g'), '\b\d{{4}}[- ]?\d{{4}}[- ]?\d{{4}}[- ]?\d{{4}}\b', '[카드]', 'g'), '\b0\d{{1,2}}-?\d{{3,4}}-?\d{{4}}\b', '[전화]', 'g') AS body FROM documents""")
 def redact_pii(spark, d):
     return read(spark, d, "documents").select("doc_id", redaction.redact(F.col("text"), "legacy", account=False).alias("body"))
 
 
-@query()
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey AS VARCHAR) AS a, CAST(l_partkey AS VARCHAR) AS b, CAST(l_suppkey AS VARCHAR) AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, '납부 ' || CASE WHEN length(a) BETWEEN 2 AND 6 AND length(b) BETWEEN 2 AND 6 AND length(c) BETWEEN 2 AND 6 AND length(a || b || c) >= 9 THEN '[계좌번호]' ELSE a || '-' || b || '-' || c END
+ || '로, ' || a || '-' || b || ' 2024-01-0' || l_linenumber AS body FROM t""")
 def redact_account(spark, d):
-    return read(spark, d, "documents").select("doc_id", redaction.redact(F.col("text")).alias("body"))
+    a, b, c = (F.col(x).cast("string") for x in ("l_orderkey", "l_partkey", "l_suppkey"))
+    body = F.concat(F.lit("납부 "), a, F.lit("-"), b, F.lit("-"), c, F.lit("로, "), a, F.lit("-"), b, F.lit(" 2024-01-0"), F.col("l_linenumber").cast("string"))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", redaction.redact(body).alias("body"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '문의 [이메일] 로' WHEN 1 THEN '[주민번호]는' WHEN 2 THEN '카드 [카드]입니다' ELSE '[전화]으로 ' || c_custkey END AS body FROM customer""")
+def redact_attached(spark, d):
+    """Personal data that a particle or Korean letters touch."""
+    k, n = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    body = F.when(k == 0, F.concat(F.lit("문의 홍길동."), n, F.lit("@회사.kr 로"))).when(k == 1, F.concat(F.lpad(n, 6, "9"), F.lit("-1234567는"))).when(k == 2, F.concat(F.lit("카드 1234-5678 "), F.lpad(n, 8, "4"), F.lit("입니다"))).otherwise(F.concat(F.lit("02-"), F.lpad(n, 7, "3"), F.lit("으로 "), n))
+    return read(spark, d, "customer").select("c_custkey", redaction.redact(body).alias("body"))
 
 
 @query("SELECT c_custkey, sha256(lower(trim(c_name, ' '))) AS email_hash FROM customer")
@@ -213,30 +226,54 @@ def content_hash(spark, d):
     return g.select("conv_id", redaction.content_hash(F.col("body"), F.col("h")).alias("content_hash"))
 
 
-@query()
+_BLANK = r"[ \t\x{A0}\x{3000}\f\v]+"
+
+
+def _lines(c: str) -> str:
+    return f"array_to_string(list_filter(list_transform(string_split({c}, chr(10)), lambda x: trim(regexp_replace(x, '{_BLANK}', ' ', 'g'), ' ' || chr(13))), lambda x: x <> ''), chr(10))"
+
+
+_TEXT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '</?(p|li|ul|div|article|h1|footer|br)( [^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+_ENTITIES = "replace(replace(replace(replace({c}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"SELECT page_id, {_lines(_ENTITIES.format(c=_TEXT))} AS body FROM pages WHERE html LIKE '%</html>'")
 def html_to_text(spark, d):
-    return read(spark, d, "pages").select("page_id", text.html_to_text_udf("html").alias("body"))
+    return read(spark, d, "pages").filter(F.endswith("html", F.lit("</html>"))).select("page_id", text.html_to_text_udf("html").alias("body"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS body FROM documents""")
+@query(f"SELECT doc_id, {_lines('text')} AS body FROM documents")
 def squeeze_lines(spark, d):
     return read(spark, d, "documents").select("doc_id", text.squeeze_lines_col(F.col("text")).alias("body"))
 
 
-@query()
+@query(r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ') || ' ' || (doc_id % 20 + 1) || ' ' || doc_id || ' end' AS body FROM documents")
 def normalize_text(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.normalize_query_udf("text").alias("body"))
-
-
-@query()
+    """Texts with a circled number and full-width digits behind them."""
+    wide = F.translate(F.col("doc_id").cast("string"), "0123456789", "".join(map(chr, range(0xFF10, 0xFF1A))))
+    circled = F.element_at(F.array(*(F.lit(chr(0x2460 + i)) for i in range(20))), (F.col("doc_id") % 20 + 1).cast("int"))
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("　 "), circled, F.lit(" \t"), wide, F.lit("\n end "))
+    return read(spark, d, "documents").select("doc_id", text.normalize_query_udf(body).alias("body"))
+
+
+@query(r"""WITH c AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS k, sum(CASE WHEN role <> 'user' AND turn % 2 = 0 THEN 1 ELSE 0 END) OVER w AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
+  array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda t: trim(t, ' ')), lambda t: t <> ''), ' ') AS body FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), h AS (SELECT *, CASE WHEN role = 'user' THEN 'a' || k WHEN turn % 2 = 0 THEN 'appx' || x END AS own, 'R' || conv_id || '#' AS r FROM c
+), p AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), 'a0') AS head FROM h)
+SELECT conv_id AS regulation_id, CAST(seq AS INTEGER) AS order_seq, r || head || CASE WHEN own IS NULL THEN '-p1' ELSE '' END AS canonical_clause_id,
+ CASE WHEN role = 'user' THEN '제' || k || '조' WHEN own IS NOT NULL THEN '별표' || turn ELSE '①' END AS clause_label, CASE WHEN own IS NULL THEN 'paragraph' ELSE 'article' END AS depth,
+ CASE WHEN role = 'user' THEN CAST(k AS INTEGER) END AS article_no, CASE WHEN own IS NULL THEN CAST(1 AS SMALLINT) END AS paragraph_no, CASE WHEN role = 'user' THEN '제목 ' || turn END AS clause_title,
+ CASE WHEN own IS NULL THEN r || head END AS parent_canonical_id, trim(body, ' ') AS text FROM p""")
 def clause_parse(spark, d):
-    """Conversations as regulations: the k-th user turn is article k, other turns are its paragraphs' text."""
+    """Conversations as regulations: the k-th user turn is article k with a title, odd other turns are its paragraphs, even ones appendices."""
     c = read(spark, d, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("k", F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).over(w))
-    line = F.when(F.col("role") == "user", F.concat(F.lit("제"), F.col("k").cast("string"), F.lit("조 "), F.col("text"))).otherwise(F.concat(F.lit("① "), F.col("text")))
+    turn = F.col("turn").cast("string")
+    user = F.concat(F.lit("제 "), F.col("k").cast("string"), F.lit(" 조 (제목 "), turn, F.lit(") "), F.col("text"))
+    line = F.when(F.col("role") == "user", user).when(F.col("turn") % 2 == 0, F.concat(F.lit("별 표 "), turn, F.lit(" "), F.col("text"))).otherwise(F.concat(F.lit("① "), F.col("text")))
     whole = c.groupBy(F.col("conv_id").alias("regulation_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    return clauses.parse_clauses(whole)
+    return clauses.parse_clauses(whole).select("regulation_id", "order_seq", "canonical_clause_id", "clause_label", "depth", "article_no", "paragraph_no", "clause_title", "parent_canonical_id", "text")
 
 
 def _bands(spark, d) -> DataFrame:
@@ -282,6 +319,11 @@ def compare_boards(spark, d):
     return analytics.board_counts(posts(spark, d), boards(spark, d))
 
 
+@query(f"{VIEWS} SELECT p.board_id, b.name AS label, count(*)::BIGINT AS value FROM post p LEFT JOIN board b USING (board_id) WHERE p.is_current AND p.board_id IN (2, 3, 99) GROUP BY ALL")
+def compare_some_boards(spark, d):
+    return analytics.board_counts(posts(spark, d), boards(spark, d), [3, 2, 99])
+
+
 @query("""SELECT o_orderkey AS post_id, c_name AS board_name, CAST(o_orderdate AS DATE) AS posted_at FROM orders JOIN customer ON o_custkey = c_custkey
 WHERE contains(lower(c_name), '0_1') OR contains(lower(c_name), '01') ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC LIMIT 30""")
 def recent_posts(spark, d):
@@ -325,11 +367,6 @@ def acl_split(spark, d):
     return li.join(read(spark, d, "orders").select("o_orderkey"), "o_orderkey").select("o_orderkey", F.size(a).alias("effective"), F.size(b).alias("denied"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
-def curated_exists(spark, d):
-    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
-
-
 @query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
 def orphan_rows(spark, d):
     return orphans(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels"), "doc_id")
@@ -440,7 +477,7 @@ def advance_state(spark, d):
 
 
 @query("""WITH o AS (SELECT user_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM events)
-SELECT user_id, CAST(count(*) FILTER (WHERE ok = 0) AS BIGINT) AS consecutive_failures, CASE WHEN count(*) FILTER (WHERE ok = 0) > 0 THEN 'degraded' ELSE 'ok' END AS health FROM o GROUP BY user_id""")
+SELECT user_id, CAST(count(*) FILTER (WHERE ok = 0) AS BIGINT) AS consecutive_failures, CASE WHEN count(*) FILTER (WHERE ok = 0) > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM o GROUP BY user_id""")
 def failures_in_a_row(spark, d):
     e = read(spark, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_type") == "error").alias("failed"))
     return consecutive_failures(e, "user_id")
@@ -481,7 +518,7 @@ def search_many(spark, d):
 f AS (SELECT l_orderkey AS o_orderkey, CAST(l_partkey AS VARCHAR) AS c FROM lineitem WHERE l_linenumber <= 2), x AS (
  SELECT q.*, EXISTS (SELECT 1 FROM g WHERE g.o_orderkey = q.o_orderkey) AS has_gold, EXISTS (SELECT 1 FROM g JOIN f USING (o_orderkey, c) WHERE o_orderkey = q.o_orderkey) AS hit,
   NOT EXISTS (SELECT 1 FROM f WHERE f.o_orderkey = q.o_orderkey) AS abst FROM q)
-SELECT count(*)::BIGINT AS total, round(count(*) FILTER (WHERE has_gold AND hit)::DOUBLE / nullif(count(*) FILTER (WHERE has_gold), 0), 12) AS recall,
+SELECT count(*)::BIGINT AS total, round(count(*) FILTER (WHERE has_gold AND hit)::DOUBLE / nullif(count(*) FILTER (WHERE has_gold), 0), 12) AS citation_accuracy, (SELECT string_agg(t || ':' || n, ',' ORDER BY t) FROM (SELECT t, count(*) AS n FROM q GROUP BY t)) AS per_type, round(count(*) FILTER (WHERE has_gold AND hit)::DOUBLE / nullif(count(*) FILTER (WHERE has_gold), 0), 12) AS recall,
  round(count(*) FILTER (WHERE sa AND abst)::DOUBLE / nullif(count(*) FILTER (WHERE sa), 0), 12) AS abstain_recall, count(*) FILTER (WHERE NOT sa AND abst)::BIGINT AS over_abstain FROM x""")
 def eval_metrics(spark, d):
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
@@ -491,7 +528,8 @@ def eval_metrics(spark, d):
     f = li.filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("eval_query_id"), part.alias("canonical_id"), F.col("l_linenumber").alias("rank"))
     ab = govern.abstain(f.withColumn("score", F.lit(1.0)), q, key="eval_query_id")
     m = analytics.evaluate(q, g, f, f.select("eval_query_id", "canonical_id"), ab)
-    return m.select("total", F.round("recall", 12).alias("recall"), F.round("abstain_recall", 12).alias("abstain_recall"), "over_abstain")
+    types = F.array_join(F.transform(F.array_sort(F.map_entries("per_type")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return m.select("total", F.round("citation_accuracy", 12).alias("citation_accuracy"), types.alias("per_type"), F.round("recall", 12).alias("recall"), F.round("abstain_recall", 12).alias("abstain_recall"), "over_abstain")
 
 
 @query("""WITH h AS (SELECT c_custkey AS query_id, o_totalprice AS score FROM customer LEFT JOIN orders ON o_custkey = c_custkey)
@@ -501,27 +539,28 @@ def abstain(spark, d):
     return govern.abstain(h, read(spark, d, "customer").select(F.col("c_custkey").alias("query_id"))).select("query_id", "n_hits", "top_score", "reason", "abstained")
 
 
-@query("""WITH v(q) AS (VALUES ('전결권자 총 누구'), ('규정 개수 비교'), ('휴가 규정'), ('제15조 보기'), ('제 3 조의2 제1항 2호 확인'), ('3조원 예산'), ('취업규칙15조'))
-SELECT q, CASE WHEN contains(q, '전결') OR contains(q, '합의') THEN 'authority' WHEN contains(q, '개수') OR contains(q, '비교') OR contains(q, '총') THEN 'aggregate' ELSE 'search' END AS intent,
- CASE q WHEN '제15조 보기' THEN '제15조' WHEN '제 3 조의2 제1항 2호 확인' THEN '제3조의2제1항제2호' WHEN '취업규칙15조' THEN '취업규칙15조' END AS ref FROM v""")
+@query("""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'authority' WHEN 1 THEN 'aggregate' WHEN 2 THEN 'authority' ELSE 'search' END AS intent,
+ CASE doc_id % 6 WHEN 3 THEN '제' || doc_id || '조' WHEN 4 THEN '제' || doc_id || '조의' || (doc_id % 9 + 1) || '제2항제3호' WHEN 5 THEN '규정' || doc_id || '조' END AS ref FROM documents""")
 def intent_and_reference(spark, d):
-    rows = ["전결권자 총 누구", "규정 개수 비교", "휴가 규정", "제15조 보기", "제 3 조의2 제1항 2호 확인", "3조원 예산", "취업규칙15조"]
-    df = spark.createDataFrame([(r,) for r in rows], "q string")
-    return df.select("q", text.intent(F.col("q")).alias("intent"), text.clause_ref(F.col("q")).alias("ref"))
+    k, n = F.col("doc_id") % 6, F.col("doc_id").cast("string")
+    q = F.when(k == 0, F.concat(F.lit("전결권자 총 "), n)).when(k == 1, F.concat(F.lit("규정 "), n, F.lit(" 개수"))).when(k == 2, F.concat(n, F.lit("조원 예산 합의"))).when(k == 3, F.concat(F.lit("제 00"), n, F.lit(" 조 보기")))
+    q = q.when(k == 4, F.concat(F.lit("확인 "), n, F.lit("조의 "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" 제2항 3 호"))).otherwise(F.concat(F.lit("규정"), n, F.lit("조")))
+    return read(spark, d, "documents").select("doc_id", text.intent(q).alias("intent"), text.clause_ref(q).alias("ref"))
 
 
-@query("""WITH v(q, amount) AS (VALUES ('300만원', 3000000::BIGINT), ('3,000,000원', 3000000), ('1억5천', 150000000), ('십만원', 100000), ('3000000', NULL), ('백업 절차', NULL)) SELECT * FROM v""")
+@query("""SELECT o_orderkey, nullif(CASE o_orderkey % 7 WHEN 0 THEN o_custkey * 10000 WHEN 1 THEN o_custkey WHEN 2 THEN o_custkey * 100000000 + 50000000 WHEN 3 THEN o_custkey * 1000 WHEN 4 THEN NULL WHEN 5 THEN o_custkey * 1000 * 10000 ELSE 100000 END, 0) AS amount FROM orders""")
 def money_in_questions(spark, d):
-    ship(spark)
-    df = spark.createDataFrame([(q,) for q in ("300만원", "3,000,000원", "1억5천", "십만원", "3000000", "백업 절차")], "q string")
-    return df.select("q", question_amount_udf("q").alias("amount"))
+    k, n = F.col("o_orderkey") % 7, F.col("o_custkey").cast("string")
+    q = F.when(k == 0, F.concat(n, F.lit("만원 결재는?"))).when(k == 1, F.concat(F.lit("비용 "), n, F.lit("원"))).when(k == 2, F.concat(n, F.lit("억5천 이상"))).when(k == 3, F.concat(n, F.lit(",000원"))).when(k == 4, F.concat(n, F.lit(" 번 절차"))).when(k == 5, F.concat(n, F.lit("천만"))).otherwise("십만원")
+    return read(spark, d, "orders").select("o_orderkey", question_amount_udf(q).alias("amount"))
 
 
-@query("""WITH v(q, lo, hi) AS (VALUES ('500만원 이하', NULL::BIGINT, 5000000::BIGINT), ('1천만원 초과 1억원 이하', 10000001, 100000000), ('1억5천', 100005000, 100005000), ('100만 ~ 200만', 1000000, 2000000), ('', NULL, NULL)) SELECT * FROM v""")
+@query("""WITH p AS (SELECT p_partkey, p_size::BIGINT AS n FROM part) SELECT p_partkey, CASE p_partkey % 7 WHEN 1 THEN n * 10000 WHEN 2 THEN n * 10000 + 1 WHEN 4 THEN n * 10000000 + 1 WHEN 5 THEN n * 100000000 + 5000 WHEN 6 THEN n * 10000 END AS lo,
+ CASE p_partkey % 7 WHEN 0 THEN n * 10000 WHEN 3 THEN n * 10000 - 1 WHEN 4 THEN 100000000000 WHEN 5 THEN n * 100000000 + 5000 WHEN 6 THEN (n + 1) * 10000 END AS hi FROM p""")
 def money_bands(spark, d):
-    ship(spark)
-    df = spark.createDataFrame([(q,) for q in ("500만원 이하", "1천만원 초과 1억원 이하", "1억5천", "100만 ~ 200만", "")], "q string")
-    return df.withColumn("b", band_udf("q")).select("q", F.col("b.amount_min").alias("lo"), F.col("b.amount_max").alias("hi"))
+    k, n = F.col("p_partkey") % 7, F.col("p_size").cast("string")
+    e = F.when(k == 0, F.concat(n, F.lit("만원 이하"))).when(k == 1, F.concat(n, F.lit("만 이상"))).when(k == 2, F.concat(n, F.lit("만원 초과"))).when(k == 3, F.concat(n, F.lit("만 미만"))).when(k == 4, F.concat(n, F.lit("천만원 초과 1000억 이하"))).when(k == 5, F.concat(n, F.lit("억5천"))).otherwise(F.concat(n, F.lit("만 ~ "), (F.col("p_size") + 1).cast("string"), F.lit("만")))
+    return read(spark, d, "part").withColumn("b", band_udf(e)).select("p_partkey", F.col("b.amount_min").alias("lo"), F.col("b.amount_max").alias("hi"))
 
 
 @query("SELECT page_id, CASE lower(regexp_extract(url, '\\.([^.]+)$', 1)) WHEN 'pdf' THEN 'pdf' WHEN 'png' THEN 'image' WHEN 'xlsx' THEN 'excel' WHEN 'doc' THEN 'word' ELSE 'etc' END AS kind FROM pages")
@@ -529,11 +568,6 @@ def file_kinds(spark, d):
     return read(spark, d, "pages").select("page_id", text.file_kind(F.col("url")).alias("kind"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def json_props(spark, d):
-    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 @query("""WITH p AS (SELECT o_custkey AS query_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN position < 3 THEN 2 - position END NULLS LAST, position) AS rank FROM p)
 SELECT query_id, o_orderkey, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")
