@@ -2,10 +2,11 @@
 
 Vectors are lifted so that the largest inner product is the smallest angle (candidates get the coordinate that
 completes their norm to the largest one, queries zero), projected CURVES times on a few random directions, shifted,
-and ordered along a Hilbert curve each time: a range partitioning by (curve, key) in Spark. Along a curve, rows lie in
-blocks of BLOCK; a query is multiplied with the candidates within REACH of all rows on either side of its own place
-(K + 1 rows at least, as a smaller window could not fill an answer), and with no others. Every window is reranked on
-the original vectors in double precision, and the windows of all curves merge.
+and ordered along a Hilbert curve each time: a range partitioning by (curve, key) in Spark. A query's window on a curve
+are the candidates within REACH of all rows on either side of its own place (K + 1 rows at least, as a smaller window
+could not fill an answer), and no others. Rows travel in blocks of half a window's half, up to BLOCK rows; how rows are
+cut into blocks changes no result. Every window is reranked on the original vectors in double precision, and the windows
+of all curves merge.
 
 REACH is a share of the rows, so recall does not fall as the table grows; on vectors without any structure (such as
 random directions in 64 dimensions) neighbours are hardly nearer than others in a few projections, and 0.9 recall
@@ -31,7 +32,9 @@ from ..runtime import ship
 from .common import discard, materialize, read
 from .vectors import lengths, matrix, sample, unit, usable
 
-K, CURVES, DIMS, BITS, REACH, BLOCK = 20, 12, 8, 4, 0.055, 256
+K, CURVES, DIMS, BITS, REACH = 20, 10, 8, 4, 0.07
+#: Rows of a block at most: what a task holds two of.
+BLOCK = 16384
 QUERY_MOD = 20
 
 
@@ -94,20 +97,18 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, q_at: np.ndarray, c: np.ndarray, c
     q_at: a query's place along the curve, counted from the first candidate; those within half of it are its own.
     """
     q, c = q.astype(np.float64), c.astype(np.float64)
-    lo, hi = np.clip(q_at - half, 0, len(c)), np.clip(q_at + half, 0, len(c))
-    for i in range(len(q)):
-        part, ids = c[lo[i] : hi[i]], c_ids[lo[i] : hi[i]]
-        if not len(part):
-            yield np.zeros(0), np.zeros(0, np.int64)
-            continue
-        rough = part @ q[i]
-        rough[ids == q_ids[i]] = -np.inf
-        n = min(k, len(part))
-        least = np.partition(rough, len(part) - n)[len(part) - n] - 1e-9 * np.abs(rough[np.isfinite(rough)]).max(initial=1.0)
-        j = np.flatnonzero((rough >= least) & np.isfinite(rough))
-        s = (part[j] * q[i]).sum(1)  # row by row, so equal for a pair wherever it is met
-        top = np.lexsort((ids[j], -s))[:k]
-        yield s[top], ids[j][top]
+    places = np.arange(len(c))
+    for at in range(0, len(q), 256):
+        rough = q[at : at + 256] @ c.T
+        outside = (places[None, :] < q_at[at : at + 256, None] - half) | (places[None, :] >= q_at[at : at + 256, None] + half)
+        rough[outside | (q_ids[at : at + 256, None] == c_ids[None, :])] = -np.inf
+        n = min(k, len(c))
+        least = np.partition(rough, len(c) - n, axis=1)[:, len(c) - n] - 1e-9 * np.abs(rough[np.isfinite(rough)]).max(initial=1.0)
+        for i, row in enumerate(rough):
+            j = np.flatnonzero((row >= least[i]) & np.isfinite(row))
+            s = (c[j] * q[at + i]).sum(1)  # row by row, so equal for a pair wherever it is met
+            top = np.lexsort((c_ids[j], -s))[:k]
+            yield s[top], c_ids[j][top]
 
 
 def search(vectors: DataFrame, is_query, k: int = K, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, reach: float = REACH, block: int = BLOCK, seed: int = 17) -> DataFrame:
@@ -136,6 +137,7 @@ def _search(good: DataFrame, is_query, d: int, k: int, curves: int, dims: int, b
     sizes = both.filter("not query").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
     plan = Curves(x, sizes["m"], seed, curves, dims, bits)
     half = max(k + 1, int(np.ceil(reach * sizes["n"])))
+    block = min(block, max(half // 2, 64))
     dtype = "<f8" if "double" in good.schema["embedding"].dataType.simpleString() else "<f4"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
