@@ -133,7 +133,8 @@ def _search(good: DataFrame, is_query, d: int, k: int, curves: int, dims: int, b
     both = materialize(both)
     x = sample(both.filter("not query"))
     most = F.array_max(F.transform("embedding", lambda e: F.abs(e.cast("double"))))
-    norm = most * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, e: s + (e.cast("double") / most) * (e.cast("double") / most)))
+    scaled = lambda m: m * F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, e: s + (e.cast("double") / m) * (e.cast("double") / m)))
+    norm = F.get(F.transform(F.array(most), scaled), F.lit(0))  # the largest component is worked out once a row
     sizes = both.filter("not query").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("m")).first()
     plan = Curves(x, sizes["m"], seed, curves, dims, bits)
     half = max(k + 1, int(np.ceil(reach * sizes["n"])))
