@@ -2,8 +2,8 @@
 
 A text is cut into blocks of BLOCK bytes (its whole length, nothing left out); each block is compressed with either
 dictionary. The normalised difference of the two compressed sizes says which kind of text it resembles, and the size
-under the good one for each byte how repetitive it is. A logistic fit on rows that built no dictionary, weighted to the
-mix of classes among all labels, turns the two into a probability.
+under the good one for each byte how repetitive it is. A logistic fit of the second degree on rows that built no
+dictionary, weighted to the mix of classes among all labels, turns the two into a probability.
 
 Fit on at most PER_CLASS labelled rows of each class (parameter per_class) with at most FIT_BYTES of text, never on
 held-out rows. Null and empty texts get the score of an empty text. Repeated rows get equal scores, repeated labels
@@ -60,13 +60,14 @@ class CompressionModel:
         return [zs.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in kinds]
 
     def features(self, text: str) -> list[float]:
-        """(bad - good) / (bad + good) of the compressed sizes, and good / bytes."""
+        """(bad - good) / (bad + good) of the compressed sizes, good / bytes, their squares and product."""
         if not hasattr(self, "_tools"):
             self._tools = self._make()
         raw = text.encode("utf-8", "replace")
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)] or [b""]
         bad, good = (sum(len(tool(x)) for x in blocks) for tool in self._tools)
-        return [(bad - good) / (bad + good), good / (len(raw) + 16)]
+        diff, ratio = (bad - good) / (bad + good), good / (len(raw) + 16)
+        return [diff, ratio, diff * diff, ratio * ratio, diff * ratio]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.fit is None:
