@@ -1,4 +1,4 @@
-"""What the two operators on embeddings share."""
+"""What the operators on embeddings share."""
 
 from __future__ import annotations
 
@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 FIT_ROWS = 4096
 
 
-def usable(embedding: str | Column) -> Column:
-    """Not null, without null, NaN or infinite components, not zero."""
+def finite(embedding: str | Column) -> Column:
+    """Not null, without null, NaN or infinite components."""
     e = F.col(embedding) if isinstance(embedding, str) else embedding
     odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    return e.isNotNull() & F.coalesce(~odd, F.lit(False)) & F.exists(e, lambda x: x != 0)
+    return e.isNotNull() & F.coalesce(~odd, F.lit(False))
+
+
+def usable(embedding: str | Column) -> Column:
+    """Finite, and not zero."""
+    e = F.col(embedding) if isinstance(embedding, str) else embedding
+    return finite(e) & F.exists(e, lambda x: x != 0)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -36,9 +42,9 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]
 
 
-def lengths(vectors: DataFrame) -> list[int]:
+def lengths(vectors: DataFrame, column: str = "embedding") -> list[int]:
     """How long the vectors are: most tables have one length."""
-    return sorted(r[0] for r in vectors.select(F.size("embedding")).distinct().collect())
+    return sorted(r[0] for r in vectors.select(F.size(column)).distinct().collect())
 
 
 def sample(vectors: DataFrame, rows: int = FIT_ROWS) -> np.ndarray:
