@@ -34,7 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.job == "eval":
-        print(json.dumps(jobs.evaluate(tables.load(spark, a.root), a.eval_set).first().asDict(), ensure_ascii=False))
+        print(json.dumps(jobs.evaluate(tables.load(spark, a.root), a.eval_set, index=tables.postings(spark, a.root), tokens=tables.tokens(spark, a.root)).first().asDict(), ensure_ascii=False))
         return 0
     if a.job == "health" or a.health_check:
         silent = [r.name for r in jobs.health(spark, a.root, hours=getattr(a, "hours", 24)).collect()]

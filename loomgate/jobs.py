@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ingest, store, tables
-from .operators import analytics, govern, merge
+from .operators import analytics, govern, lexicon, merge
 from .operators.chunks import build_chunks, replace_posts
 from .operators.clauses import parse_clauses, parse_matrix
-from .operators.search import postings, search_many
-from .runtime import ship
+from .operators.batch import search_batch
+from .operators.search import postings
+from .runtime import Workspace, ship
 from .schemas import conform
 from .sources import pages
 from .sources.files import extract, matrix_cells
@@ -93,6 +94,8 @@ def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, roo
     t["chunk"] = tables.update(spark, root, "chunk", keyed, lambda old: replace_posts(old, rebuilt, my_ids))
     grams = postings(rebuilt).join(rebuilt.select("chunk_id", "source_post_id"), "chunk_id").select(tables.POSTINGS.fieldNames())
     store.update(spark, f"{root}/postings", keyed, ["source_post_id"], lambda old: old.join(keyed, "source_post_id", "left_anti").select(grams.columns).unionByName(grams), tables.POSTINGS, sort=["gram", "chunk_id"])
+    parts = written(lexicon.dictionary(grams))
+    store.update(spark, f"{root}/tokens", parts, ["part"], lambda old: old.unionByName(parts).distinct(), tables.TOKENS, sort=["part", "gram"])
     # counters and marks
     per_post = lambda df, name: df.groupBy("board_no", "art_no").agg(F.count(F.lit(1)).alias(name))
     reg_post = my_regs.select("regulation_id", F.col("source_post_id").alias("post_id")).join(ids, "post_id").drop("post_id")
@@ -120,18 +123,30 @@ def health(spark: SparkSession, root: str, now: datetime | None = None, hours: i
     return stalled_sources(t["ingest_state"], t["board"], F.lit(now or datetime.now()).cast("timestamp"), hours)
 
 
-def evaluate(t: dict[str, DataFrame], eval_set: str | None = None, k: int = 10, allowed: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
-    """Metrics of a golden set, all its queries in one batch. index: postings of the chunks, computed if there are none."""
-    q = (t["eval_query"] if eval_set is None else t["eval_query"].filter(F.col("eval_set") == eval_set)).orderBy("eval_query_id")
-    chunks = t["chunk"].filter("is_current")
-    chunks = chunks if allowed is None else govern.only_allowed(chunks, allowed)
-    found = search_many(q.select(F.col("eval_query_id").alias("query_id"), F.col("query_text").alias("text")), chunks, postings(chunks) if index is None else index, k)
-    found = found.filter(F.col("matched") == F.col("terms")).withColumnRenamed("query_id", "eval_query_id").drop("board_id")
-    ids = chunks.join(t["authority_matrix"].select("authority_id", "canonical_authority_id"), "authority_id", "left")
-    hits = found.join(ids, "chunk_id")
-    top = hits.select("eval_query_id", govern.canonical_id().alias("canonical_id"), "rank", F.col("score").cast("double").alias("score"))
+def evaluate(t: dict[str, DataFrame], eval_set: str | None = None, k: int = 10, allowed: DataFrame | None = None, index: DataFrame | None = None, tokens: DataFrame | None = None, now: datetime | None = None, limit: int = 30) -> DataFrame:
+    """Metrics of a golden set: each question takes the way that Engine.route gives it, all of them in one batch.
+
+    Questions about approvals or counts are answered by the matrix (their lines are what is found and cited), all others
+    by the search: its first k hits are what is found, the valid citations of all its hits are cited, and no hit is
+    an abstention. index, tokens: postings of the chunks and their dictionary, made if there are none.
+    """
+    q = t["eval_query"] if eval_set is None else t["eval_query"].filter(F.col("eval_set") == eval_set)
+    work = Workspace(q.sparkSession)
+    chunks = t["chunk"] if allowed is None else govern.only_allowed(t["chunk"], allowed)
+    index = work.write(postings(chunks)) if index is None else index
+    asked = q.select(F.col("eval_query_id").alias("query_id"), F.col("query_text").alias("text"))
+    kinds = work.write(asked.join(analytics.kinds_of(asked), "query_id").select("query_id", "text", "kind"))
+    at = F.lit(now or datetime.now()).cast("timestamp")
+    hits, _ = search_batch(kinds.filter("kind = 'search'").select("query_id", "text"), chunks, index, tokens=tokens, now=at, authority=t["authority_matrix"], glossary=t["glossary_synonym"], limit=limit)
+    lines = analytics.dispatch_many(kinds.filter("kind <> 'search'").select("query_id", "text"), t["authority_matrix"], t["regulation"])
+    lines = lines.filter("canonical_authority_id is not null").select(F.col("query_id").alias("eval_query_id"), F.col("canonical_authority_id").alias("canonical_id"), F.col("position").alias("rank"))
+    hits = hits.withColumnRenamed("query_id", "eval_query_id")
+    found = hits.select("eval_query_id", govern.canonical_id().alias("canonical_id"), "rank").filter("canonical_id is not null").unionByName(lines)
     cites = govern.validate_citations(govern.cite(hits), t["clause"], t["authority_matrix"], t["post"]).filter("validated").select("chunk_id", F.col("citation_id").alias("canonical_id")).distinct()
-    cited = hits.select("eval_query_id", "chunk_id").join(cites, "chunk_id").select("eval_query_id", "canonical_id")
-    silent = govern.abstain(top, q.select("eval_query_id"), key="eval_query_id")
+    cited = hits.select("eval_query_id", "chunk_id").join(cites, "chunk_id").select("eval_query_id", "canonical_id").unionByName(lines.select("eval_query_id", "canonical_id"))
+    searched = kinds.filter("kind = 'search'").select(F.col("query_id").alias("eval_query_id"))
+    silent = govern.abstain(hits.select("eval_query_id", "score"), searched, key="eval_query_id")
     gold = t["eval_gold"].join(q.select("eval_query_id"), "eval_query_id", "left_semi")
-    return analytics.evaluate(q, gold, top, cited, silent, k)
+    out = work.write(analytics.evaluate(q, gold, found, cited, silent, k))
+    work.remove(keep=(out,))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
@@ -57,6 +57,45 @@ def dispatch(question: str, authority: DataFrame, regulations: DataFrame, board_
     return "approver", lined(approvers(authority, text, regulations, board_ids, stop=AUTHORITY_WORDS))
 
 
+def dispatch_many(queries: DataFrame, authority: DataFrame, regulations: DataFrame | None = None, board_ids=None) -> DataFrame:
+    """queries: query_id, text. What dispatch gives for each, in one plan: query_id, kind, position (from 1) and the columns of LINE.
+
+    Questions that count have no line, so no row; kinds_of tells them. Amounts meet bands by a band join, words the
+    business items through postings of those.
+    """
+    from ..functions.text import AUTHORITY_WORDS
+    from ..runtime import Workspace
+    from .batch import divide, term_hits, terms_of, text_postings
+
+    work = Workspace(authority.sparkSession)
+    q = work.write(kinds_of(queries))
+    lines = work.write(_scoped(authority, regulations, board_ids).select(*LINE))
+    by_amount = band_join(q.filter("kind = 'approval_line'").select("query_id", "amount"), "amount", lines).drop("amount").withColumn("kind", F.lit("approval_line"))
+    terms = terms_of(q.filter("kind = 'approver'").select("query_id", F.col("normalized").alias("text")))
+    stops = terms.filter(F.col("term").isin([w.lower() for w in AUTHORITY_WORDS])).select("query_id", "g").distinct()
+    terms = work.write(terms.join(stops, ["query_id", "g"], "left_anti").select("query_id", "g", "term"))
+    items = lines.filter("authority_id is not null").select(F.col("authority_id").alias("chunk_id"), F.col("business_item").alias("body"))
+    found = work.write(term_hits(terms, items, text_postings(items), work=work))
+    whole = divide(terms, found, work).select("query_id", F.col("chunk_id").alias("authority_id"))
+    by_item = lines.join(whole, "authority_id").withColumn("kind", F.lit("approver"))
+    order = Window.partitionBy("query_id").orderBy(F.col("order_seq").asc_nulls_last(), "authority_id")
+    both = by_amount.select("query_id", "kind", *LINE).unionByName(by_item.select("query_id", "kind", *LINE))
+    out = work.write(both.withColumn("position", F.row_number().over(order)))
+    work.remove(keep=(out,))
+    return out
+
+
+def kinds_of(queries: DataFrame) -> DataFrame:
+    """query_id, normalized, intent, amount and kind: search, or what dispatch would make of the question."""
+    from ..functions.money import question_amount_udf
+    from ..functions.text import intent, normalize_query_udf
+
+    q = queries.select("query_id", normalize_query_udf(F.coalesce("text", F.lit(""))).alias("normalized"))
+    q = q.withColumn("intent", intent(F.col("normalized"))).withColumn("amount", F.when(F.col("intent") != "search", question_amount_udf("normalized")))
+    kind = F.when(F.col("intent") == "search", "search").when(F.col("amount").isNotNull(), "approval_line").when(F.col("intent") == "aggregate", "board_count").otherwise("approver")
+    return q.withColumn("kind", kind)
+
+
 def band_join(values: DataFrame, value: str, bands: DataFrame, width: int | None = None, broadcast_rows: int = 10_000) -> DataFrame:
     """Each value with the bands that hold it.
 
@@ -107,7 +146,8 @@ def clause_diff(old: DataFrame, new: DataFrame, key: str = "relative") -> DataFr
 
 
 def evaluate(queries: DataFrame, gold: DataFrame, found: DataFrame, cited: DataFrame, abstained: DataFrame, k: int = 10) -> DataFrame:
-    """One row: total, recall (share of queries with gold that have one in their top k), citation_accuracy, abstain_recall, over_abstain, and totals per answer type.
+    """One row: total, recall (share of queries with gold that have one in their top k), citation_accuracy (the same of what
+    is cited, without those that should abstain), abstain_recall, over_abstain, and per answer type totals and hits of recall.
 
     queries: eval_query_id, answer_type, should_abstain. gold: eval_query_id, relevance, expected_canonical_id.
     found: eval_query_id, canonical_id, rank. cited: eval_query_id, canonical_id. abstained: eval_query_id, abstained.
@@ -124,11 +164,12 @@ def evaluate(queries: DataFrame, gold: DataFrame, found: DataFrame, cited: DataF
     q = q.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_gold", "hit", "right", "any_cited", "abstained", "should_abstain")})
     share = lambda part, whole: F.try_divide(F.count_if(part).cast("double"), F.count_if(whole).cast("double"))
     per = F.map_from_entries(F.array_sort(F.collect_list(F.struct("answer_type", "n"))))
-    types = queries.groupBy("answer_type").agg(F.count(F.lit(1)).alias("n")).agg(per.alias("per_type"))
+    found_per = F.map_from_entries(F.array_sort(F.collect_list(F.struct("answer_type", "found"))))
+    types = q.groupBy("answer_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("has_gold") & F.col("hit")).alias("found")).agg(per.alias("per_type"), found_per.alias("recall_per_type"))
     main = q.agg(
         F.count(F.lit(1)).alias("total"),
         share(F.col("has_gold") & F.col("hit"), F.col("has_gold")).alias("recall"),
-        share(F.col("has_gold") & F.col("right"), F.col("has_gold")).alias("citation_accuracy"),
+        share(F.col("has_gold") & F.col("right") & ~F.col("should_abstain"), F.col("has_gold") & ~F.col("should_abstain")).alias("citation_accuracy"),
         share(F.col("should_abstain") & F.col("abstained"), F.col("should_abstain")).alias("abstain_recall"),
         F.count_if(~F.col("should_abstain") & F.col("abstained")).alias("over_abstain"),
     )

@@ -3,8 +3,8 @@
 A query is a list of groups: a chunk matches if every group has a term in it (AND of ORs). Terms match as substrings
 of the normalised body, as an index of character bigrams gives them; the score is the number of occurrences. The
 postings table (gram, chunk_id, tf), sorted by gram where it is stored, narrows the candidates by an equality join before
-bodies are looked at, so a search reads the postings of its own grams and the bodies that have them all. A term that is
-one run of Latin letters or digits has no grams, as it may be part of a longer word: it does not narrow. Without
+bodies are looked at, so a search reads the postings of its own grams and the bodies that have them all. A run of Latin
+letters or digits may be part of a longer word: a dictionary of the postings' tokens (lexicon) says of which. Without
 postings a search is one scan that marks which hits have all words and which some.
 """
 
@@ -17,11 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clause_ref, collapse, normalize_query
+from . import lexicon
 from .filters import as_of_posted, board_filter, current_filter, recency
 
 HIT = ("chunk_id", "chunk_class", "board_id", "body", "canonical_clause_id", "canonical_authority_id", "clause_label", "source_post_id", "clause_id", "source_attachment_id", "authority_id", "posted_at", "meta")
-#: Runs that are single tokens of the index: Latin letters, digits; everything else is cut into pairs.
-_RUN = re.compile(r"[a-z]+|[0-9]+|[^\sa-z0-9]+")
 
 
 def parse_query(text: str, any_of: bool = False) -> list[list[str]]:
@@ -39,26 +38,13 @@ def parse_query(text: str, any_of: bool = False) -> list[list[str]]:
     return [[t for g in groups for t in g]] if any_of and groups else groups
 
 
-def grams(term: str) -> list[str]:
-    """What a term needs in the index: inner tokens whole, runs of other characters as pairs."""
-    runs = _RUN.findall(term.lower())
-    out = []
-    for i, run in enumerate(runs):
-        latin = bool(re.match("[a-z0-9]", run))
-        if latin and 0 < i < len(runs) - 1:
-            out.append(run)
-        elif not latin:
-            out += [run[j : j + 2] for j in range(len(run) - 1)]
-    return list(dict.fromkeys(out))
-
-
 def normal(c: Column) -> Column:
     return F.lower(collapse(c))
 
 
 def index_tokens(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, gram): Latin and digit runs whole, other runs in pairs."""
-    runs = rows.select(*keys, F.explode(F.regexp_extract_all(normal(F.col(text)), F.lit(_RUN.pattern), F.lit(0))).alias("run"))
+    runs = rows.select(*keys, F.explode(F.regexp_extract_all(normal(F.col(text)), F.lit(lexicon.RUN.pattern), F.lit(0))).alias("run"))
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - 1, F.lit(1))), lambda i: F.substring("run", i, F.lit(2)))
     return runs.select(*keys, F.explode(F.when(F.col("run").rlike("^[a-z0-9]"), F.array("run")).otherwise(pairs)).alias("gram"))
 
@@ -69,6 +55,11 @@ def postings(chunks: DataFrame) -> DataFrame:
     return index_tokens(dealt, "body", "chunk_id").groupBy("gram", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def searchable(body: Column, groups: list[list[str]]) -> Column:
+    """The body as terms are looked for in it: terms without white space cannot tell how it is set, so lower case is enough for them."""
+    return normal(body) if any(c.isspace() for g in groups for t in g for c in t) else F.lower(body)
+
+
 def occurrences(body: Column, term: str) -> Column:
     """How often a term occurs, without overlaps."""
     return ((F.length(body) - F.length(F.replace(body, F.lit(term), F.lit("")))) / len(term)).cast("long")
@@ -96,18 +87,28 @@ def expand(groups: list[list[str]], glossary: DataFrame) -> list[list[str]]:
     return [list(dict.fromkeys(s for t in g for s in table.get(t) or [t])) for g in groups]
 
 
-def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """Chunks that hold all grams of some term of every group, and those with tokens of their own. Terms too short for the index do not narrow."""
+def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]], tokens: DataFrame | None = None) -> DataFrame:
+    """Chunks that have, of some term of every group, all that it needs in the postings, and those with tokens of their own.
+
+    tokens: the dictionary of the postings; made from them if there is none. A pattern that very many tokens hold does not narrow.
+    """
+    wanted = [[lexicon.needs(t) for t in g] for g in groups]
+    patterns = sorted({n.pattern for g in wanted for t in g for n in t if not n.whole})
+    held = lexicon.look_up(patterns, lexicon.dictionary(index) if tokens is None and patterns else tokens)
+    grams_of = lambda n: [n.pattern] if n.whole else held[n.pattern]
     narrow = None
-    for g in groups:
-        wanted = [grams(t) for t in g]
-        if not all(wanted):
+    for g in wanted:
+        known = [[x for x in map(grams_of, t) if x is not None] for t in g]
+        if not all(known):
             continue
-        flat = sorted({x for w in wanted for x in w})
-        have = index.filter(F.col("gram").isin(flat)).groupBy("chunk_id").agg(F.collect_set("gram").alias("have"))
+        flat = sorted({x for t in known for need in t for x in need})
+        have = index.filter(F.col("gram").isin(flat) if flat else F.lit(False)).groupBy("chunk_id").agg(F.collect_set("gram").alias("have"))
         some = F.lit(False)
-        for w in wanted:
-            some = some | (F.size(F.array_intersect("have", F.array(*map(F.lit, w)))) == len(w))
+        for t in known:
+            whole = F.lit(True)
+            for need in t:
+                whole = whole & (F.arrays_overlap("have", F.array(*map(F.lit, need))) if need else F.lit(False))
+            some = some | whole
         ids = have.filter(some).select("chunk_id")
         narrow = ids if narrow is None else narrow.join(ids, "chunk_id", "left_semi")
     if narrow is None:
@@ -119,12 +120,13 @@ def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]]) ->
 
 @dataclass
 class Searcher:
-    """chunks and authority tables, with an optional glossary and postings."""
+    """chunks and authority tables, with an optional glossary, postings and their dictionary."""
 
     chunks: DataFrame
     authority: DataFrame | None = None
     glossary: DataFrame | None = None
     index: DataFrame | None = None
+    tokens: DataFrame | None = None
 
     def _base(self, board_ids, only_current, as_of, inclusive) -> DataFrame:
         c = self.chunks.filter(board_filter("board_id", board_ids) & current_filter(only_current) & as_of_posted("posted_at", as_of, inclusive))
@@ -135,8 +137,8 @@ class Searcher:
     def full_text(self, groups, base: DataFrame, some_too: bool = False) -> DataFrame:
         """Hits of all groups; with some_too also those of some, all marking which."""
         loose = [[t for g in groups for t in g]]
-        rows = candidates(base, self.index, loose if some_too else groups) if self.index is not None else base
-        body = normal(F.col("body"))
+        rows = candidates(base, self.index, loose if some_too else groups, self.tokens) if self.index is not None else base
+        body = searchable(F.col("body"), groups)
         ok, score = match(groups, body)
         some, _ = match(loose, body)
         if "tokenized" in rows.columns:
@@ -185,7 +187,7 @@ class Searcher:
                 if len(some) > len(whole):
                     whole, used, fell_back = some, [[t for g in expanded for t in g]], True
             rows = whole[:limit]
-        strategy = "exact_clause" if ref is not None else "or_fallback" if fell_back else "synonym_expanded" if expanded != groups else "ngram"
+        strategy = "exact_clause" if any(r.match_kind == "exact" for r in rows) else "or_fallback" if fell_back else "synonym_expanded" if expanded != groups else "ngram"
         hits = spark.createDataFrame(rows, schema).coalesce(1).drop("all")
         return hits, {"strategy": strategy, "query": " ".join(" OR ".join(g) for g in used), "normalized": text, "clause_ref": ref, "n": len(rows), "top_score": rows[0].score if rows else None}
 

@@ -185,18 +185,3 @@ def rerank_by_client(spark, d):
     h = read(spark, d, "orders").withColumn("q", F.col("o_custkey")).withColumn("position", F.row_number().over(w) - 1)
     h = h.select("q", (F.col("q") % 5).cast("string").alias("query_text"), "position", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("posted_at"), F.col("o_orderpriority").alias("body"))
     return govern.rerank(h, _Backwards(), key="q", top_k=4).select("q", "o_orderkey", "rank", "reranked", F.col("rerank_reason").alias("reason"))
-
-
-@query("""WITH t AS (SELECT doc_id, lang, len(regexp_extract_all(lower(text), '[a-z]+')) AS n, len(list_filter(regexp_extract_all(lower(text), '[a-z]+|[0-9]+|[^\\sa-z0-9]+'), lambda x: x = 'thnd')) AS tf FROM documents WHERE lang <> 'es'),
-top AS (SELECT * FROM t WHERE tf > 0 ORDER BY tf DESC, doc_id LIMIT 10)
-SELECT 2::BIGINT AS total, CASE WHEN EXISTS (SELECT 1 FROM top WHERE doc_id % 2 = 0) THEN 1.0 ELSE 0.0 END::DOUBLE AS recall, 1.0::DOUBLE AS abstain_recall, 0::BIGINT AS over_abstain, 'abstain:1,notice:1' AS per_type""")
-def eval_job(spark, d):
-    """A golden set of two: one question about anything with a word, one that nothing answers; a third of another set is left out."""
-    t = engine(spark, d).tables
-    q = spark.createDataFrame([(1, "thnd", "notice", False, "s"), (2, "zzqx", "abstain", True, "s"), (3, "thnd", "notice", True, "other")], "eval_query_id long, query_text string, answer_type string, should_abstain boolean, eval_set string")
-    gold = posts(spark, d).filter("post_id % 2 = 0").select(F.lit(1).alias("eval_query_id"), F.concat(F.lit("post#"), F.col("post_id").cast("string")).alias("expected_canonical_id"), F.lit(1).alias("relevance"))
-    m = jobs.evaluate(t | {"eval_query": conform(q, "eval_query"), "eval_gold": conform(gold, "eval_gold")}, "s")
-    types = F.array_join(F.transform(F.array_sort(F.map_entries("per_type")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
-    return m.select("total", "recall", "abstain_recall", "over_abstain", types.alias("per_type"))
-
-

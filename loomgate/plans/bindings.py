@@ -518,7 +518,7 @@ def search_many(spark, d):
 f AS (SELECT l_orderkey AS o_orderkey, CAST(l_partkey AS VARCHAR) AS c FROM lineitem WHERE l_linenumber <= 2), x AS (
  SELECT q.*, EXISTS (SELECT 1 FROM g WHERE g.o_orderkey = q.o_orderkey) AS has_gold, EXISTS (SELECT 1 FROM g JOIN f USING (o_orderkey, c) WHERE o_orderkey = q.o_orderkey) AS hit,
   NOT EXISTS (SELECT 1 FROM f WHERE f.o_orderkey = q.o_orderkey) AS abst FROM q)
-SELECT count(*)::BIGINT AS total, round(count(*) FILTER (WHERE has_gold AND hit)::DOUBLE / nullif(count(*) FILTER (WHERE has_gold), 0), 12) AS citation_accuracy, (SELECT string_agg(t || ':' || n, ',' ORDER BY t) FROM (SELECT t, count(*) AS n FROM q GROUP BY t)) AS per_type, round(count(*) FILTER (WHERE has_gold AND hit)::DOUBLE / nullif(count(*) FILTER (WHERE has_gold), 0), 12) AS recall,
+SELECT count(*)::BIGINT AS total, round(count(*) FILTER (WHERE has_gold AND hit AND NOT sa)::DOUBLE / nullif(count(*) FILTER (WHERE has_gold AND NOT sa), 0), 12) AS citation_accuracy, (SELECT string_agg(t || ':' || n, ',' ORDER BY t) FROM (SELECT t, count(*) AS n FROM q GROUP BY t)) AS per_type, (SELECT string_agg(t || ':' || n, ',' ORDER BY t) FROM (SELECT t, count(*) FILTER (WHERE has_gold AND hit) AS n FROM x GROUP BY t)) AS recall_per_type, round(count(*) FILTER (WHERE has_gold AND hit)::DOUBLE / nullif(count(*) FILTER (WHERE has_gold), 0), 12) AS recall,
  round(count(*) FILTER (WHERE sa AND abst)::DOUBLE / nullif(count(*) FILTER (WHERE sa), 0), 12) AS abstain_recall, count(*) FILTER (WHERE NOT sa AND abst)::BIGINT AS over_abstain FROM x""")
 def eval_metrics(spark, d):
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
@@ -528,8 +528,8 @@ def eval_metrics(spark, d):
     f = li.filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("eval_query_id"), part.alias("canonical_id"), F.col("l_linenumber").alias("rank"))
     ab = govern.abstain(f.withColumn("score", F.lit(1.0)), q, key="eval_query_id")
     m = analytics.evaluate(q, g, f, f.select("eval_query_id", "canonical_id"), ab)
-    types = F.array_join(F.transform(F.array_sort(F.map_entries("per_type")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
-    return m.select("total", F.round("citation_accuracy", 12).alias("citation_accuracy"), types.alias("per_type"), F.round("recall", 12).alias("recall"), F.round("abstain_recall", 12).alias("abstain_recall"), "over_abstain")
+    types = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias(c)
+    return m.select("total", F.round("citation_accuracy", 12).alias("citation_accuracy"), types("per_type"), types("recall_per_type"), F.round("recall", 12).alias("recall"), F.round("abstain_recall", 12).alias("abstain_recall"), "over_abstain")
 
 
 @query("""WITH h AS (SELECT c_custkey AS query_id, o_totalprice AS score FROM customer LEFT JOIN orders ON o_custkey = c_custkey)

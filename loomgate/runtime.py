@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -34,3 +34,26 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomgate-")
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Workspace:
+    """Tables that one operation writes for itself: its lineage ends there, so a lost executor repeats tasks and no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.written = spark, None, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.folder = self.folder or scratch(self.spark, "work")
+        path = f"{self.folder}/{len(self.written)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.written[path] = out
+        return out
+
+    def remove(self, keep: tuple[DataFrame, ...] = ()) -> None:
+        """Delete all tables but those that are a result."""
+        for path, df in list(self.written.items()):
+            if not any(df is k for k in keep):
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                del self.written[path]

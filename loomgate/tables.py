@@ -29,6 +29,8 @@ KEYS = {
 LOGS = ("query_log", "acl_audit")
 #: Postings of the chunks, sorted by gram inside each part: a search reads the row groups of its own grams.
 POSTINGS = StructType([StructField("gram", StringType()), StructField("chunk_id", LongType()), StructField("tf", LongType()), StructField("source_post_id", LongType())])
+#: Their dictionary, sorted by part: tokens that no text has any more do no harm.
+TOKENS = StructType([StructField("part", StringType()), StructField("gram", StringType())])
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -63,6 +65,10 @@ def postings(spark: SparkSession, root: str) -> DataFrame | None:
     return store.read(spark, f"{root}/postings", POSTINGS)
 
 
+def tokens(spark: SparkSession, root: str) -> DataFrame | None:
+    return store.read(spark, f"{root}/tokens", TOKENS)
+
+
 def append(spark: SparkSession, root: str, table: str, rows: DataFrame) -> bool:
     """Add to a log. A failure to write never fails the request; it is logged, and False."""
     try:
