@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+import time
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions.redaction import content_hash
 from ..operators import chunks, clauses, filters, govern, merge
 from ..runtime import scratch, ship
 from ..schemas import conform, empty
+from ..streaming.health import health_stream
 from ..streaming.incremental import failure_stream
 from .bindings import VIEWS, posts, query, read
 from .sources import list_pages
@@ -166,6 +168,53 @@ def failure_state_stream(spark, d):
     return spark.read.parquet(f"{root}/out").select("board_id", "consecutive_failures", "health")
 
 
+def _events_in_parts(spark, d, root, parts):
+    """Events as so many files, dealt by a hash: no part is in order, and every source is in all."""
+    e = read(spark, d, "events").select(F.col("user_id").alias("board_id"), F.col("event_id").alias("at"), (F.col("event_type") == "error").alias("failed"))
+    for i in range(parts):
+        e.filter(F.pmod(F.xxhash64("at"), F.lit(parts)) == i).repartition(1).write.parquet(f"{root}/in/part={i}")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/part=*")
+
+
+_FAILED_NOW = """WITH o AS (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM events)
+SELECT user_id AS board_id, CAST(count(*) FILTER (WHERE ok = 0) AS INTEGER) AS consecutive_failures, {health} AS health FROM o GROUP BY user_id"""
+
+
+@query(_FAILED_NOW.format(health="CASE WHEN count(*) FILTER (WHERE ok = 0) > 0 THEN 'degraded' ELSE 'healthy' END"))
+def failure_state_batches(spark, d):
+    """The same over several batches that come out of order: the last row of each source."""
+    root = scratch(ship(spark), "failures")
+    news = failure_stream(_events_in_parts(spark, d, root, 4))
+    news.writeStream.foreachBatch(lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("append").parquet(f"{root}/out")).outputMode("update").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{root}/out").groupBy("board_id").agg(F.max_by(F.struct("consecutive_failures", "health"), "n").alias("r"))
+    return last.select("board_id", "r.*")
+
+
+@query(_FAILED_NOW.format(health="'stalled'"))
+def silent_sources(spark, d):
+    """Every source falls silent once its events are read: timers emit it without new rows."""
+    root = scratch(ship(spark), "silent")
+    news = health_stream(_events_in_parts(spark, d, root, 2), silent_after=timedelta(seconds=2)).filter("health = 'stalled'")
+    write = lambda batch, n: batch.withColumn("n", F.lit(n)).write.mode("append").parquet(f"{root}/out")
+    q = news.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{root}/c").trigger(processingTime="1 second").start()
+    wanted = read(spark, d, "events").select("user_id").distinct().count()
+    until = time.monotonic() + 120
+    try:
+        while time.monotonic() < until and q.exception() is None:
+            time.sleep(1)
+            done = q.lastProgress
+            # all parts are read, nothing is new, and each source has been emitted after the last of them
+            if done and done["batchId"] >= 3 and not done["numInputRows"] and store.exists(spark, f"{root}/out") and spark.read.parquet(f"{root}/out").select("board_id").distinct().count() == wanted:
+                break
+        time.sleep(2)
+        if q.exception() is not None:
+            raise q.exception()
+    finally:
+        q.stop()
+    last = spark.read.parquet(f"{root}/out").groupBy("board_id").agg(F.max_by(F.struct("consecutive_failures", "health"), "n").alias("r"))
+    return last.select("board_id", "r.*")
+
+
 @query("SELECT decision, reason, CAST(n AS BIGINT) AS n, denied FROM (VALUES ('filtered', 'unknown_or_sensitive_board', 2, '0,99'), ('identity_absent', 'no_identity', 1, NULL)) v(decision, reason, n, denied)")
 def audit_log(spark, d):
     """What the gate writes down, read back from its table."""

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from .. import store
 from ..operators.filters import stalled
@@ -47,16 +45,9 @@ def consecutive_failures(runs: DataFrame, key: str = "board_id", order: str = "a
 
 def failure_stream(runs: DataFrame, key: str = "board_id", order: str = "at") -> DataFrame:
     """The same as state of a stream: one row per key and batch. runs: key (bigint), at, failed."""
+    from .health import health_stream
 
-    def step(k: tuple, batches, state: GroupState):
-        n = state.get[0] if state.exists else 0
-        for pdf in batches:
-            for failed in pdf.sort_values(order)["failed"]:
-                n = n + 1 if failed else 0
-        state.update((n,))
-        yield pd.DataFrame({key: [k[0]], "consecutive_failures": [n], "health": ["degraded" if n else "healthy"]})
-
-    return runs.groupBy(key).applyInPandasWithState(step, f"{key} bigint, consecutive_failures int, health string", "n int", "update", "NoTimeout")
+    return health_stream(runs, key, order)
 
 
 def stalled_sources(state: DataFrame, boards: DataFrame, now: Column, hours: int = 24) -> DataFrame:
