@@ -6,13 +6,13 @@ import io
 import zipfile
 from html import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ingest
 from ..operators.clauses import parse_matrix
 from ..operators.filters import is_image, is_text
-from ..runtime import ship
+from ..runtime import scratch, ship
 from ..sources import files, pages
 from ..streaming.incremental import upsert_stream
 from .bindings import query, read
@@ -116,34 +116,51 @@ def sheet_texts(spark, d):
     return files.extract(f).select("regulation_id", F.col("extract.text").alias("body"))
 
 
-class _Streamed:
-    """A list page per fifty events of a user, newest first."""
+def _event_pages(spark, d, root: str) -> int:
+    """List pages of fifty events a user, newest first, as files that executors read; the number of boards."""
+    e = read(spark, d, "events").select(F.col("user_id").cast("int").alias("board_no"), "event_id")
+    entry = F.to_json(F.struct(F.col("event_id").cast("string").alias("art_seq_no"), F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(" ")).alias("art_title"), F.lit("2024-01-01").alias("write_date")))
+    place = Window.partitionBy("board_no").orderBy(F.desc("event_id"))
+    rows = e.withColumn("page", F.floor((F.row_number().over(place) - 1) / 50) + 1).withColumn("e", entry)
+    listed = rows.groupBy("board_no", "page").agg(F.reverse(F.array_sort(F.collect_list(F.struct("event_id", "e")))).alias("rows"))
+    html = F.concat(F.lit("var exData=["), F.array_join(F.transform("rows", lambda x: x["e"]), ","), F.lit("];"))
+    listed.select("board_no", "page", html.alias("html")).repartitionByRange(8, "board_no").sortWithinPartitions("board_no").write.parquet(root)
+    return e.select("board_no").distinct().count()
 
-    def __init__(self, rows: dict[int, list[int]]):
-        self.rows = rows
+
+class _EventPages:
+    """Pages out of that table: a board's row groups are found by its number."""
+
+    def __init__(self, root: str):
+        self.root, self.held, self.table = root, {}, None
+
+    def __getstate__(self):
+        return {"root": self.root, "held": {}, "table": None}
 
     def list_page(self, board_no: int, page: int) -> str:
-        import json
+        if board_no not in self.held:
+            import pyarrow.dataset as ds
+            from pyarrow import fs
 
-        mine = self.rows.get(board_no, [])[(page - 1) * 50 : page * 50]
-        return "var exData=" + json.dumps([{"art_seq_no": str(i), "art_title": f" {i} ", "write_date": "2024-01-01"} for i in mine]) + ";" if mine else ""
+            if self.table is None:
+                where, path = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
+                self.table = ds.dataset(path, filesystem=where, format="parquet")
+            t = self.table.to_table(filter=ds.field("board_no") == board_no)
+            self.held = {board_no: dict(zip(t["page"].to_pylist(), t["html"].to_pylist()))}  # one board at a time
+        return self.held[board_no].get(page, "")
 
 
-@query("SELECT CAST(user_id AS INTEGER) AS board_no, event_id AS art_no, CAST(event_id AS VARCHAR) AS title FROM events WHERE user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 3)")
+@query("SELECT CAST(user_id AS INTEGER) AS board_no, event_id AS art_no, CAST(event_id AS VARCHAR) AS title FROM events")
 def board_stream(spark, d):
-    """A stream over three boards, read page by page until the end, upserted, and read again without a change."""
-    from ..runtime import scratch
-
-    e = read(spark, d, "events")
-    users = [r.user_id for r in e.select("user_id").distinct().orderBy("user_id").limit(3).collect()]
-    rows: dict[int, list[int]] = {}
-    for r in e.filter(F.col("user_id").isin(users)).select("user_id", "event_id").orderBy(F.desc("event_id")).collect():
-        rows.setdefault(int(r.user_id), []).append(r.event_id)
-    spark.dataSource.register(pages.board_source(_Streamed(rows), "event_boards"))
-    root = scratch(spark, "board-stream")
-    for _ in range(2):
-        source = spark.readStream.format("event_boards").option("boards", ",".join(str(int(u)) for u in users)).load()
-        upsert_stream(source, f"{root}/t", ["board_no", "art_no"], "art_no", f"{root}/c", parts=4).start().awaitTermination()
+    """A stream over the boards of all users: tasks of twenty pages read them to the end; upserted, and read again without a change."""
     from ..streaming.incremental import latest
 
+    root = scratch(ship(spark), "board-stream")
+    _event_pages(spark, d, f"{root}/pages")
+    spark.dataSource.register(pages.board_source(_EventPages(f"{root}/pages"), "event_boards"))
+    # the option that names the boards is a list of their numbers
+    boards = ",".join(str(r.board_no) for r in spark.read.parquet(f"{root}/pages").select("board_no").distinct().collect())
+    for _ in range(2):
+        source = spark.readStream.format("event_boards").option("boards", boards).option("pages_per_task", 20).option("requests_at_once", 1).load()
+        upsert_stream(source, f"{root}/t", ["board_no", "art_no"], "art_no", f"{root}/c", parts=4).start().awaitTermination()
     return latest(spark, f"{root}/t").select("board_no", "art_no", "title")
