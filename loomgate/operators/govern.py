@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.redaction import email_hash, redact
-from ..functions.text import absolute_url
+from ..functions.text import absolute_url, strip
 from ..schemas import SCHEMAS, conform
 
 
@@ -21,7 +21,7 @@ class Identity:
 
     @classmethod
     def from_headers(cls, headers: dict[str, str], role_key: str = "x-user-role", email_key: str = "x-user-email", session_key: str = "x-session-id") -> Identity:
-        low = {k.lower(): v.strip() for k, v in headers.items() if v}
+        low = {k.lower(): (v or "").strip() for k, v in headers.items()}
         return cls(low.get(role_key) or None, low.get(email_key) or None, low.get(session_key) or None)
 
     @property
@@ -29,6 +29,14 @@ class Identity:
         return bool(self.role or self.email)
 
 
+def identity_of(headers: Column, role_key: str = "x-user-role", email_key: str = "x-user-email", session_key: str = "x-session-id") -> Column:
+    """Identity.from_headers of a map column: struct of role, email, session and present."""
+    low = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.nullif(strip(e["value"]), F.lit("")).alias("value")))
+    last = lambda k: F.get(F.reverse(F.filter(low, lambda e: e["key"] == k)), F.lit(0))["value"]
+    role, email = last(role_key), last(email_key)
+    return F.struct(role.alias("role"), email.alias("email"), last(session_key).alias("session"), (role.isNotNull() | email.isNotNull()).alias("present"))
+
+
 def allowed_boards(boards: DataFrame) -> DataFrame:
     return boards.filter("included").select("board_id")
 
@@ -70,11 +78,15 @@ def cite(hits: DataFrame) -> DataFrame:
 
 def validate_citations(citations: DataFrame, clauses: DataFrame, authority: DataFrame, posts: DataFrame) -> DataFrame:
     """citations with validated: the clause or authority exists and is current, or the post exists."""
+    # each table gives what is cited of it and no more; only that is made distinct
+    cited = lambda kind: citations.filter(F.col("citation_kind") == kind).select(F.lit(kind).alias("citation_kind"), "citation_id").distinct()
+    there = lambda df, column: df.select(F.col(column).alias("citation_id")).join(cited("clause" if column == "canonical_clause_id" else "authority"), "citation_id", "left_semi").distinct()
+    numbers = cited("post").withColumn("post_id", F.split_part("citation_id", F.lit("#"), F.lit(2)).try_cast("long"))
+    there_posts = posts.select("post_id").join(numbers.select("post_id"), "post_id", "left_semi").distinct().select(F.concat(F.lit("post#"), F.col("post_id").cast("string")).alias("citation_id"))
     known = (
-        clauses.filter("is_current").select(F.lit("clause").alias("citation_kind"), F.col("canonical_clause_id").alias("citation_id"))
-        .unionByName(authority.filter("is_current").select(F.lit("authority").alias("citation_kind"), F.col("canonical_authority_id").alias("citation_id")))
-        .unionByName(posts.select(F.lit("post").alias("citation_kind"), F.concat(F.lit("post#"), F.col("post_id").cast("string")).alias("citation_id")))
-        .distinct()
+        there(clauses.filter("is_current"), "canonical_clause_id").withColumn("citation_kind", F.lit("clause"))
+        .unionByName(there(authority.filter("is_current"), "canonical_authority_id").withColumn("citation_kind", F.lit("authority")))
+        .unionByName(there_posts.withColumn("citation_kind", F.lit("post")))
         .withColumn("validated", F.lit(True))
     )
     return citations.join(known, ["citation_kind", "citation_id"], "left").withColumn("validated", F.coalesce("validated", F.lit(False)))
@@ -149,7 +161,10 @@ def rerank(hits: DataFrame, client=None, key: str = "query_id", query: str = "qu
 
 
 def source_meta(hits: DataFrame, posts: DataFrame, boards: DataFrame, regulations: DataFrame, attachments: DataFrame, base_url: str, proxy_url: str | None = None) -> DataFrame:
-    """hits with source: one tree of left joins instead of lookups per hit. A regulation's title wins over its post's; attachments in order of id."""
+    """hits with source: one tree of left joins instead of lookups per hit, over the rows of the hits' posts only. A regulation's title wins over its post's; attachments in order of id."""
+    mine = hits.select(F.col("source_post_id").alias("post_id")).filter("post_id is not null").distinct()
+    attachments, posts = (t.join(mine, "post_id", "left_semi") for t in (attachments, posts))
+    regulations = regulations.join(mine.withColumnRenamed("post_id", "source_post_id"), "source_post_id", "left_semi")
     files = attachments.groupBy("post_id").agg(F.array_sort(F.collect_list(F.struct("attachment_id", "file_name", "kind", absolute_url(F.col("download_url"), proxy_url or base_url).alias("download_url")))).alias("attachments"))
     regs = regulations.filter("is_current").groupBy(F.col("source_post_id").alias("post_id")).agg(F.min_by(F.struct("title", "reg_code", "effective_date"), "regulation_id").alias("reg"))
     p = posts.select("post_id", F.col("title").alias("__title"), "source_url").join(regs, "post_id", "left").join(files, "post_id", "left")

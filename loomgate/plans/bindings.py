@@ -237,9 +237,28 @@ _TEXT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s
 _ENTITIES = "replace(replace(replace(replace({c}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
 
 
-@query(f"SELECT page_id, {_lines(_ENTITIES.format(c=_TEXT))} AS body FROM pages WHERE html LIKE '%</html>'")
+@query(f"SELECT page_id, {_lines(_ENTITIES.format(c=_TEXT))} AS body FROM pages")
 def html_to_text(spark, d):
-    return read(spark, d, "pages").filter(F.endswith("html", F.lit("</html>"))).select("page_id", text.html_to_text_udf("html").alias("body"))
+    return read(spark, d, "pages").select("page_id", text.html_to_text_udf("html").alias("body"))
+
+
+@query(f"SELECT page_id, {_lines(_ENTITIES.format(c=_TEXT))} AS body FROM pages")
+def html_open_head(spark, d):
+    """Heads that nothing closes end where the body begins: at its tag, or where that is missing too, at the first tag of it."""
+    html = F.replace("html", F.lit("</head>"), F.lit(""))
+    html = F.when(F.col("page_id") % 2 == 0, html).otherwise(F.replace(html, F.lit("<body>"), F.lit("")))
+    return read(spark, d, "pages").select("page_id", text.html_to_text_udf(html).alias("body"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS role, CASE WHEN c_custkey % 3 = 0 THEN c_name || '@example.com' END AS email,
+ CASE WHEN c_custkey % 5 = 0 THEN 's' || c_custkey END AS session, c_custkey % 4 <> 0 OR c_custkey % 3 = 0 AS present FROM customer""")
+def identities(spark, d):
+    """Who asks, out of headers: names in any case, blanks around values, blank values as none, the last of two of a name."""
+    k, n = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    role = F.when(k % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" ")))
+    entries = F.array(F.struct(F.lit("x-user-role").alias("key"), F.lit("first").alias("value")), F.struct(F.lit("X-User-Role").alias("key"), role.alias("value")), F.struct(F.lit("X-USER-EMAIL").alias("key"), F.when(k % 3 == 0, F.concat("c_name", F.lit("@example.com"))).alias("value")), F.struct(F.lit("x-session-id").alias("key"), F.when(k % 5 == 0, F.concat(F.lit("s"), n)).otherwise("").alias("value")))
+    who = govern.identity_of(F.map_from_entries(entries))
+    return read(spark, d, "customer").select("c_custkey", who.alias("who")).select("c_custkey", "who.role", "who.email", "who.session", "who.present")
 
 
 @query(f"SELECT doc_id, {_lines('text')} AS body FROM documents")

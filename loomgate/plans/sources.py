@@ -116,16 +116,14 @@ def sheet_texts(spark, d):
     return files.extract(f).select("regulation_id", F.col("extract.text").alias("body"))
 
 
-def _event_pages(spark, d, root: str) -> int:
-    """List pages of fifty events a user, newest first, as files that executors read; the number of boards."""
-    e = read(spark, d, "events").select(F.col("user_id").cast("int").alias("board_no"), "event_id")
+def _saved_pages(e: DataFrame, root: str) -> None:
+    """e: board_no, event_id. List pages of fifty entries, newest first, as files that executors read."""
     entry = F.to_json(F.struct(F.col("event_id").cast("string").alias("art_seq_no"), F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(" ")).alias("art_title"), F.lit("2024-01-01").alias("write_date")))
     place = Window.partitionBy("board_no").orderBy(F.desc("event_id"))
     rows = e.withColumn("page", F.floor((F.row_number().over(place) - 1) / 50) + 1).withColumn("e", entry)
     listed = rows.groupBy("board_no", "page").agg(F.reverse(F.array_sort(F.collect_list(F.struct("event_id", "e")))).alias("rows"))
     html = F.concat(F.lit("var exData=["), F.array_join(F.transform("rows", lambda x: x["e"]), ","), F.lit("];"))
     listed.select("board_no", "page", html.alias("html")).repartitionByRange(8, "board_no").sortWithinPartitions("board_no").write.parquet(root)
-    return e.select("board_no").distinct().count()
 
 
 class _EventPages:
@@ -156,7 +154,7 @@ def board_stream(spark, d):
     from ..streaming.incremental import latest
 
     root = scratch(ship(spark), "board-stream")
-    _event_pages(spark, d, f"{root}/pages")
+    _saved_pages(read(spark, d, "events").select(F.col("user_id").cast("int").alias("board_no"), "event_id"), f"{root}/pages")
     spark.dataSource.register(pages.board_source(_EventPages(f"{root}/pages"), "event_boards"))
     # the option that names the boards is a list of their numbers
     boards = ",".join(str(r.board_no) for r in spark.read.parquet(f"{root}/pages").select("board_no").distinct().collect())
@@ -164,3 +162,17 @@ def board_stream(spark, d):
         source = spark.readStream.format("event_boards").option("boards", boards).option("pages_per_task", 20).option("requests_at_once", 1).load()
         upsert_stream(source, f"{root}/t", ["board_no", "art_no"], "art_no", f"{root}/c", parts=4).start().awaitTermination()
     return latest(spark, f"{root}/t").select("board_no", "art_no", "title")
+
+
+@query("SELECT CAST(substr(source, 4) AS INTEGER) AS board_no, CAST(count(*) * 2 AS BIGINT) AS entries, count(DISTINCT doc_id)::BIGINT AS numbers FROM documents GROUP BY source")
+def board_full(spark, d):
+    """Every entry of every board comes once; nothing comes where nothing is new; all come again where a board is read in full."""
+    root = scratch(ship(spark), "board-full")
+    docs = read(spark, d, "documents").select(F.substring("source", 4, 9).cast("int").alias("board_no"), F.col("doc_id").alias("event_id"))
+    _saved_pages(docs, f"{root}/pages")
+    spark.dataSource.register(pages.board_source(_EventPages(f"{root}/pages"), "document_boards"))
+    boards = ",".join(str(r.board_no) for r in docs.select("board_no").distinct().collect())
+    for full in ("false", "false", "true"):
+        source = spark.readStream.format("document_boards").option("boards", boards).option("requests_at_once", 1).option("full", full).load()
+        source.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").groupBy("board_no").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("art_no").alias("numbers"))
