@@ -137,8 +137,10 @@ def upsert_clauses(clauses: DataFrame, parsed: DataFrame, top: int | None = None
     top = top if top is not None else clauses.agg(F.max("clause_id")).first()[0] or 0
     merged = merge(current, conform(rows, "clause"), ["canonical_clause_id"], keep=["clause_id"], id_column="clause_id", top=top)
     merged = retire_missing(merged, rows, "regulation_id", "canonical_clause_id", read)
-    up = rows.select("canonical_clause_id", "parent_canonical_id")
-    linked = parents(merged.join(up, "canonical_clause_id", "left"))
+    up = rows.select("canonical_clause_id", "parent_canonical_id", F.lit(True).alias("__read"))
+    linked = parents(merged.join(up, "canonical_clause_id", "left").withColumn("__kept", F.col("parent_clause_id")))
+    # a regulation that was not read again keeps its links
+    linked = linked.withColumn("parent_clause_id", F.when(F.col("__read"), F.col("parent_clause_id")).otherwise(F.col("__kept")))
     return conform(linked, "clause").unionByName(old)
 
 

@@ -58,34 +58,34 @@ def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, roo
     links = pages.attachment_links(good).join(contents, ["board_no", "stored"], "left")
     files = written(extract(links, engines, ocr))
     new = written(conform(ingest.posts_of(good, t["board"], files.select("board_no", "art_no", "sha256")).withColumn("crawled_at", at), "post"))
-    top = lambda name, column: t[name].agg(F.max(column)).first()[0] or 0
-    highest = top("post", "post_id")
+    top = lambda name: tables.highest(spark, root, name)
+    highest = top("post")
     t["post"] = tables.update(spark, root, "post", new, lambda old: ingest.upsert_posts(old, new, highest))
     mine = written(t["post"].join(new.select(*ingest.NATURAL), ingest.NATURAL, "left_semi").join(known, "board_id"))
     ids = mine.select("post_id", "board_no", F.col("bizbox_art_no").alias("art_no"))
     files = written(files.join(ids, ["board_no", "art_no"]))
     rows = written(ingest.attachments_of(files, at))
-    highest_file = top("attachment", "attachment_id")
+    highest_file = top("attachment")
     t["attachment"] = tables.update(spark, root, "attachment", rows, lambda old: ingest.upsert_attachments(old, rows, highest_file))
     named = t["attachment"].select("attachment_id", "post_id", "storage_path", "sha256")
     of_file = files.withColumn("storage_path", F.concat_ws("/", F.col("post_id").cast("string"), "stored")).join(named.drop("sha256"), ["post_id", "storage_path"])
     sheets = written(of_file.select("attachment_id", F.explode("extract.pages").alias("p")).select("attachment_id", "p.page_no", F.col("p.text").alias("ocr_text")))
-    highest_page = top("attachment_page", "page_id")
+    highest_page = top("attachment_page")
     t["attachment_page"] = tables.update(spark, root, "attachment_page", sheets, lambda old: ingest.upsert_pages(old, sheets, highest_page))
     # regulations, their clauses and their matrices
     regs = written(ingest.regulations_of(mine))
-    highest_reg = top("regulation", "regulation_id")
+    highest_reg = top("regulation")
     t["regulation"] = tables.update(spark, root, "regulation", regs, lambda old: ingest.upsert_regulations(old, regs, highest_reg))
     my_regs = written(t["regulation"].filter("is_current").join(mine.select(F.col("post_id").alias("source_post_id"), "body_text"), "source_post_id"))
     parsed = written(parse_clauses(my_regs.select("regulation_id", F.col("body_text").alias("text"))))
     read_again = my_regs.select("regulation_id")
-    highest_clause = top("clause", "clause_id")
+    highest_clause = top("clause")
     t["clause"] = tables.update(spark, root, "clause", read_again, lambda old: ingest.upsert_clauses(old, parsed, highest_clause, read_again))
     excel = of_file.filter("kind = 'excel' and content is not null").join(my_regs.select("regulation_id", F.col("source_post_id").alias("post_id")), "post_id")
     cells = matrix_cells(excel.select("regulation_id", "content"))
     lines, refused = parse_matrix(cells.filter("error is null").drop("error"))
     lines = written(merge.last_per_key(lines, ["canonical_authority_id"], "amount_min"))
-    highest_line = top("authority_matrix", "authority_id")
+    highest_line = top("authority_matrix")
     t["authority_matrix"] = tables.update(spark, root, "authority_matrix", lines, lambda old: ingest.upsert_authority(old, lines, highest_line))
     # the corpus, of these posts only
     my_ids = mine.select("post_id")

@@ -12,7 +12,7 @@ from ..operators.filters import stalled
 from ..operators.merge import last_per_key, merge
 
 
-def upsert_stream(source: DataFrame, root: str, keys: list[str], order: str, checkpoint: str, update_when: Column | None = None, transform: Callable[[DataFrame], DataFrame] | None = None, parts: int = store.PARTS):
+def upsert_stream(source: DataFrame, root: str, keys: list[str], order: str, checkpoint: str, update_when: Column | None = None, transform: Callable[[DataFrame], DataFrame] | None = None, parts: int | None = None):
     """A stream merged into a table of parts: a batch rewrites the parts that its keys fall in, so readers never see half of one.
 
     The version of batch n is n; a batch that runs again after a crash writes the same version again.

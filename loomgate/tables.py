@@ -26,6 +26,8 @@ KEYS = {
     "eval_query": [],
     "eval_gold": [],
 }
+#: Ids that a table gives out: the store keeps the largest.
+IDS = {"post": ["post_id"], "attachment": ["attachment_id"], "attachment_page": ["page_id"], "regulation": ["regulation_id"], "clause": ["clause_id"], "authority_matrix": ["authority_id"]}
 LOGS = ("query_log", "acl_audit")
 #: Postings of the chunks, sorted by gram inside each part: a search reads the row groups of its own grams.
 POSTINGS = StructType([StructField("gram", StringType()), StructField("chunk_id", LongType()), StructField("tf", LongType()), StructField("source_post_id", LongType())])
@@ -49,18 +51,24 @@ def save(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> dict[s
     out = {}
     for t in KEYS:
         if t in tables:
-            store.write(spark, f"{root}/{t}", conform(tables[t], t), KEYS[t])
+            store.write(spark, f"{root}/{t}", conform(tables[t], t), KEYS[t], track=IDS.get(t, ()))
             out[t] = store.read(spark, f"{root}/{t}", SCHEMAS[t])
     return out
 
 
 def update(spark: SparkSession, root: str, table: str, rows: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Change the parts of a table that rows fall in, and read the table back."""
-    store.update(spark, f"{root}/{table}", rows, KEYS[table], lambda old: conform(change(old), table), SCHEMAS[table])
+    store.update(spark, f"{root}/{table}", rows, KEYS[table], lambda old: conform(change(old), table), SCHEMAS[table], track=IDS.get(table, ()))
     found = store.read(spark, f"{root}/{table}", SCHEMAS[table])
     return empty(spark, table) if found is None else found
 
 
+def highest(spark: SparkSession, root: str, table: str) -> int:
+    """The largest id that a table has given out, from its manifest."""
+    m = store.manifest(spark, f"{root}/{table}")
+    return (m.most.get(IDS[table][0]) or 0) if m else 0
+
+
 def postings(spark: SparkSession, root: str) -> DataFrame | None:
     return store.read(spark, f"{root}/postings", POSTINGS)
 
