@@ -29,12 +29,16 @@ def main(argv: list[str] | None = None) -> int:
     h.add_argument("--hours", type=int, default=24)
     e = sub.add_parser("eval")
     e.add_argument("--eval-set")
-    for s in (i, h, e):
+    w = sub.add_parser("words")  # learn how to split words, from the boards that ask for it
+    for s in (i, h, e, w):
         s.add_argument("--root", required=True)
     a = p.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.job == "eval":
-        print(json.dumps(jobs.evaluate(tables.load(spark, a.root), a.eval_set, index=tables.postings(spark, a.root), tokens=tables.tokens(spark, a.root)).first().asDict(), ensure_ascii=False))
+        print(json.dumps(jobs.evaluate(tables.load(spark, a.root), a.eval_set, index=tables.postings(spark, a.root), tokens=tables.tokens(spark, a.root), listed=tables.words(spark, a.root)).first().asDict(), ensure_ascii=False))
+        return 0
+    if a.job == "words":
+        print(json.dumps({"words": jobs.learn_words(spark, a.root)}))
         return 0
     if a.job == "health" or a.health_check:
         silent = [r.name for r in jobs.health(spark, a.root, hours=getattr(a, "hours", 24)).collect()]

@@ -35,6 +35,7 @@ class Engine:
     now: datetime | None = None
     index: DataFrame | None = None
     tokens: DataFrame | None = None
+    words: DataFrame | None = None
     root: str | None = None
     audit: list = field(default_factory=list)
     queries: list = field(default_factory=list)
@@ -44,7 +45,7 @@ class Engine:
     def load(cls, spark: SparkSession, root: str, **more) -> Engine:
         """Over a store: its tables as they are now, its postings, and its logs."""
         ship(spark)
-        return cls(spark, stored.load(spark, root), index=stored.postings(spark, root), tokens=stored.tokens(spark, root), root=root, **more)
+        return cls(spark, stored.load(spark, root), index=stored.postings(spark, root), tokens=stored.tokens(spark, root), words=stored.words(spark, root), root=root, **more)
 
     def _now(self):
         return F.lit(self.now).cast("timestamp") if self.now else F.current_timestamp()
@@ -99,7 +100,7 @@ class Engine:
         """(hits in their final order, report with reason and reranked)."""
         chunks = self.tables["chunk"] if allowed is None else govern.only_allowed(self.tables["chunk"], allowed)
         chunks = chunks.limit(0) if absent else chunks
-        s = Searcher(chunks, self.tables["authority_matrix"], self.tables["glossary_synonym"], self.index, self.tokens)
+        s = Searcher(chunks, self.tables["authority_matrix"], self.tables["glossary_synonym"], self.index, self.tokens, self.words)
         hits, report = s.search(query, now=self._now(), board_ids=board_ids, only_current=only_current, as_of=as_of, limit=limit)
         report = {"normalized": normalize_query(query), "n": 0, "top_score": None, "reranked": False} | report
         if report["strategy"] == "empty":

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ingest, store, tables
-from .operators import analytics, govern, lexicon, merge
+from .operators import analytics, govern, lexicon, merge, words
 from .operators.chunks import build_chunks, replace_posts
 from .operators.clauses import parse_clauses, parse_matrix
-from .operators.batch import search_batch
+from .operators.batch import search_batch, split_words
 from .operators.search import postings
 from .runtime import Workspace, ship
 from .schemas import conform
@@ -89,11 +89,13 @@ def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, roo
     t["authority_matrix"] = tables.update(spark, root, "authority_matrix", lines, lambda old: ingest.upsert_authority(old, lines, highest_line))
     # the corpus, of these posts only
     my_ids = mine.select("post_id")
-    rebuilt = written(build_chunks(mine.drop("board_no"), my_regs.drop("body_text"), t["clause"].join(read_again, "regulation_id", "left_semi"), now=at))
+    rebuilt = written(split_texts(spark, root, build_chunks(mine.drop("board_no"), my_regs.drop("body_text"), t["clause"].join(read_again, "regulation_id", "left_semi"), now=at), t["board"]))
     keyed = my_ids.select(F.col("post_id").alias("source_post_id"))
     t["chunk"] = tables.update(spark, root, "chunk", keyed, lambda old: replace_posts(old, rebuilt, my_ids))
     grams = postings(rebuilt).join(rebuilt.select("chunk_id", "source_post_id"), "chunk_id").select(tables.POSTINGS.fieldNames())
     store.update(spark, f"{root}/postings", keyed, ["source_post_id"], lambda old: old.join(keyed, "source_post_id", "left_anti").select(grams.columns).unionByName(grams), tables.POSTINGS, sort=["gram", "chunk_id"])
+    listed = split_words(rebuilt).join(rebuilt.select("chunk_id", "source_post_id"), "chunk_id").select(tables.WORDS.fieldNames())
+    store.update(spark, f"{root}/words", keyed, ["source_post_id"], lambda old: old.join(keyed, "source_post_id", "left_anti").select(listed.columns).unionByName(listed), tables.WORDS, sort=["word", "chunk_id"])
     parts = written(lexicon.dictionary(grams))
     store.update(spark, f"{root}/tokens", parts, ["part"], lambda old: old.unionByName(parts).distinct(), tables.TOKENS, sort=["part", "gram"])
     # counters and marks
@@ -118,17 +120,38 @@ def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, roo
     return runs
 
 
+def split_texts(spark: SparkSession, root: str, chunks: DataFrame, boards: DataFrame) -> DataFrame:
+    """chunks with their words where their board asks for them, by the store's vocabulary; without one they are learned by learn_words()."""
+    known = tables.vocabulary(spark, root)
+    return chunks if known is None else words.fill(chunks, boards, words.Words.of(known))
+
+
+def learn_words(spark: SparkSession, root: str, **limits) -> int:
+    """Learn the vocabulary from the boards that ask for split words, and split all their chunks anew. Returns how many words there are."""
+    ship(spark)
+    t = tables.load(spark, root)
+    mine = t["chunk"].join(t["board"].filter("use_mecab_parallel").select("board_id"), "board_id", "left_semi")
+    found = words.learn(words.runs_of(mine), **limits)
+    store.write(spark, f"{root}/vocabulary", found, ["word"])
+    model = words.Words.of(tables.vocabulary(spark, root))
+    posts = mine.select("source_post_id").distinct()
+    chunk = tables.update(spark, root, "chunk", posts, lambda old: words.fill(old, t["board"], model))
+    listed = split_words(chunk).join(chunk.select("chunk_id", "source_post_id"), "chunk_id").select(tables.WORDS.fieldNames())
+    store.write(spark, f"{root}/words", listed, ["source_post_id"], sort=["word", "chunk_id"])
+    return len(model.weights)
+
+
 def health(spark: SparkSession, root: str, now: datetime | None = None, hours: int = 24) -> DataFrame:
     t = tables.load(spark, root)
     return stalled_sources(t["ingest_state"], t["board"], F.lit(now or datetime.now()).cast("timestamp"), hours)
 
 
-def evaluate(t: dict[str, DataFrame], eval_set: str | None = None, k: int = 10, allowed: DataFrame | None = None, index: DataFrame | None = None, tokens: DataFrame | None = None, now: datetime | None = None, limit: int = 30) -> DataFrame:
+def evaluate(t: dict[str, DataFrame], eval_set: str | None = None, k: int = 10, allowed: DataFrame | None = None, index: DataFrame | None = None, tokens: DataFrame | None = None, listed: DataFrame | None = None, now: datetime | None = None, limit: int = 30) -> DataFrame:
     """Metrics of a golden set: each question takes the way that Engine.route gives it, all of them in one batch.
 
     Questions about approvals or counts are answered by the matrix (their lines are what is found and cited), all others
     by the search: its first k hits are what is found, the valid citations of all its hits are cited, and no hit is
-    an abstention. index, tokens: postings of the chunks and their dictionary, made if there are none.
+    an abstention. index, tokens, listed: postings of the chunks, their dictionary and the index of split words, made if there are none.
     """
     q = t["eval_query"] if eval_set is None else t["eval_query"].filter(F.col("eval_set") == eval_set)
     work = Workspace(q.sparkSession)
@@ -137,7 +160,7 @@ def evaluate(t: dict[str, DataFrame], eval_set: str | None = None, k: int = 10,
     asked = q.select(F.col("eval_query_id").alias("query_id"), F.col("query_text").alias("text"))
     kinds = work.write(asked.join(analytics.kinds_of(asked), "query_id").select("query_id", "text", "kind"))
     at = F.lit(now or datetime.now()).cast("timestamp")
-    hits, _ = search_batch(kinds.filter("kind = 'search'").select("query_id", "text"), chunks, index, tokens=tokens, now=at, authority=t["authority_matrix"], glossary=t["glossary_synonym"], limit=limit)
+    hits, _ = search_batch(kinds.filter("kind = 'search'").select("query_id", "text"), chunks, index, tokens=tokens, words=listed, now=at, authority=t["authority_matrix"], glossary=t["glossary_synonym"], limit=limit)
     lines = analytics.dispatch_many(kinds.filter("kind <> 'search'").select("query_id", "text"), t["authority_matrix"], t["regulation"])
     lines = lines.filter("canonical_authority_id is not null").select(F.col("query_id").alias("eval_query_id"), F.col("canonical_authority_id").alias("canonical_id"), F.col("position").alias("rank"))
     hits = hits.withColumnRenamed("query_id", "eval_query_id")

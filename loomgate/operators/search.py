@@ -87,10 +87,11 @@ def expand(groups: list[list[str]], glossary: DataFrame) -> list[list[str]]:
     return [list(dict.fromkeys(s for t in g for s in table.get(t) or [t])) for g in groups]
 
 
-def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]], tokens: DataFrame | None = None) -> DataFrame:
-    """Chunks that have, of some term of every group, all that it needs in the postings, and those with tokens of their own.
+def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]], tokens: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """Chunks that have, of some term of every group, all that it needs in the postings, and those with split words of their own.
 
-    tokens: the dictionary of the postings; made from them if there is none. A pattern that very many tokens hold does not narrow.
+    tokens: the dictionary of the postings; made from them if there is none. A pattern that very many tokens hold does not
+    narrow. words: (word, chunk_id) of the split words; then only chunks with some term of every group among those come.
     """
     wanted = [[lexicon.needs(t) for t in g] for g in groups]
     patterns = sorted({n.pattern for g in wanted for t in g for n in t if not n.whole})
@@ -115,18 +116,25 @@ def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]], tok
         return chunks
     if "tokenized" not in chunks.columns:
         return chunks.join(narrow, "chunk_id", "left_semi")
-    return chunks.join(narrow.withColumn("__in", F.lit(True)), "chunk_id", "left").filter(F.col("__in") | F.col("tokenized").isNotNull()).drop("__in")
+    if words is None:
+        return chunks.join(narrow.withColumn("__in", F.lit(True)), "chunk_id", "left").filter(F.col("__in") | F.col("tokenized").isNotNull()).drop("__in")
+    listed = None
+    for g in groups:
+        ids = words.filter(F.col("word").isin(g)).select("chunk_id").distinct()
+        listed = ids if listed is None else listed.join(ids, "chunk_id", "left_semi")
+    return chunks.join(narrow.unionByName(listed).distinct(), "chunk_id", "left_semi")
 
 
 @dataclass
 class Searcher:
-    """chunks and authority tables, with an optional glossary, postings and their dictionary."""
+    """chunks and authority tables, with an optional glossary, postings, their dictionary, and the index of split words."""
 
     chunks: DataFrame
     authority: DataFrame | None = None
     glossary: DataFrame | None = None
     index: DataFrame | None = None
     tokens: DataFrame | None = None
+    words: DataFrame | None = None
 
     def _base(self, board_ids, only_current, as_of, inclusive) -> DataFrame:
         c = self.chunks.filter(board_filter("board_id", board_ids) & current_filter(only_current) & as_of_posted("posted_at", as_of, inclusive))
@@ -137,7 +145,7 @@ class Searcher:
     def full_text(self, groups, base: DataFrame, some_too: bool = False) -> DataFrame:
         """Hits of all groups; with some_too also those of some, all marking which."""
         loose = [[t for g in groups for t in g]]
-        rows = candidates(base, self.index, loose if some_too else groups, self.tokens) if self.index is not None else base
+        rows = candidates(base, self.index, loose if some_too else groups, self.tokens, self.words) if self.index is not None else base
         body = searchable(F.col("body"), groups)
         ok, score = match(groups, body)
         some, _ = match(loose, body)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import jobs
-from ..operators import analytics, lexicon, search
+from ..operators import analytics, lexicon, search, words
 from ..operators.batch import search_batch as run_batch
 from ..runtime import Workspace
 from ..schemas import conform
@@ -122,3 +122,29 @@ def eval_job(spark, d):
     types = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias(c)
     rounded = lambda c: F.round(c, 12).alias(c)
     return m.select("total", rounded("recall"), rounded("citation_accuracy"), rounded("abstain_recall"), "over_abstain", types("per_type"), types("recall_per_type"))
+
+
+_SCRIPT = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+#: Weights of the words that a run may be cut into; whole numbers, so that equal cuts are equal.
+_PARTS = {w: 4 * len(w) - 24 for w in ("th", "he", "an", "er", "in", "ed", "es", "or", "ti", "nd", "en", "ou", "ea", "ing", "ion", "ent", "ble", "and", "keit", "heit", "tion")}
+
+
+@query(f"""{VIEWS}, r AS (SELECT * FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(body_text), '[a-z]+')) AS run FROM post) WHERE length(run) <= 14),
+d AS (SELECT unnest([{", ".join(f"'{w}'" for w in _PARTS)}]) AS w, unnest([{", ".join(map(str, _PARTS.values()))}]) AS weight),
+steps AS (SELECT run, i, d.w, d.weight FROM (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM r) JOIN d ON substr(run, i, length(d.w)) = d.w
+  UNION ALL SELECT run, i, substr(run, i, 1), {int(1.5 * min(_PARTS.values()))} FROM (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM r)),
+best AS (SELECT * FROM (WITH RECURSIVE c AS (
+    SELECT run, 1::BIGINT AS i, 0::BIGINT AS total, []::BIGINT[] AS sizes, '' AS cut FROM r
+    UNION ALL
+    SELECT * FROM (SELECT c.run, c.i + length(w) AS i, total + weight AS total, list_prepend(length(w)::BIGINT, sizes) AS sizes, CASE WHEN cut = '' THEN w ELSE cut || ' ' || w END AS cut
+      FROM c JOIN steps s ON s.run = c.run AND s.i = c.i)
+  ) SELECT * FROM c WHERE i = length(run) + 1) QUALIFY row_number() OVER (PARTITION BY run ORDER BY total DESC, sizes DESC) = 1)
+SELECT translate(run, '{_SCRIPT[0]}', '{_SCRIPT[1]}') AS run, translate(cut, '{_SCRIPT[0]}', '{_SCRIPT[1]}') AS cut FROM best WHERE length(run) <= 14""")
+def split_words(spark, d):
+    """The likeliest cut of every word of the corpus by a fixed dictionary, written in letters that runs are cut for."""
+    script = lambda c: F.translate(F.lower(c), *_SCRIPT)
+    latin = posts(spark, d).select(F.explode(F.regexp_extract_all(F.lower("body_text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    runs = words.runs_of(latin.select(script("w").alias("body"))).filter(F.length("run") <= 14)
+    to = str.maketrans(*_SCRIPT)
+    model = words.Words(spark, {w.translate(to): float(v) for w, v in _PARTS.items()})
+    return runs.select("run", F.array_join(model.cuts(F.col("run")), " ").alias("cut"))

@@ -33,6 +33,9 @@ LOGS = ("query_log", "acl_audit")
 POSTINGS = StructType([StructField("gram", StringType()), StructField("chunk_id", LongType()), StructField("tf", LongType()), StructField("source_post_id", LongType())])
 #: Their dictionary, sorted by part: tokens that no text has any more do no harm.
 TOKENS = StructType([StructField("part", StringType()), StructField("gram", StringType())])
+#: Split words of chunks whose board asks for them, sorted by word; and the words themselves, with their uses.
+WORDS = StructType([StructField("word", StringType()), StructField("chunk_id", LongType()), StructField("source_post_id", LongType())])
+VOCABULARY = StructType([StructField("word", StringType()), StructField("uses", LongType())])
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -77,6 +80,14 @@ def tokens(spark: SparkSession, root: str) -> DataFrame | None:
     return store.read(spark, f"{root}/tokens", TOKENS)
 
 
+def words(spark: SparkSession, root: str) -> DataFrame | None:
+    return store.read(spark, f"{root}/words", WORDS)
+
+
+def vocabulary(spark: SparkSession, root: str) -> DataFrame | None:
+    return store.read(spark, f"{root}/vocabulary", VOCABULARY)
+
+
 def append(spark: SparkSession, root: str, table: str, rows: DataFrame) -> bool:
     """Add to a log. A failure to write never fails the request; it is logged, and False."""
     try:
