@@ -13,8 +13,9 @@ from . import tables as stored
 from .functions.redaction import inline_image, redact
 from .functions.text import AGGREGATE_WORDS, AUTHORITY_WORDS, absolute_url, normalize_query
 from .operators import analytics, govern
-from .operators.filters import as_of_effective, clamp, contains_escaped, is_image, is_text
+from .operators.filters import clamp, contains_escaped, is_image, is_text
 from .operators.search import Searcher
+from .operators.versions import clauses_at
 from .runtime import ship
 
 
@@ -142,10 +143,12 @@ class Engine:
         return answer | {"citations": None if report["reason"] else govern.validate_citations(govern.cite(hits), self.tables["clause"], self.tables["authority_matrix"], self.tables["post"])}
 
     def get_regulation(self, identity, regulation_id: int, as_of: date | None = None) -> DataFrame:
+        """With as_of the clauses as they were on that day, past versions too."""
         g = self._gate("get_regulation", identity)
         t = self.tables
         reg = self._mine("get_regulation", identity, t["regulation"].filter(F.col("regulation_id") == regulation_id), g["allowed"])
-        c = t["clause"].filter((F.col("regulation_id") == regulation_id) & F.col("is_current") & as_of_effective("effective_date", as_of))
+        c = t["clause"].filter(F.col("regulation_id") == regulation_id)
+        c = c.filter("is_current") if as_of is None else clauses_at(c, F.lit(as_of))
         clauses = c.groupBy("regulation_id").agg(F.array_sort(F.collect_list(F.struct("order_seq", "canonical_clause_id", "clause_label", "clause_title", redact(F.col("text")).alias("text")))).alias("c"))
         shaped = F.transform(F.coalesce("c", F.array().cast("array<struct<order_seq:int,canonical_clause_id:string,clause_label:string,clause_title:string,text:string>>")), lambda x: x.dropFields("order_seq"))
         shown = self._source(reg.join(clauses, "regulation_id", "left"))

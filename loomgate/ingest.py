@@ -154,6 +154,5 @@ def upsert_authority(authority: DataFrame, rows: DataFrame, top: int | None = No
 
 
 def summarize(processed: DataFrame) -> DataFrame:
-    """Counters of a run per board; the mark never passes the lowest failure, so that it is read again."""
-    lowest = F.col("lowest_failure")
-    return run_counts(processed).withColumn("last_art_no", F.when(lowest.isNotNull(), F.least("last_art_no", lowest - 1)).otherwise(F.col("last_art_no")))
+    """Counters of a run per board; the mark is that of all that was read, as failures are kept by themselves (operators.ledger)."""
+    return run_counts(processed).withColumn("last_art_no", F.greatest("last_art_no", "highest_failure"))

@@ -7,9 +7,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import ingest, store, tables
-from .operators import analytics, govern, lexicon, merge, words
+from .operators import analytics, govern, ledger, lexicon, merge, words
 from .operators.chunks import build_chunks, replace_posts
 from .operators.clauses import parse_clauses, parse_matrix
 from .operators.batch import search_batch, split_words
@@ -30,8 +31,9 @@ def ingest_pages(spark: SparkSession, directory: str, root: str, board_numbers:
 def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, root: str, board_numbers: list[int] | None = None, full: bool = False, now: datetime | None = None, engines: dict | None = None, ocr=None) -> DataFrame:
     """Merge what is new on boards that the store knows. saved: board_no, name, html. contents: board_no, stored, content of attachments.
 
-    Returns counters per board. A post without a readable page counts as a failure, and is read again next time; a file
-    that is missing or cannot be read fails by itself, and its post goes on. Only the parts of tables that the new posts
+    Returns counters per board. A post without a readable page counts as a failure and is kept in the ledger: it is read
+    again when its time has come, while the board's mark moves on. A file that is missing or cannot be read fails by
+    itself, and its post goes on. Only the parts of tables that the new posts
     fall in are written.
     """
     ship(spark)
@@ -49,8 +51,8 @@ def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, roo
     if board_numbers is not None:
         saved = saved.filter(F.col("board_no").isin(board_numbers))
     refs = pages.list_rows(saved.filter(F.col("name").rlike(r"^board_p\d+$")).select("board_no", "html")).dropDuplicates(["board_no", "art_no"])
-    state = t["ingest_state"].join(known, "board_id").select(F.col("board_no").alias("board_id"), "last_art_no", "last_posted_at")
-    refs = refs if full else pages.since(refs, state)
+    if not full:
+        refs = ledger.to_read(refs.join(known, "board_no"), t["ingest_state"], tables.failed(spark, root), at).drop("board_id")
     page = lambda kind: saved.filter(F.col("name").rlike(rf"^{kind}_\d+$")).select("board_no", F.split_part("name", F.lit("_"), F.lit(2)).try_cast("bigint").alias("art_no"), "html")
     bodies = written(pages.post_bodies(refs, page("post"), page("inner")))
     good = bodies.filter("view_html is not null")
@@ -108,6 +110,8 @@ def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, roo
         done = done.join(per_post(df, name), ["board_no", "art_no"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
     chunks_of = rebuilt.join(mine.select(F.col("post_id").alias("source_post_id"), F.col("board_id").alias("__b")), "source_post_id").groupBy(F.col("__b").alias("board_id")).agg(F.count(F.lit(1)).alias("chunks"))
     bad = refused.join(reg_post, "regulation_id").join(known, "board_no").groupBy("board_id").agg(F.count(F.lit(1)).alias("refused_cells"))
+    outcomes = written(done.select("board_id", "art_no", "error"))
+    store.update(spark, f"{root}/failed", outcomes, ["board_id"], lambda old: ledger.advance(old, outcomes, at), StructType.fromDDL(ledger.SCHEMA))
     runs = ingest.summarize(done).join(chunks_of, "board_id", "left").join(bad, "board_id", "left").fillna(0, ["chunks", "refused_cells"])
     runs = spark.createDataFrame(runs.collect(), runs.schema)  # a row per board; the tables they come from change next
     state = merge.advance_state(ingest.seed_states(t["ingest_state"], t["board"]), runs, at)

@@ -177,7 +177,7 @@ def evaluate(queries: DataFrame, gold: DataFrame, found: DataFrame, cited: DataF
 
 
 def run_counts(posts: DataFrame) -> DataFrame:
-    """Per board: posts, attachments, clauses, authorities, failures, the lowest failed number, and the marks of what succeeded. posts: board_id, art_no, posted_at, error, counts."""
+    """Per board: posts, attachments, clauses, authorities, failures, the highest failed number, and the marks of what succeeded. posts: board_id, art_no, posted_at, error, counts."""
     ok = F.col("error").isNull()
     return posts.groupBy("board_id").agg(
         F.count_if(ok).alias("posts"),
@@ -187,5 +187,5 @@ def run_counts(posts: DataFrame) -> DataFrame:
         F.count_if(~ok).alias("failures"),
         F.max(F.when(ok, F.col("art_no"))).alias("last_art_no"),
         F.max(F.when(ok, F.col("posted_at"))).alias("last_posted_at"),
-        F.min(F.when(~ok, F.col("art_no"))).alias("lowest_failure"),
+        F.max(F.when(~ok, F.col("art_no"))).alias("highest_failure"),
     )

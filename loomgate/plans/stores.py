@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 from datetime import date, datetime, timedelta
+from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import ingest, jobs, store, tables
 from ..functions.redaction import content_hash
-from ..operators import chunks, clauses, filters, govern, merge
-from ..runtime import scratch, ship
+from ..operators import chunks, clauses, filters, govern, ledger, merge, versions
+from ..runtime import Workspace, scratch, ship
 from ..schemas import conform, empty
 from ..streaming.health import health_stream
 from ..streaming.incremental import failure_stream
@@ -247,7 +249,7 @@ def query_log(spark, d):
 
 @query("""WITH p AS (SELECT CAST(substr(source, 4) AS INTEGER) AS b, doc_id, doc_id % 9 <> 8 AS ok, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS files, doc_id % 50 <> 49 AS listed FROM documents)
 SELECT CAST(b + 1 AS INTEGER) AS board_id, count(*) FILTER (WHERE ok)::BIGINT AS posts, count(*) FILTER (WHERE NOT ok)::BIGINT AS failures, CAST(coalesce(sum(files) FILTER (WHERE ok), 0) AS BIGINT) AS attachments, CASE WHEN b % 2 = 0 THEN count(*) FILTER (WHERE ok) ELSE 0 END::BIGINT AS clauses,
- (count(*) FILTER (WHERE ok) + CASE WHEN b % 2 = 0 THEN count(*) FILTER (WHERE ok) ELSE 0 END)::BIGINT AS chunks, CASE WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN least(max(doc_id) FILTER (WHERE ok), min(doc_id) FILTER (WHERE NOT ok) - 1) ELSE max(doc_id) FILTER (WHERE ok) END AS last_art_no,
+ (count(*) FILTER (WHERE ok) + CASE WHEN b % 2 = 0 THEN count(*) FILTER (WHERE ok) ELSE 0 END)::BIGINT AS chunks, max(doc_id) AS last_art_no,
  CASE WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM p WHERE listed GROUP BY b""")
 def ingest_run(spark, d):
     """A whole run over made-up boards: lists, views (some missing), files, regulations with clauses, chunks, marks and states."""
@@ -265,3 +267,53 @@ def ingest_run(spark, d):
     runs = jobs.ingest_saved(spark, saved, contents, root, now=AT)
     state = tables.load(spark, root)["ingest_state"].select("board_id", "health")
     return runs.join(state, "board_id").select("board_id", "posts", "failures", "attachments", "clauses", "chunks", "last_art_no", "health")
+
+
+@query("""WITH t AS (SELECT CAST(substr(source, 4) AS INTEGER) AS board_id, doc_id, doc_id % 4 AS k FROM documents)
+SELECT board_id, doc_id AS art_no, CASE k WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 1 END::BIGINT AS reads, CASE WHEN k = 3 THEN 3 END AS attempts, CASE WHEN k = 3 THEN TIMESTAMP '2025-01-08 00:00:00' END AS next_at FROM t""")
+def failure_ledger(spark, d):
+    """Four daily runs over all documents: half succeed at once, a quarter fails the first time, a quarter always. One that fails for ever is read on days 1, 2 and 4."""
+    work = Workspace(ship(spark))
+    refs = work.write(posts(spark, d).select("board_id", F.col("post_id").alias("art_no")))
+    state = spark.createDataFrame([], "board_id int, last_art_no long")
+    held, reads = spark.createDataFrame([], ledger.SCHEMA), []
+    for day in range(4):
+        now = F.lit(AT + timedelta(days=day)).cast("timestamp")
+        mine = work.write(ledger.to_read(refs, state, held, now))
+        reads.append(mine)
+        k = F.col("art_no") % 4
+        failed = (k == 3) | ((k == 2) & F.lit(day == 0))
+        outcomes = mine.withColumn("error", F.when(failed, "no page"))
+        held = work.write(ledger.advance(held, outcomes, now, first=timedelta(days=1)))
+        # the marks move on past what failed
+        top = mine.groupBy("board_id").agg(F.max("art_no").alias("last_art_no"))
+        state = work.write(state.unionByName(top).groupBy("board_id").agg(F.max("last_art_no").alias("last_art_no")))
+    n = reduce(lambda a, b: a.unionByName(b), reads).groupBy("board_id", "art_no").agg(F.count(F.lit(1)).alias("reads"))
+    out = n.join(held.select("board_id", "art_no", "attempts", F.col("next_at").cast("timestamp_ntz").alias("next_at")), ["board_id", "art_no"], "left")
+    return out.select("board_id", "art_no", "reads", "attempts", "next_at")
+
+
+@query("""WITH v AS (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type IN ('view', 'signup') GROUP BY user_id, ts),
+m AS (SELECT event_id AS asked, user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT m.asked, m.user_id, v.event_id AS version FROM m ASOF LEFT JOIN v ON m.user_id = v.user_id AND m.ts >= v.ts""")
+def as_of_join(spark, d):
+    """For every purchase the last view or signup of its user until then."""
+    e = read(spark, d, "events")
+    v = e.filter("event_type in ('view', 'signup')").select("user_id", "ts", F.col("event_id").alias("version"))
+    m = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("asked"), "user_id", "ts")
+    return versions.as_of_join(m, v, "user_id", "ts", "ts", ["version"], "version", days=2).select("asked", "user_id", "version")
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS start, o_orderpriority LIKE '1%' AS gone, o_orderkey % 3 AS label FROM orders),
+i AS (SELECT *, lead(start) OVER w AS stop, lead(o_orderkey) OVER w IS NULL AS last FROM c WINDOW w AS (PARTITION BY o_custkey, label ORDER BY start, o_orderkey)),
+days AS (SELECT unnest([DATE '1993-01-01', DATE '1995-07-01', DATE '1997-03-15', DATE '1999-01-01', DATE '2024-06-30', DATE '2030-01-01']) AS day)
+SELECT day, count(*)::BIGINT AS clauses, sum(o_orderkey)::BIGINT AS keys FROM days JOIN i ON start <= day AND (last OR day < stop) WHERE NOT (last AND gone) GROUP BY day""")
+def clauses_of_days(spark, d):
+    """The clauses of some days: orders are versions of three clauses a customer; where the last one is urgent the clause has gone since."""
+    at = F.col("o_orderdate").cast("date")
+    chain = Window.partitionBy("o_custkey", F.col("o_orderkey") % 3).orderBy(F.desc(at), F.desc("o_orderkey"))
+    c = read(spark, d, "orders").withColumn("n", F.row_number().over(chain))
+    c = c.select(F.col("o_custkey").alias("regulation_id"), (F.col("o_orderkey") % 3).cast("string").alias("canonical_clause_id"), F.col("o_orderkey").alias("clause_id"), at.alias("effective_date"), ((F.col("n") == 1) & ~F.startswith("o_orderpriority", F.lit("1"))).alias("is_current"))
+    days = [date(1993, 1, 1), date(1995, 7, 1), date(1997, 3, 15), date(1999, 1, 1), date(2024, 6, 30), date(2030, 1, 1)]
+    held = [versions.clauses_at(c, F.lit(day)).agg(F.count(F.lit(1)).alias("clauses"), F.sum("clause_id").alias("keys")).select(F.lit(day).alias("day"), "clauses", "keys") for day in days]
+    return reduce(lambda a, b: a.unionByName(b), held).filter("clauses > 0")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import store
+from .operators import ledger
 from .schemas import SCHEMAS, conform, empty
 
 #: Parents first, so that a reader between two writes finds no child without its parent; and what a table is dealt by.
@@ -66,6 +67,12 @@ def update(spark: SparkSession, root: str, table: str, rows: DataFrame, change:
     return empty(spark, table) if found is None else found
 
 
+def failed(spark: SparkSession, root: str) -> DataFrame:
+    """The ledger of posts that failed."""
+    found = store.read(spark, f"{root}/failed", StructType.fromDDL(ledger.SCHEMA))
+    return spark.createDataFrame([], ledger.SCHEMA) if found is None else found
+
+
 def highest(spark: SparkSession, root: str, table: str) -> int:
     """The largest id that a table has given out, from its manifest."""
     m = store.manifest(spark, f"{root}/{table}")
