@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import IntegerType
 
 from ..functions.text import collapse
 from .filters import in_band
@@ -96,23 +100,48 @@ def kinds_of(queries: DataFrame) -> DataFrame:
     return q.withColumn("kind", kind)
 
 
-def band_join(values: DataFrame, value: str, bands: DataFrame, width: int | None = None, broadcast_rows: int = 10_000) -> DataFrame:
+#: Cells of equal depth that values are dealt to in a band join of many bands.
+CELLS = 256
+
+
+def equal_depth(values: DataFrame, value: str, cells: int = CELLS) -> tuple[list, list[int]]:
+    """(ends, shares): the largest values of cells with about as many rows each, and how many cells' rows each has.
+
+    Approximate quantiles, computed in parts and merged. A value that fills several cells is one, with their number.
+    """
+    marks = values.agg(F.percentile_approx(value, [i / cells for i in range(1, cells + 1)], 100 * cells).alias("q")).first().q
+    ends = sorted(set(marks or []))
+    return ends, [sum(q == e for q in marks) for e in ends]
+
+
+def band_join(values: DataFrame, value: str, bands: DataFrame, cells: int = CELLS, broadcast_rows: int = 10_000) -> DataFrame:
     """Each value with the bands that hold it.
 
-    Few bands (counted first, broadcast_rows at most) are broadcast. More are met through cells of equal width: a
-    band is listed in the cells it covers, one open at an end goes with the values directly if few, so keys are equal.
+    Few bands (counted first, broadcast_rows at most) are broadcast. More are met through cells of equal depth: a band
+    is listed in the cells it covers, an open one to the first or the last. A cell that one value fills many times over is dealt to
+    as many parts by a hash of its rows, and its bands are listed in each, so a value that half of all rows have spreads.
     """
     n = bands.count()
     if n <= broadcast_rows:
         return values.join(F.broadcast(bands), in_band(F.col(value)))
-    ends = values.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
-    if ends.a is None:
+    ends, shares = equal_depth(values, value, cells)
+    if not ends:
         return values.join(bands, F.lit(False))
-    width = width or max(1, int((ends.b - ends.a) // 1024 + 1))
-    low, high = F.greatest(F.coalesce("amount_min", F.lit(int(ends.a))), F.lit(int(ends.a))), F.least(F.coalesce("amount_max", F.lit(int(ends.b))), F.lit(int(ends.b)))
-    cell = lambda c: F.floor(c / width).cast("long")
-    b = bands.withColumn("__low", low).withColumn("__high", high).filter("__low <= __high").withColumn("__cell", F.explode(F.sequence(cell(F.col("__low")), cell(F.col("__high"))))).drop("__low", "__high")
-    return values.withColumn("__cell", cell(F.col(value))).join(b, "__cell").filter(in_band(F.col(value))).drop("__cell")
+    last = len(ends) - 1
+
+    @arrow_udf(IntegerType())
+    def cell(v: pa.Array) -> pa.Array:
+        """The first cell that does not end below; beyond all ends the last one."""
+        at = np.minimum(np.searchsorted(np.array(ends), v.fill_null(0).to_numpy(zero_copy_only=False)), last)
+        return pa.array(at.astype(np.int32), mask=~v.is_valid().to_numpy(zero_copy_only=False))
+
+    parts = F.element_at(F.array(*map(F.lit, shares)), F.col("__cell") + 1)
+    low, high = F.coalesce(cell(F.col("amount_min")), F.lit(0)), F.coalesce(cell(F.col("amount_max")), F.lit(last))
+    b = bands.filter("amount_min is null or amount_max is null or amount_min <= amount_max").withColumn("__cell", F.explode(F.sequence(low, high)))
+    b = b.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    v = values.filter(F.col(value).isNotNull()).withColumn("__cell", cell(F.col(value)))
+    v = v.withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts).cast("int"))
+    return v.join(b, ["__cell", "__part"]).filter(in_band(F.col(value))).drop("__cell", "__part")
 
 
 def board_counts(regulations: DataFrame, boards: DataFrame | None = None, board_ids=None) -> DataFrame:
