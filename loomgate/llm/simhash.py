@@ -15,7 +15,9 @@ reach for fingerprints within 3 bits. It is an exact join of sets: shingles have
 texts that are similar enough share one of their first n - ceil(0.8 n) + 1 (prefix). Distinct texts are indexed under
 those; lengths and places rule pairs out, and every pair left is verified by its shingles. What a sample says is
 frequent only makes the buckets small: any order gives the same pairs. Buckets are compared with their first text
-first; then all other pairs of a bucket that are not in one group yet.
+first, which a partial aggregation finds; then come pairs of a bucket that are not in one group yet. Pairs within a
+group are never formed: texts outside a bucket's largest group meet all of it, and a bucket of many pairs is dealt to
+parts of PAIRS. So a bucket of near copies that holds a third of all rows costs one comparison a row.
 
 Null texts have no words: fingerprint zero, linked like any other; in the stage all texts without words are one group.
 Fewer words than a shingle make one shingle of all. Repeated rows give a row each in near_duplicates; in the stage one
@@ -28,7 +30,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, read, scored
@@ -39,8 +41,10 @@ SHINGLE, BITS, SEED = 3, 2, 42
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: Of distinct texts one in so many is sampled; shingles of that many sampled texts are frequent; the most frequent are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 3, 1 << 18
-#: Bits of the map of rows whose texts are wanted.
-PLACES = 1 << 22
+#: Bits of the map of rows whose texts are wanted; 16 a row, and these at least and at most (32 MB).
+PLACES, MOST_PLACES = 1 << 22, 1 << 28
+#: Pairs of a bucket in one part.
+PAIRS = 1 << 22
 #: Odd factors of a shingle's words, by place.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -178,21 +182,31 @@ def _row():
     return F.unhex(F.md5(F.concat(tagged(F.col("doc_id").cast("string")), tagged(F.col("text")))))
 
 
-def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """row and text of docs, of rows whose hash is among those of wanted: all wanted ones and some more. Spares most texts a shuffle.
+def _places(rows: DataFrame):
+    """A test of the column row: true for all rows (column row) given, and for some more, more if the map is full.
 
-    PLACES bits at most come to the driver; a full map lets every row pass.
+    The map is put together in tasks; its bytes, MOST_PLACES / 8 at most, are all that comes to the driver.
     """
-    place = F.pmod(F.xxhash64("row"), F.lit(PLACES))
-    on = np.zeros(PLACES, bool)
-    on[wanted.select(place.alias("p")).distinct().toArrow().column(0).to_numpy()] = True
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(on))
+    bits = PLACES
+    while bits < min(16 * rows.count(), MOST_PLACES):
+        bits *= 2
+    place = F.pmod(F.xxhash64("row"), F.lit(bits))
+    maps = rows.groupBy(F.bitmap_bucket_number(place + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("m"))
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in maps.toLocalIterator():
+        part = np.frombuffer(r.m, np.uint8)
+        whole[(r.b - 1) * len(part) : r.b * len(part)] = part
+    shared = rows.sparkSession.sparkContext.broadcast(whole)
 
     def make():
-        return lambda at: {"in": (lambda x: (bits.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool))(np.array(at, np.int64))}
+        return lambda at: {"in": (lambda x: (shared.value[x >> 3] >> (x & 7) & 1).astype(bool))(np.array(at, np.int64))}
+
+    return scored(make, "in boolean", place)
 
-    rows = docs.select(_row().alias("row"), "text")
-    return rows.withColumn("s", scored(make, "in boolean", place)).filter("s.in").select("row", "text")
+
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row and text of docs, of rows whose hash is among those of wanted: all wanted ones and some more. Spares most texts a shuffle."""
+    return docs.select(_row().alias("row"), "text").withColumn("s", _places(wanted)).filter("s.in").select("row", "text")
 
 
 def bound(n: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -231,6 +245,27 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, size: int, le
     return held
 
 
+def _apart(rest: DataFrame, may) -> DataFrame:
+    """rest: key, node, n, pos, component. The pairs (a, b) of a key that are of different components and may hold.
+
+    Of those outside a key's largest component each meets all of the key. Pairs that are formed outnumber those of
+    different components twice at most; parts of PAIRS share the larger side, the smaller is copied to each.
+    """
+    tally = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key")
+    tally = tally.agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"))
+    tally = tally.select("key", "all", F.col("top.c").alias("top"), F.col("top.component").alias("most")).filter("top < all")
+    parts = F.ceil(F.col("all") * (F.col("all") - F.col("top")) / F.lit(PAIRS)).cast("int")
+    mixed = materialize(rest.join(tally.select("key", "most", parts.alias("parts")), "key"))
+    side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "pos", "component")]
+    a = mixed.filter("component <> most").select("key", "most", *side("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    b = mixed.select("key", *side("b"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    once = (F.col("b_component") == F.col("most")) | (F.col("a_node") < F.col("b_node"))
+    pairs = a.join(b, ["key", "part"]).filter((F.col("a_component") != F.col("b_component")) & once & may(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))
+    pairs = materialize(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    discard(mixed)
+    return pairs
+
+
 def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """doc_id and row (see _row) of what is not the first of its group: exact copies (in lower case, by words), and near copies.
 
@@ -260,27 +295,28 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
     # nodes are numbers in the order of doc_id, so the first of a bucket is what its near copies were made of, if anything
     texts = materialize(texts.orderBy("no_id", "doc_id", "digest").withColumn("node", F.monotonically_increasing_id()))
     sizes = materialize(found.select("at", "n", "spread").join(texts.select("at", "node", "row"), "at").drop("at"))
-    index = found.select("at", "n", "keys").join(texts.select("at", "node"), "at").select("node", "n", F.posexplode("keys").alias("pos", "key"))
-    bucket = Window.partitionBy("key")
-    index = index.withColumn("first", F.min(F.struct("node", "n", "pos")).over(bucket)).withColumn("rows", F.count(F.lit(1)).over(bucket))
-    index = materialize(index.filter("rows > 1").drop("rows"))
+    sets = materialize(found.select("at", "n", "keys").join(texts.select("at", "node"), "at").select("node", "n", "keys"))
+    index = sets.select("node", "n", F.posexplode("keys").alias("pos", "key"))
+    # the first of each bucket, its size and place as one number; a bucket of one is none
+    whole = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+    first = index.groupBy("key").agg(F.min("node").alias("first"), F.min_by(whole, "node").alias("of"), F.count(F.lit(1)).alias("rows"))
+    of = F.shiftright("of", 32).alias("first_n"), F.col("of").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("first_pos")
+    first = materialize(first.filter("rows > 1").select("key", "first", *of))
+    index = materialize(index.join(first, "key").filter(F.col("node") != F.col("first")))
+    discard(sets, first)
 
     def may(an, ap, bn, bp):
         """Can hold at the first key that two texts share: lengths, and what is left of both from there on."""
         lengths = F.greatest(an, bn) * least.numerator <= F.least(an, bn) * least.denominator
         return lengths & (F.least(an - ap, bn - bp) * (least.numerator + least.denominator) >= (an + bn) * least.numerator)
 
-    to_first = index.filter((F.col("node") != F.col("first.node")) & may(F.col("n"), F.col("pos"), F.col("first.n"), F.col("first.pos")))
-    pairs = materialize(to_first.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct())
+    to_first = index.filter(may(F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos")))
+    pairs = materialize(to_first.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
     edges = _verified(pairs, sizes, docs, size, least)
-    # all other pairs, but of those that are in one group already
     groups = materialize(components(edges))
-    rest = index.filter(F.col("node") != F.col("first.node")).select("key", "node", "n", "pos").join(groups, "node", "left")
+    rest = index.select("key", "node", "n", "pos").join(groups, "node", "left")
     rest = materialize(rest.withColumn("component", F.coalesce("component", "node")))
-    side = lambda c: rest.select("key", *(F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "pos", "component")))
-    apart = (F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component"))
-    more = side("a").join(side("b"), "key").filter(apart & may(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))
-    left = materialize(more.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    left = _apart(rest, may)
     discard(pairs, index, rest, groups)
     more = _verified(left, sizes, docs, size, least)
     groups = materialize(components(edges.unionByName(more)))
@@ -290,7 +326,9 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
     stays = of.groupBy("component").agg(F.min(F.struct("node", "row")).alias("f")).select("component", F.col("f.row").alias("stays"))
     stays = materialize(of.join(stays, "component").select("digest", "stays"))
     discard(of, groups, texts)
-    return found.select("doc_id", "row", "digest").join(stays, "digest").filter("row <> stays").select("doc_id", "row").distinct()
+    gone = materialize(found.select("doc_id", "row", "digest").join(stays, "digest").filter("row <> stays").select("doc_id", "row").distinct())
+    discard(found, stays)
+    return gone
 
 
 def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
@@ -299,7 +337,10 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STA
     Rows are told apart by doc_id and text; of rows that repeat both one stays. A row without doc_id stays if its group
     has none with one.
     """
-    gone = materialize(near_copies(docs, size, similarity)).select(F.col("row").alias("__row"))
-    kept = docs.withColumn("__row", _row()).join(gone, "__row", "left_anti")
-    once = Window.partitionBy("__row").orderBy("__row")
-    return kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select([f"`{c}`" for c in docs.columns])
+    gone = near_copies(docs, size, similarity).select("row")
+    repeated = docs.select(_row().alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row")
+    doubtful = materialize(gone.unionByName(repeated).distinct())
+    whole = docs.select(_row().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")).withColumn("s", _places(doubtful))
+    # most rows are seen to stay as they are read; only the others travel
+    rest = whole.filter("s.in").select("row", "whole").join(gone, "row", "left_anti").groupBy("row").agg(F.first("whole").alias("whole"))
+    return whole.filter("not s.in").select("whole.*").union(rest.select("whole.*"))
