@@ -116,36 +116,50 @@ def sheet_texts(spark, d):
     return files.extract(f).select("regulation_id", F.col("extract.text").alias("body"))
 
 
+#: Boards, and pages of each, that one folder of saved pages holds: what a fetcher has in memory does not grow with the tables.
+_FOLDER = 64
+
+
 def _saved_pages(e: DataFrame, root: str) -> None:
-    """e: board_no, event_id. List pages of fifty entries, newest first, as files that executors read."""
+    """e: board_no, event_id. List pages of fifty entries, newest first, in folders that executors find by board and page."""
     entry = F.to_json(F.struct(F.col("event_id").cast("string").alias("art_seq_no"), F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(" ")).alias("art_title"), F.lit("2024-01-01").alias("write_date")))
     place = Window.partitionBy("board_no").orderBy(F.desc("event_id"))
     rows = e.withColumn("page", F.floor((F.row_number().over(place) - 1) / 50) + 1).withColumn("e", entry)
     listed = rows.groupBy("board_no", "page").agg(F.reverse(F.array_sort(F.collect_list(F.struct("event_id", "e")))).alias("rows"))
     html = F.concat(F.lit("var exData=["), F.array_join(F.transform("rows", lambda x: x["e"]), ","), F.lit("];"))
-    listed.select("board_no", "page", html.alias("html")).repartitionByRange(8, "board_no").sortWithinPartitions("board_no").write.parquet(root)
+    folder = [F.floor(F.col(c) / _FOLDER).alias(name) for c, name in (("board_no", "boards"), ("page", "pages"))]
+    listed.select("board_no", "page", html.alias("html"), *folder).repartition("boards", "pages").write.partitionBy("boards", "pages").parquet(root)
 
 
 class _EventPages:
-    """Pages out of that table: a board's row groups are found by its number."""
+    """Pages out of that table, a folder at a time."""
 
     def __init__(self, root: str):
-        self.root, self.held, self.table = root, {}, None
+        self.root, self.folder, self.held, self.files = root, None, {}, None
 
     def __getstate__(self):
-        return {"root": self.root, "held": {}, "table": None}
+        return {"root": self.root, "folder": None, "held": {}, "files": None}
 
     def list_page(self, board_no: int, page: int) -> str:
-        if board_no not in self.held:
-            import pyarrow.dataset as ds
-            from pyarrow import fs
-
-            if self.table is None:
-                where, path = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
-                self.table = ds.dataset(path, filesystem=where, format="parquet")
-            t = self.table.to_table(filter=ds.field("board_no") == board_no)
-            self.held = {board_no: dict(zip(t["page"].to_pylist(), t["html"].to_pylist()))}  # one board at a time
-        return self.held[board_no].get(page, "")
+        folder = f"boards={board_no // _FOLDER}/pages={page // _FOLDER}"
+        if folder != self.folder:
+            self.held, self.folder = self._pages(folder), folder
+        return self.held.get((board_no, page), "")
+
+    def _pages(self, folder: str) -> dict[tuple[int, int], str]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        if self.files is None:
+            self.files = fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
+        where, root = self.files
+        held = {}
+        for f in where.get_file_info(fs.FileSelector(f"{root}/{folder}", allow_not_found=True)):
+            if f.base_name.endswith(".parquet"):
+                with where.open_input_file(f.path) as source:
+                    t = pq.ParquetFile(source).read(["board_no", "page", "html"])
+                held |= dict(zip(zip(t["board_no"].to_pylist(), t["page"].to_pylist()), t["html"].to_pylist()))
+        return held
 
 
 @query("SELECT CAST(user_id AS INTEGER) AS board_no, event_id AS art_no, CAST(event_id AS VARCHAR) AS title FROM events")
@@ -156,8 +170,8 @@ def board_stream(spark, d):
     root = scratch(ship(spark), "board-stream")
     _saved_pages(read(spark, d, "events").select(F.col("user_id").cast("int").alias("board_no"), "event_id"), f"{root}/pages")
     spark.dataSource.register(pages.board_source(_EventPages(f"{root}/pages"), "event_boards"))
-    # the option that names the boards is a list of their numbers
-    boards = ",".join(str(r.board_no) for r in spark.read.parquet(f"{root}/pages").select("board_no").distinct().collect())
+    # the option that names the boards is a list of their numbers; in order, so that neighbours are in one folder
+    boards = ",".join(str(r.board_no) for r in spark.read.parquet(f"{root}/pages").select("board_no").distinct().orderBy("board_no").collect())
     for _ in range(2):
         source = spark.readStream.format("event_boards").option("boards", boards).option("pages_per_task", 20).option("requests_at_once", 1).load()
         upsert_stream(source, f"{root}/t", ["board_no", "art_no"], "art_no", f"{root}/c", parts=4).start().awaitTermination()
@@ -171,7 +185,7 @@ def board_full(spark, d):
     docs = read(spark, d, "documents").select(F.substring("source", 4, 9).cast("int").alias("board_no"), F.col("doc_id").alias("event_id"))
     _saved_pages(docs, f"{root}/pages")
     spark.dataSource.register(pages.board_source(_EventPages(f"{root}/pages"), "document_boards"))
-    boards = ",".join(str(r.board_no) for r in docs.select("board_no").distinct().collect())
+    boards = ",".join(str(r.board_no) for r in docs.select("board_no").distinct().orderBy("board_no").collect())
     for full in ("false", "false", "true"):
         source = spark.readStream.format("document_boards").option("boards", boards).option("requests_at_once", 1).option("full", full).load()
         source.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start().awaitTermination()
