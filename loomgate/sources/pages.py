@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sys
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -17,8 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..functions.text import file_kind, list_date, strip
 
-#: Pages of a board that is read at most before that is an error, and of one task of a stream.
-MOST_PAGES, PAGES_PER_TASK = 200, 20
+#: Pages of one task of a stream.
+PAGES_PER_TASK = 20
 #: Fields of a list row, as the page's script has them.
 ROW = "art_seq_no string, art_title string, mbr_nick string, read_cnt string, write_date string, add_file_yn string, notice_yn string"
 REF = "board_no int, art_no bigint, position int, title string, author string, view_count int, posted_at timestamp, has_file boolean, is_notice boolean"
@@ -230,8 +231,8 @@ class BoardReader(DataSourceStreamReader):
     executors. Stretches end at entries, not at pages: new entries push old ones to later pages, removed ones pull them
     back, and a reader goes to where its stretch begins and on until it ends, so none is lost or read twice.
 
-    A page that repeats the one before, or more than most_pages of them, is an error: silence would drop older entries
-    for good. full reads boards from their beginning once more. Entries whose date is not after since (yyyy-MM-dd) end a
+    Boards are read to their end, however long. A page that repeats the one before, and one far behind that is no older, are
+    errors, as are more than most_pages of them where that option is set: silence would drop older entries for good. full reads boards from their beginning once more. Entries whose date is not after since (yyyy-MM-dd) end a
     board as well.
     """
 
@@ -239,7 +240,7 @@ class BoardReader(DataSourceStreamReader):
         self.boards = [int(b) for b in options.get("boards", "").split(",") if b]
         self.fetcher = fetcher or SavedPages(options["path"])
         self.since = options.get("since", "")
-        self.most, self.per_task = int(options.get("most_pages", MOST_PAGES)), int(options.get("pages_per_task", PAGES_PER_TASK))
+        self.most, self.per_task = int(options.get("most_pages", 0)) or sys.maxsize, int(options.get("pages_per_task", PAGES_PER_TASK))
         self.at_once = int(options.get("requests_at_once", 8))
         self.run = uuid.uuid4().hex if options.get("full", "false") == "true" else ""
 
@@ -265,14 +266,18 @@ class BoardReader(DataSourceStreamReader):
         return bool(entries) and any(e[0] == -1 or (e[0] > low and not (self.since and e[2] and e[2] <= self.since)) for e in entries)
 
     def _stretches(self, board: int, low: int, high: int) -> list[Stretch]:
+        newest = lambda entries: max((e[0] for e in entries), default=-1)
         fills = lambda p: self._new(self._entries(board, p), low)
         last = 1
         if self.per_task < self.most and fills(1 + self.per_task):
-            last = 1 + self.per_task
-            while fills(min(2 * last, self.most + 1)):
+            last, before = 1 + self.per_task, high
+            while self._new(found := self._entries(board, min(2 * last, self.most + 1)), low):
                 last = min(2 * last, self.most + 1)
                 if last > self.most:
                     raise RuntimeError(f"board {board}: more than {self.most} pages")
+                if newest(found) >= before:
+                    raise RuntimeError(f"board {board}: page {last} repeats what came before")
+                before = newest(found) if newest(found) != -1 else before
             over = 2 * last
             while over - last > 1:
                 middle = (last + over) // 2
