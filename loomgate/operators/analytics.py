@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import IntegerType, LongType
 
 from ..functions.text import collapse
 from .filters import in_band
@@ -64,18 +64,34 @@ def dispatch(question: str, authority: DataFrame, regulations: DataFrame, board_
 def dispatch_many(queries: DataFrame, authority: DataFrame, regulations: DataFrame | None = None, board_ids=None) -> DataFrame:
     """queries: query_id, text. What dispatch gives for each, in one plan: query_id, kind, position (from 1) and the columns of LINE.
 
-    Questions that count have no line, so no row; kinds_of tells them. Amounts meet bands by a band join, words the
-    business items through postings of those.
+    Questions that count have no line, so no row; kinds_of tells them. Its rows are the questions times their lines;
+    dispatch_alike has them without that product.
+    """
+    alike, lines = dispatch_alike(queries, authority, regulations, board_ids)
+    return alike.select("query_id", "lead").join(lines, "lead").drop("lead")
+
+
+def dispatch_alike(queries: DataFrame, authority: DataFrame, regulations: DataFrame | None = None, board_ids=None) -> tuple[DataFrame, DataFrame]:
+    """queries: query_id, text. (questions, lines): query_id, kind and lead of each, and the lines of leads only: lead, kind, position, LINE.
+
+    Questions that must have the same lines are alike and have one lead, the smallest query_id: those of one text, and
+    those whose amounts no end of a band parts. Amounts meet bands by a band join, words the business items through
+    postings of those.
     """
     from ..functions.text import AUTHORITY_WORDS
     from ..runtime import Workspace
     from .batch import divide, term_hits, terms_of, text_postings
 
     work = Workspace(authority.sparkSession)
-    q = work.write(kinds_of(queries))
     lines = work.write(_scoped(authority, regulations, board_ids).select(*LINE))
-    by_amount = band_join(q.filter("kind = 'approval_line'").select("query_id", "amount"), "amount", lines).drop("amount").withColumn("kind", F.lit("approval_line"))
-    terms = terms_of(q.filter("kind = 'approver'").select("query_id", F.col("normalized").alias("text")))
+    q = kinds_of(queries).filter("kind in ('approval_line', 'approver')")
+    q = q.withColumn("__alike", F.when(F.col("kind") == "approver", F.col("normalized")).otherwise(between_ends(lines)(F.col("amount")).cast("string")))
+    q = work.write(q)
+    alike = q.groupBy("kind", "__alike").agg(F.min_by(F.struct("query_id", "normalized", "amount"), "query_id").alias("l")).select("kind", "__alike", "l.*")
+    alike = work.write(alike)
+    questions = work.write(q.select("query_id", "kind", "__alike").join(alike.select("kind", "__alike", F.col("query_id").alias("lead")), ["kind", "__alike"]).select("query_id", "kind", "lead"))
+    by_amount = band_join(alike.filter("kind = 'approval_line'").select("query_id", "amount"), "amount", lines).drop("amount").withColumn("kind", F.lit("approval_line"))
+    terms = terms_of(alike.filter("kind = 'approver'").select("query_id", F.col("normalized").alias("text")))
     stops = terms.filter(F.col("term").isin([w.lower() for w in AUTHORITY_WORDS])).select("query_id", "g").distinct()
     terms = work.write(terms.join(stops, ["query_id", "g"], "left_anti").select("query_id", "g", "term"))
     items = lines.filter("authority_id is not null").select(F.col("authority_id").alias("chunk_id"), F.col("business_item").alias("body"))
@@ -84,9 +100,27 @@ def dispatch_many(queries: DataFrame, authority: DataFrame, regulations: DataFra
     by_item = lines.join(whole, "authority_id").withColumn("kind", F.lit("approver"))
     order = Window.partitionBy("query_id").orderBy(F.col("order_seq").asc_nulls_last(), "authority_id")
     both = by_amount.select("query_id", "kind", *LINE).unionByName(by_item.select("query_id", "kind", *LINE))
-    out = work.write(both.withColumn("position", F.row_number().over(order)))
-    work.remove(keep=(out,))
-    return out
+    out = work.write(both.withColumn("position", F.row_number().over(order)).withColumnRenamed("query_id", "lead"))
+    work.remove(keep=(questions, out))
+    return questions, out
+
+
+def between_ends(bands: DataFrame, most: int = 10_000):
+    """What makes of a column of amounts a number that is the same for amounts that no end of a band parts.
+
+    Ends are counted first; of more than so many the amount itself is that number.
+    """
+    ends = bands.select(F.explode(F.array("amount_min", F.col("amount_max") + 1)).alias("e")).filter("e is not null").distinct().limit(most + 1).collect()
+    if len(ends) > most:
+        return lambda c: c
+    points = np.array(sorted(r.e for r in ends), np.int64)
+
+    @arrow_udf(LongType())
+    def place(v: pa.Array) -> pa.Array:
+        at = np.searchsorted(points, v.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(at.astype(np.int64), mask=~v.is_valid().to_numpy(zero_copy_only=False))
+
+    return place
 
 
 def kinds_of(queries: DataFrame) -> DataFrame:
