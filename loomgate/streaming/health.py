@@ -28,28 +28,30 @@ class SourceHealth(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.success = handle.getValueState("success", "at long")
-        self.count = handle.getValueState("count", "n int")
+        self.known = handle.getValueState("known", "at long, n int")  # the latest success, and how many failures came after it
         self.failures = handle.getListState("failures", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.success.get()[0] if self.success.exists() else None
-        last, n = before, self.count.get()[0] if self.count.exists() else 0
+        """Each call of the state is a round trip, so there is one to read and one to write, and the list is touched only if it changes."""
+        held = self.known.get()
+        before, n = held if held is not None else (None, 0)
+        last, late = before, np.zeros(0, np.int64)
         for part in rows:
             at, failed = part["at"].to_numpy(np.int64), part["failed"].to_numpy(bool)
             if (~failed).any():
                 good = int(at[~failed].max())
                 last = good if last is None else max(last, good)
-            late = at[failed] if last is None else at[failed & (at > last)]
-            if len(late):
-                self.failures.appendList([(int(a),) for a in late])
-                n += len(late)
-        if last is not None and last != before:
-            left = [a for a in self.failures.get() if a[0] > last] if n else []
-            self.failures.put(left) if left else self.failures.clear()
-            self.success.update((last,))
-            n = len(left)
-        self.count.update((n,))
+            late = np.concatenate([late, at[failed]])
+            late = late if last is None else late[late > last]
+        if last != before and n:
+            kept = [a for a in self.failures.get() if a[0] > last] + [(int(a),) for a in late]
+            self.failures.put(kept) if kept else self.failures.clear()
+            n = len(kept)
+        elif len(late):
+            self.failures.appendList([(int(a),) for a in late])
+            n += len(late)
+        if held is None or (before, held[1]) != (last, n):
+            self.known.update((last, n))
         if self.silence is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
@@ -57,7 +59,8 @@ class SourceHealth(StatefulProcessor):
         yield self.row(key, n, "degraded" if n else "healthy")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.row(key, self.count.get()[0] if self.count.exists() else 0, "stalled")
+        held = self.known.get()
+        yield self.row(key, held[1] if held is not None else 0, "stalled")
 
     def row(self, key, n: int, health: str) -> pd.DataFrame:
         return pd.DataFrame({self.key: [int(key[0])], "consecutive_failures": pd.Series([n], dtype="int32"), "health": [health]})
