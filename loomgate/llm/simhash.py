@@ -10,8 +10,9 @@ Distinct fingerprints that share a variant are few (31 of 64 bits agree) unless
 radius allows any fingerprint 2,080 at most; there is no cap on buckets. Chance meetings are one in 2^31 for each of the
 64 keys, so candidates outnumber the index only from some 10^9 distinct fingerprints on.
 
-The pipeline's stage asks for a Jaccard similarity of STAGE_SIMILARITY of the distinct 5-word shingles, which is out of
-reach for fingerprints within 3 bits. It is an exact join of sets: shingles have one order, frequent ones last, and two
+The pipeline's stage asks for a Jaccard similarity of STAGE_SIMILARITY of the distinct 5-word shingles. Fingerprints that
+deletion variants link give its first pairs, each verified by all shingles. Not all similar texts are within their
+reach: for the rest it is an exact join of sets: shingles have one order, frequent ones last, and two
 texts that are similar enough share one of their first n - ceil(0.8 n) + 1 (prefix). Distinct texts are indexed under
 those; lengths and places rule pairs out, and every pair left is verified by its shingles. What a sample says is
 frequent only makes the buckets small: any order gives the same pairs. Buckets are compared with their first text
@@ -266,6 +267,15 @@ def _apart(rest: DataFrame, may) -> DataFrame:
     return pairs
 
 
+def _near(sizes: DataFrame) -> DataFrame:
+    """sizes: node, fp. Pairs a < b of nodes that deletion variants link, through the first node of each fingerprint."""
+    firsts = materialize(sizes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = sizes.join(firsts, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    met = links(firsts.select("fp")).join(side("a"), "a").join(side("b"), "b")
+    return same.unionByName(met.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b")))
+
+
 def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """doc_id and row (see _row) of what is not the first of its group: exact copies (in lower case, by words), and near copies.
 
@@ -285,16 +295,17 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
             sets = [shingle_set(t, size, of_word) for t in texts]
             out = {"digest": pa.array([xxh3_128_digest(_shingles(t, 1)[0]) for t in texts], pa.binary()), "n": np.array([len(h) for h in sets], np.int32)}
             out["spread"] = pa.array([np.minimum(np.bincount(h >> np.uint64(56), minlength=256), 255).astype(np.uint8).tobytes() for h in sets], pa.binary())
+            out["fp"] = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
             return out | {"keys": [prefix(h, least, frequent.value).view(np.int64) for h in sets]}
 
         return run
 
-    found = docs.select("doc_id", _row().alias("row"), F.monotonically_increasing_id().alias("at"), scored(make, "digest binary, n int, spread binary, keys array<long>", F.col("text")).alias("s"))
-    found = materialize(found.select("doc_id", "row", "at", "s.digest", "s.n", "s.spread", "s.keys"))
+    found = docs.select("doc_id", _row().alias("row"), F.monotonically_increasing_id().alias("at"), scored(make, "digest binary, n int, spread binary, fp long, keys array<long>", F.col("text")).alias("s"))
+    found = materialize(found.select("doc_id", "row", "at", "s.digest", "s.n", "s.spread", "s.fp", "s.keys"))
     texts = found.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")).alias("f")).select("digest", "f.*")
     # nodes are numbers in the order of doc_id, so the first of a bucket is what its near copies were made of, if anything
     texts = materialize(texts.orderBy("no_id", "doc_id", "digest").withColumn("node", F.monotonically_increasing_id()))
-    sizes = materialize(found.select("at", "n", "spread").join(texts.select("at", "node", "row"), "at").drop("at"))
+    sizes = materialize(found.select("at", "n", "spread", "fp").join(texts.select("at", "node", "row"), "at").drop("at"))
     sets = materialize(found.select("at", "n", "keys").join(texts.select("at", "node"), "at").select("node", "n", "keys"))
     index = sets.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     # the first of each bucket, its size and place as one number; a bucket of one is none
@@ -311,8 +322,13 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
         return lengths & (F.least(an - ap, bn - bp) * (least.numerator + least.denominator) >= (an + bn) * least.numerator)
 
     to_first = index.filter(may(F.col("n"), F.col("pos"), F.col("first_n"), F.col("first_pos")))
-    pairs = materialize(to_first.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    edges = _verified(pairs, sizes, docs, size, least)
+    # the deletion variants come first: what they link is verified, and the buckets are asked for other pairs only
+    near = materialize(_near(sizes))
+    linked = _verified(near, sizes, docs, size, least)
+    pairs = materialize(to_first.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
+    held = _verified(pairs, sizes, docs, size, least)
+    edges = materialize(linked.unionByName(held))
+    discard(near, linked, held)
     groups = materialize(components(edges))
     rest = index.select("key", "node", "n", "pos").join(groups, "node", "left")
     rest = materialize(rest.withColumn("component", F.coalesce("component", "node")))
