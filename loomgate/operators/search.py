@@ -42,16 +42,25 @@ def normal(c: Column) -> Column:
     return F.lower(collapse(c))
 
 
+#: White space but blanks, and what is no Latin letter: others of a run in pairs that overlap (1), the last of such a run, a lone one (2), digits (3).
+APART = r"(?U)[\s&&[^ ]]|(?=([^\sa-z0-9]{2}))[^\sa-z0-9]|(?<=[^\sa-z0-9])[^\sa-z0-9]|([^\sa-z0-9])|([0-9]+)"
+#: Bytes of text whose tokens one task counts: its memory is that of so many, however large the corpus.
+PART_BYTES = 4 << 20
+
+
 def index_tokens(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, gram): Latin and digit runs whole, other runs in pairs."""
-    runs = rows.select(*keys, F.explode(F.regexp_extract_all(normal(F.col(text)), F.lit(lexicon.RUN.pattern), F.lit(0))).alias("run"))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - 1, F.lit(1))), lambda i: F.substring("run", i, F.lit(2)))
-    return runs.select(*keys, F.explode(F.when(F.col("run").rlike("^[a-z0-9]"), F.array("run")).otherwise(pairs)).alias("gram"))
+    """(keys, gram): Latin and digit runs whole, other runs in pairs. They are set apart by blanks and split there, which takes a third of the time of single matches."""
+    apart = F.split(F.regexp_replace(F.lower(text), APART, " $1$2$3 "), " ")
+    return rows.select(*keys, F.explode(apart).alias("gram")).filter("gram <> ''")
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(gram, chunk_id, tf). Bodies are dealt by chunk first, so their grams are counted, and joined per chunk, without another shuffle. Sort it by gram when written."""
-    dealt = chunks.select("chunk_id", "body").repartition("chunk_id")
+    """(gram, chunk_id, tf). Bodies are dealt by chunk first, so their grams are counted, and joined per chunk, without another shuffle. Sort it by gram when written.
+
+    The bytes of all bodies are summed first, as they say in how many parts to deal them.
+    """
+    size = chunks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    dealt = chunks.select("chunk_id", "body").repartition(size // PART_BYTES + 1, "chunk_id")
     return index_tokens(dealt, "body", "chunk_id").groupBy("gram", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
