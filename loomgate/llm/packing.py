@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .ann import hilbert_keys
-from .common import materialize, read
+from .common import SLICE, materialize, read
 from .tokens import Encoder, load, tokenizer_path
 
 WINDOW = 1024
@@ -222,40 +222,50 @@ class Packer:
                 self.close()
 
 
-def _tokens(docs: DataFrame, spec, separator: int, order) -> DataFrame:
-    """Written: doc_id, row_id, key, salt, ids (unsigned, 16 bits where the vocabulary allows) of each row, and a row per task with what it counted."""
-    from pyspark import TaskContext
-    from pyspark.sql.pandas.types import to_arrow_type
+NAMES = ["doc_id", "row_id", "key", "salt", "ids", "counts", "terms", "n", "tokens"]
 
-    field = docs.schema["doc_id"]
-    names = ["doc_id", "row_id", "key", "salt", "ids", "counts", "terms", "n", "tokens"]
-    kinds = [to_arrow_type(field.dataType), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
-    end = np.array([separator], "<u4").tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = Encoder(spec.value), TaskContext.get().partitionId() << 32
-        where, size, wide = order.value
-        df, n, tokens = np.zeros(size, np.int64), 0, 0
-        for batch in batches:
+def encoded(batches: Iterator[pa.RecordBatch], encoder: Encoder, order: Order, vocabulary: int, wide: str, separator: int, kinds: list, first: int) -> Iterator[pa.RecordBatch]:
+    """What _tokens writes of a task's batches of doc_id and text, SLICE rows at a time: a worker holds the ids of no more. first: row_id of the first row."""
+    end = np.array([separator], "<u4").tobytes()
+    df, n, tokens = np.zeros(vocabulary, np.int64), 0, 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
             places, raw = [], []
-            for t in batch.column(1):
+            for t in part.column(1):
                 ids = np.frombuffer(encoder.encode(t.as_py()) + end, "<u4")
-                terms, place = where.place(ids)
+                terms, place = order.place(ids)
                 df[terms] += 1
                 tokens += len(ids)
                 places.append(place)
                 raw.append(ids.astype(wide).tobytes())
             m = len(raw)
-            rows = np.arange(at + n, at + n + m)
+            rows = np.arange(first + n, first + n + m)
             n += m
             salt = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(1)).astype(np.int64)  # spreads equal keys
             none = pa.nulls(m)
-            values = [batch.column(0).cast(kinds[0]), pa.array(rows), pa.array(where.keys(places)), pa.array(salt), pa.array(raw, pa.binary()), pa.array(np.zeros(m, bool)), none.cast(kinds[6]), none.cast(kinds[7]), none.cast(kinds[8])]
-            yield pa.RecordBatch.from_arrays(values, names)
-        if n:
-            terms = np.flatnonzero(df)
-            values = [None, None, None, None, None, True, terms.astype(np.int32), np.concatenate([[n], df[terms]]), tokens]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
+            values = [part.column(0).cast(kinds[0]), pa.array(rows), pa.array(order.keys(places)), pa.array(salt), pa.array(raw, pa.binary()), pa.array(np.zeros(m, bool)), none.cast(kinds[6]), none.cast(kinds[7]), none.cast(kinds[8])]
+            yield pa.RecordBatch.from_arrays(values, NAMES)
+            del raw, values
+        del batch
+        pa.default_memory_pool().release_unused()
+    if n:
+        terms = np.flatnonzero(df)
+        values = [None, None, None, None, None, True, terms.astype(np.int32), np.concatenate([[n], df[terms]]), tokens]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], NAMES)
+
+
+def _tokens(docs: DataFrame, spec, separator: int, order) -> DataFrame:
+    """Written: doc_id, row_id, key, salt, ids (unsigned, 16 bits where the vocabulary allows) of each row, and a row per task with what it counted."""
+    from pyspark import TaskContext
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    field = docs.schema["doc_id"]
+    kinds = [to_arrow_type(field.dataType), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encoded(batches, Encoder(spec.value), *order.value, separator, kinds, TaskContext.get().partitionId() << 32)
 
     schema = f"doc_id {field.dataType.simpleString()}, row_id long, key long, salt long, ids binary, counts boolean, terms array<int>, n array<long>, tokens long"
     return materialize(docs.select("doc_id", "text").mapInArrow(run, schema))
