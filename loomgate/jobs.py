@@ -174,6 +174,6 @@ def evaluate(t: dict[str, DataFrame], eval_set: str | None = None, k: int = 10,
     searched = kinds.filter("kind = 'search'").select(F.col("query_id").alias("eval_query_id"))
     silent = govern.abstain(hits.select("eval_query_id", "score"), searched, key="eval_query_id")
     gold = t["eval_gold"].join(q.select("eval_query_id"), "eval_query_id", "left_semi")
-    out = work.write(analytics.evaluate(q, gold, found, cited, silent, k))
+    out = work.write(analytics.evaluate(q, gold, found, cited, silent, k, work))
     work.remove(keep=(out,))
     return out

@@ -208,21 +208,24 @@ def clause_diff(old: DataFrame, new: DataFrame, key: str = "relative") -> DataFr
     return both.withColumn("change", change).filter("change is not null").select("change", "key", F.coalesce("label_after", "label_before").alias("clause_label"), "before", "after")
 
 
-def evaluate(queries: DataFrame, gold: DataFrame, found: DataFrame, cited: DataFrame, abstained: DataFrame, k: int = 10) -> DataFrame:
+def evaluate(queries: DataFrame, gold: DataFrame, found: DataFrame, cited: DataFrame, abstained: DataFrame, k: int = 10, work=None) -> DataFrame:
     """One row: total, recall (share of queries with gold that have one in their top k), citation_accuracy (the same of what
     is cited, without those that should abstain), abstain_recall, over_abstain, and per answer type totals and hits of recall.
 
     queries: eval_query_id, answer_type, should_abstain. gold: eval_query_id, relevance, expected_canonical_id.
     found: eval_query_id, canonical_id, rank. cited: eval_query_id, canonical_id. abstained: eval_query_id, abstained.
-    Shares of nothing are null.
+    Shares of nothing are null. Gold may be far larger than what is found: no more of it is kept than a row a query.
+    work: a Workspace where what is found and cited is written, so that Spark knows how small it is, and what of it is gold.
     """
-    g = gold.filter("relevance >= 1 and expected_canonical_id is not null").select("eval_query_id", F.col("expected_canonical_id").alias("canonical_id")).distinct()
-    top = found.filter(F.col("rank") <= k).select("eval_query_id", "canonical_id").distinct()
-    flag = lambda df, name: df.select("eval_query_id").distinct().withColumn(name, F.lit(True))
-    q = queries.join(flag(g, "has_gold"), "eval_query_id", "left")
-    q = q.join(flag(g.join(top, ["eval_query_id", "canonical_id"], "left_semi"), "hit"), "eval_query_id", "left")
-    q = q.join(flag(g.join(cited.distinct(), ["eval_query_id", "canonical_id"], "left_semi"), "right"), "eval_query_id", "left")
-    q = q.join(flag(cited, "any_cited"), "eval_query_id", "left")
+    g = gold.filter("relevance >= 1 and expected_canonical_id is not null").select("eval_query_id", F.col("expected_canonical_id").alias("canonical_id"))
+    top = found.filter(F.col("rank") <= k).select("eval_query_id", "canonical_id", F.lit(True).alias("hit"), F.lit(False).alias("right"))
+    picks = top.unionByName(cited.select("eval_query_id", "canonical_id", F.lit(False).alias("hit"), F.lit(True).alias("right")))
+    picks = picks.groupBy("eval_query_id", "canonical_id").agg(F.max("hit").alias("hit"), F.max("right").alias("right"))
+    picks = picks if work is None else work.write(picks)
+    met = g.join(picks, ["eval_query_id", "canonical_id"], "left").groupBy("eval_query_id").agg(F.max("hit").alias("hit"), F.max("right").alias("right"))
+    met = met if work is None else work.write(met)
+    q = queries.join(met.withColumn("has_gold", F.lit(True)), "eval_query_id", "left")
+    q = q.join(picks.filter("right").select("eval_query_id").distinct().withColumn("any_cited", F.lit(True)), "eval_query_id", "left")
     q = q.join(abstained.select("eval_query_id", "abstained"), "eval_query_id", "left")
     q = q.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("has_gold", "hit", "right", "any_cited", "abstained", "should_abstain")})
     share = lambda part, whole: F.try_divide(F.count_if(part).cast("double"), F.count_if(whole).cast("double"))

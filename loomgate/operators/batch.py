@@ -67,21 +67,32 @@ def occurrences_in(body: Column, term: Column) -> Column:
     return ((F.length(body) - F.length(F.replace(body, term, F.lit("")))) / F.length(term)).cast("long")
 
 
+#: Rows that a task of divide() sorts and sums.
+PART_ROWS = 500_000
+#: Rows of tokens that terms ask for that are broadcast at most.
+BROADCAST_GRAMS = 300_000
+
+
 def term_hits(terms: DataFrame, texts: DataFrame, index: DataFrame, tokens: DataFrame | None = None, work: Workspace | None = None) -> DataFrame:
     """terms: term. texts: chunk_id, body. (term, chunk_id, n) of every text that holds a term, n times.
 
     index: postings of the texts; tokens: their lexicon.dictionary, made from the postings if there is none.
     """
     own = work or Workspace(texts.sparkSession)
-    asked = own.write(terms.select("term").filter("term <> ''").distinct().withColumn("x", _needed("term")).select("term", "x.*"))
-    each = asked.select("term", "counted", "all", F.explode("needs").alias("w")).select("term", "counted", "all", "w.*")
-    found = lexicon.tokens_of(each.filter("not whole").select("pattern", "parts").distinct(), lexicon.dictionary(index) if tokens is None else tokens)
-    grams = each.filter("not whole").join(found, "pattern").select("term", "counted", "all", "bit", "gram")
-    grams = grams.unionByName(each.filter("whole").select("term", "counted", "all", "bit", F.col("pattern").alias("gram")))
+    asked = terms.select("term").filter("term <> ''").distinct().withColumn("tid", F.monotonically_increasing_id())
+    asked = own.write(asked.withColumn("x", _needed("term")).select("tid", "term", "x.*"))
+    each = asked.select("tid", "term", "counted", F.explode("needs").alias("w")).select("tid", "term", "counted", "w.*")
+    patterns = each.filter("not whole").select("pattern", "parts").distinct()
+    found = lexicon.tokens_among(patterns, index) if tokens is None else lexicon.tokens_of(patterns, tokens)
+    grams = each.filter("not whole").join(found, "pattern").select("tid", "term", "counted", "bit", "gram")
+    grams = grams.unionByName(each.filter("whole").select("tid", "term", "counted", "bit", F.col("pattern").alias("gram")))
     # how often a term is in a token is worked out once a token, not once a posting
-    grams = own.write(grams.withColumn("times", F.when(F.col("counted"), occurrences_in(F.col("gram"), F.col("term"))).otherwise(0)))
-    met = grams.join(index.select("gram", "chunk_id", "tf"), "gram").groupBy("term", "counted", "all", "chunk_id")
-    met = met.agg(F.bit_or("bit").alias("have"), F.sum(F.col("tf") * F.col("times")).alias("n")).filter(F.col("have") == F.col("all"))
+    grams = own.write(grams.select("tid", "bit", "gram", F.when(F.col("counted"), occurrences_in(F.col("gram"), F.col("term"))).otherwise(0).alias("times")))
+    # neither side is sorted: few tokens are sent to the postings, many are hashed by their part; what they meet is dealt by text once, and counted by numbers
+    few = grams.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    met = index.select("gram", "chunk_id", "tf").join(F.broadcast(grams) if few else grams.hint("shuffle_hash"), "gram")
+    met = met.select("tid", "bit", "chunk_id", (F.col("tf") * F.col("times")).alias("n")).repartition("chunk_id").groupBy("tid", "chunk_id").agg(F.bit_or("bit").alias("have"), F.sum("n").alias("n"))
+    met = met.join(texts.select("chunk_id").hint("shuffle_hash"), "chunk_id", "left_semi").join(asked.select("tid", "term", "counted", "all"), "tid").filter(F.col("have") == F.col("all"))
     met = own.write(met.select("term", "counted", "chunk_id", "n"))
     # bodies of candidates only, of terms that postings cannot count
     unsure = met.filter("not counted").select("term", "chunk_id").join(texts.select("chunk_id", "body"), "chunk_id")
@@ -97,12 +108,15 @@ def divide(asked: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
     """
     spread = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sizes = asked.join(spread, "term", "left").groupBy("query_id", "g").agg(F.sum(F.coalesce("df", F.lit(0))).alias("df"))
-    lead = sizes.groupBy("query_id").agg(F.count(F.lit(1)).alias("groups"), F.min_by("g", F.struct("df", "g")).alias("g"))
+    lead = sizes.groupBy("query_id").agg(F.count(F.lit(1)).alias("groups"), F.min_by("g", F.struct("df", "g")).alias("g"), F.min("df").alias("texts"))
     lead = work.write(lead)
+    # so many parts that none has many more rows than PART_ROWS, however few bytes they are packed into
+    n = (found.count() + (lead.agg(F.sum(F.col("texts") * F.col("groups"))).first()[0] or 0)) // PART_ROWS + 1
     first = asked.join(lead, ["query_id", "g"]).select("query_id", "groups", "term").distinct().join(found.select("term", "chunk_id"), "term")
     pairs = first.select("query_id", "groups", "chunk_id").distinct()
-    met = pairs.join(asked.select("query_id", "g", "term"), "query_id").join(found, ["term", "chunk_id"])
-    by_group = met.groupBy("query_id", "groups", "chunk_id", "g").agg(F.sum("n").alias("n"))
+    met = pairs.join(asked.select("query_id", "g", "term"), "query_id").repartition(n, "term", "chunk_id").join(found.repartition(n, "term", "chunk_id"), ["term", "chunk_id"])
+    # a query's rows of a text are dealt to one part, so both sums are made there
+    by_group = met.repartition(n, "query_id", "chunk_id").groupBy("query_id", "groups", "chunk_id", "g").agg(F.sum("n").alias("n"))
     whole = by_group.groupBy("query_id", "groups", "chunk_id").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("raw"))
     return whole.filter("met = groups").select("query_id", "chunk_id", "raw")
 
@@ -122,8 +136,7 @@ def search_batch(queries: DataFrame, chunks: DataFrame, index: DataFrame, *, now
     terms = work.write(terms_of(asked, glossary if synonyms else None))
     sized = work.write(terms.groupBy("query_id").agg((F.max("g") + 1).alias("groups"), F.max("new").alias("expanded")))
     # where each term is: in bodies, in split words
-    in_body = term_hits(terms, base, index, tokens, work).join(dates.select("chunk_id"), "chunk_id", "left_semi")
-    found = work.write(in_body.select("term", "chunk_id", "n"))
+    found = work.write(term_hits(terms, base, index, tokens, work))
     if words is None and "tokenized" in chunks.columns:
         words = split_words(chunks)
     listed = None

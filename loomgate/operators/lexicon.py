@@ -78,6 +78,21 @@ def tokens_of(patterns: DataFrame, dictionary: DataFrame) -> DataFrame:
     return met.filter((F.length("pattern") <= 3) | F.contains(_marked(F.col("gram")), F.col("pattern"))).select("pattern", "gram")
 
 
+#: Patterns that a vocabulary without a written dictionary is searched for one by one; for more its dictionary is made.
+MOST_PATTERNS = 1000
+
+
+def tokens_among(patterns: DataFrame, postings: DataFrame) -> DataFrame:
+    """tokens_of() without a written dictionary: a few patterns are looked for in each token, which is far less than listing its parts."""
+    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
+        return tokens_of(patterns, dictionary(postings))
+    grams = postings.select("gram").filter("gram <> ''").distinct().withColumns({"__marked": _marked(F.col("gram")), "__latin": _latin(F.col("gram"))})
+    p = F.broadcast(patterns.select("pattern", (F.length("pattern") == 1).alias("__one")))
+    # tokens of other scripts have parts of one character only
+    holds = F.when(F.col("__one"), F.contains(F.col("gram"), F.col("pattern"))).otherwise(F.col("__latin") & F.contains(F.col("__marked"), F.col("pattern")))
+    return grams.join(p, holds).select("pattern", "gram")
+
+
 def look_up(patterns: list[str], dictionary: DataFrame, most: int = 4096) -> dict[str, list[str] | None]:
     """The tokens of a few patterns, from the row groups of their parts alone; None for a pattern with more than `most`."""
     if not patterns:
