@@ -113,7 +113,7 @@ def divide(asked: DataFrame, found: DataFrame, work: Workspace) -> DataFrame:
     # so many parts that none has many more rows than PART_ROWS, however few bytes they are packed into
     n = (found.count() + (lead.agg(F.sum(F.col("texts") * F.col("groups"))).first()[0] or 0)) // PART_ROWS + 1
     first = asked.join(lead, ["query_id", "g"]).select("query_id", "groups", "term").distinct().join(found.select("term", "chunk_id"), "term")
-    pairs = first.select("query_id", "groups", "chunk_id").distinct()
+    pairs = first.select("query_id", "groups", "chunk_id").repartition(n, "query_id", "chunk_id").distinct()
     met = pairs.join(asked.select("query_id", "g", "term"), "query_id").repartition(n, "term", "chunk_id").join(found.repartition(n, "term", "chunk_id"), ["term", "chunk_id"])
     # a query's rows of a text are dealt to one part, so both sums are made there
     by_group = met.repartition(n, "query_id", "chunk_id").groupBy("query_id", "groups", "chunk_id", "g").agg(F.sum("n").alias("n"))
