@@ -49,7 +49,7 @@ PART_BYTES = 4 << 20
 
 
 def index_tokens(rows: DataFrame, text: str, *keys: str) -> DataFrame:
-    """(keys, gram): Latin and digit runs whole, other runs in pairs. They are set apart by blanks and split there, which takes a third of the time of single matches."""
+    """(keys, gram): Latin and digit runs whole, other runs in pairs. They are set apart by blanks and split there."""
     apart = F.split(F.regexp_replace(F.lower(text), APART, " $1$2$3 "), " ")
     return rows.select(*keys, F.explode(apart).alias("gram")).filter("gram <> ''")
 
