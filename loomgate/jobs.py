@@ -82,7 +82,7 @@ def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, roo
     parsed = written(parse_clauses(my_regs.select("regulation_id", F.col("body_text").alias("text"))))
     read_again = my_regs.select("regulation_id")
     highest_clause = top("clause")
-    t["clause"] = tables.update(spark, root, "clause", read_again, lambda old: ingest.upsert_clauses(old, parsed, highest_clause, read_again))
+    t["clause"] = tables.update(spark, root, "clause", read_again.unionByName(parsed.select("regulation_id")), lambda old: ingest.upsert_clauses(old, parsed, highest_clause, read_again))
     excel = of_file.filter("kind = 'excel' and content is not null").join(my_regs.select("regulation_id", F.col("source_post_id").alias("post_id")), "post_id")
     cells = matrix_cells(excel.select("regulation_id", "content"))
     lines, refused = parse_matrix(cells.filter("error is null").drop("error"))
@@ -93,11 +93,12 @@ def ingest_saved(spark: SparkSession, saved: DataFrame, contents: DataFrame, roo
     my_ids = mine.select("post_id")
     rebuilt = written(split_texts(spark, root, build_chunks(mine.drop("board_no"), my_regs.drop("body_text"), t["clause"].join(read_again, "regulation_id", "left_semi"), now=at), t["board"]))
     keyed = my_ids.select(F.col("post_id").alias("source_post_id"))
-    t["chunk"] = tables.update(spark, root, "chunk", keyed, lambda old: replace_posts(old, rebuilt, my_ids))
-    grams = postings(rebuilt).join(rebuilt.select("chunk_id", "source_post_id"), "chunk_id").select(tables.POSTINGS.fieldNames())
-    store.update(spark, f"{root}/postings", keyed, ["source_post_id"], lambda old: old.join(keyed, "source_post_id", "left_anti").select(grams.columns).unionByName(grams), tables.POSTINGS, sort=["gram", "chunk_id"])
-    listed = split_words(rebuilt).join(rebuilt.select("chunk_id", "source_post_id"), "chunk_id").select(tables.WORDS.fieldNames())
-    store.update(spark, f"{root}/words", keyed, ["source_post_id"], lambda old: old.join(keyed, "source_post_id", "left_anti").select(listed.columns).unionByName(listed), tables.WORDS, sort=["word", "chunk_id"])
+    of_chunks = rebuilt.select("chunk_id", "source_post_id")
+    t["chunk"] = tables.update(spark, root, "chunk", keyed.unionByName(of_chunks.select("source_post_id")), lambda old: replace_posts(old, rebuilt, my_ids))
+    grams = written(postings(rebuilt).join(of_chunks, "chunk_id").select(tables.POSTINGS.fieldNames()))
+    store.update(spark, f"{root}/postings", keyed.unionByName(grams.select("source_post_id")), ["source_post_id"], lambda old: old.join(keyed, "source_post_id", "left_anti").select(grams.columns).unionByName(grams), tables.POSTINGS, sort=["gram", "chunk_id"])
+    listed = written(split_words(rebuilt).join(of_chunks, "chunk_id").select(tables.WORDS.fieldNames()))
+    store.update(spark, f"{root}/words", keyed.unionByName(listed.select("source_post_id")), ["source_post_id"], lambda old: old.join(keyed, "source_post_id", "left_anti").select(listed.columns).unionByName(listed), tables.WORDS, sort=["word", "chunk_id"])
     parts = written(lexicon.dictionary(grams))
     store.update(spark, f"{root}/tokens", parts, ["part"], lambda old: old.unionByName(parts).distinct(), tables.TOKENS, sort=["part", "gram"])
     # counters and marks

@@ -18,8 +18,8 @@ from ..streaming.incremental import upsert_stream
 from .bindings import query, read
 
 
-def list_pages(spark, d) -> DataFrame:
-    """board_no, html: a list page per source, entries by falling number, with what such pages get wrong."""
+def list_pages(spark, d, numbers: int | None = None) -> DataFrame:
+    """board_no, page, html: a list page per source, or per source and so many doc_ids; entries by falling number, with what such pages get wrong."""
     n = F.col("doc_id").cast("string")
     entry = F.to_json(F.struct(
         F.when(F.col("doc_id") % 50 == 49, "x").otherwise(n).alias("art_seq_no"), F.concat(F.lit(" 제목 "), n, F.lit(" ")).alias("art_title"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")).alias("mbr_nick"),
@@ -27,8 +27,9 @@ def list_pages(spark, d) -> DataFrame:
         F.when(F.col("doc_id") % 2 == 0, "Y").otherwise("y").alias("add_file_yn"), F.lit("N").alias("notice_yn"),
     ))
     rows = read(spark, d, "documents").withColumn("board_no", F.substring("source", 4, 9).cast("int"))
-    listed = rows.groupBy("board_no").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e"))))), lambda x: x["e"]), ", ").alias("rows"))
-    return listed.select("board_no", F.concat(F.lit("<html><script>\nvar exData = ["), F.replace("rows", F.lit("제목 7 "), F.lit("제목\\' 7 ")), F.lit(",];\n</script></html>")).alias("html"))
+    rows = rows.withColumn("page", F.floor(F.col("doc_id") / numbers) + 1 if numbers else F.lit(1).cast("long"))
+    listed = rows.groupBy("board_no", "page").agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("e"))))), lambda x: x["e"]), ", ").alias("rows"))
+    return listed.select("board_no", "page", F.concat(F.lit("<html><script>\nvar exData = ["), F.replace("rows", F.lit("제목 7 "), F.lit("제목\\' 7 ")), F.lit(",];\n</script></html>")).alias("html"))
 
 
 @query("""SELECT CAST(substr(source, 4) AS INTEGER) AS board_no, doc_id AS art_no, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS INTEGER) AS position, CASE WHEN doc_id % 10 = 7 AND doc_id < 10 THEN '제목'' 7' ELSE '제목 ' || doc_id END AS title,

@@ -25,6 +25,8 @@ from pyspark.sql.types import StructType
 
 #: Rows of a part at most: some hundred MB of a usual table.
 ROWS = 2_000_000
+#: Rows that one task writes, about: a part that holds more is several files, dealt by the keys.
+FILE_ROWS = 100_000
 #: Bits that parts are told apart by at most: what shares so many is one key's, or nearly.
 MOST_BITS = 40
 #: Directory entries that stand in an expression; a larger directory is joined.
@@ -194,11 +196,14 @@ def lookup(spark: SparkSession, root: str, rows: DataFrame, keys: list[str], sch
     return read(spark, root, schema, parts, of=m).join(wanted, keys, "left_semi")
 
 
-def _write(spark: SparkSession, root: str, df: DataFrame, keys, leaves, version: int, sort, track) -> tuple[dict[str, str], dict[str, int], dict[str, int]]:
-    """Writes df under a folder of its own: (folder, rows) by leaf, and largest values."""
+def _write(spark: SparkSession, root: str, df: DataFrame, keys, leaves, version: int, sort, track, largest: int = 0) -> tuple[dict[str, str], dict[str, int], dict[str, int]]:
+    """Writes df under a folder of its own: (folder, rows) by leaf, and largest values. largest: rows of the largest part, about."""
     folder = f"v{version:06d}-{uuid.uuid4().hex[:8]}"
     path = f"{root}/data/{folder}"
-    placed(df, keys, leaves).repartition("part").sortWithinPartitions("part", *sort).write.partitionBy("part").parquet(path)
+    dealt, files = placed(df, keys, leaves), -(-largest // FILE_ROWS) if keys else 1
+    # a part's rows go to so many tasks, those of a key together; leaves are told by the highest bits of this hash, these by its rest
+    by = ["part", F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(files))] if files > 1 else ["part"]
+    dealt.repartition(*by).sortWithinPartitions("part", *sort).write.partitionBy("part").parquet(path)
     if not any(n.startswith("part=") for n in _names(spark, path)):
         return {}, {}, {}
     found = spark.read.schema(StructType([f for f in df.schema.fields if f.name in track]).add("part", "string")).parquet(path)
@@ -214,12 +219,13 @@ def _merged(old: dict[str, int], new: dict[str, int]) -> dict[str, int]:
 def write(spark: SparkSession, root: str, df: DataFrame, keys: Iterable[str], parts: int | None = None, version: int | None = None, sort: Iterable[str] = (), track: Iterable[str] = (), rows: int = ROWS) -> None:
     """The next version, whole: of so many parts, or of as many as its rows need."""
     keys, track = list(keys), [c for c in track if c in df.columns]
-    leaves = even(parts) if parts else even(-(-df.count() // rows)) if keys else ("0-0",)
+    total = df.count() if keys else 0
+    leaves = even(parts) if parts else even(-(-total // rows)) if keys else ("0-0",)
     for _ in range(100):
         before = manifest(spark, root)
         own = version is not None
         at = version if own else before.version + 1 if before else 0
-        of, n, most = _write(spark, root, df, keys, leaves, at, sort, track)
+        of, n, most = _write(spark, root, df, keys, leaves, at, sort, track, -(-total // len(leaves)))
         if _publish(spark, root, Manifest(at, of, n, _merged(before.most if before else {}, most), leaves), replace=own):
             return
         remove(spark, f"{root}/data/{next(iter(of.values()))}") if of else None
@@ -229,6 +235,7 @@ def write(spark: SparkSession, root: str, df: DataFrame, keys: Iterable[str], pa
 def update(spark: SparkSession, root: str, rows: DataFrame, keys: list[str], change: Callable[[DataFrame], DataFrame], schema: StructType | None = None, parts: int | None = None, version: int | None = None, sort: Iterable[str] = (), track: Iterable[str] = (), most_rows: int = ROWS) -> list[str]:
     """The parts that rows (of the key columns at least) fall in become change(what they held). Returns these parts.
 
+    rows are counted to tell how large parts become: where change makes several rows of one, give as many.
     change must keep to the keys of rows and to what it is given. A writer that was overtaken runs again over the newer parts;
     with a version of its own (a stream's batch) there is one writer, and the version replaces itself.
     """
@@ -244,12 +251,13 @@ def update(spark: SparkSession, root: str, rows: DataFrame, keys: list[str], cha
         old = read(spark, root, schema, touched, of=before) if before else None
         old = spark.createDataFrame([], schema or rows.schema) if old is None else old
         known = before.rows if before else {}
-        deeper = split(touched, {leaf: n + known.get(leaf, 0) for leaf, n in incoming.items()}, most_rows) if keys else {}
+        expected = {leaf: n + known.get(leaf, 0) for leaf, n in incoming.items()}
+        deeper = split(touched, expected, most_rows) if keys else {}
         grown = tuple(x for leaf in leaves for x in deeper.get(leaf, [leaf]))
         own = version is not None
         at = version if own else before.version + 1 if before else 0
         new = change(old)
-        of, n, most = _write(spark, root, new, keys, grown, at, sort, [c for c in track if c in new.columns])
+        of, n, most = _write(spark, root, new, keys, grown, at, sort, [c for c in track if c in new.columns], max(-(-n // len(deeper.get(leaf, [leaf]))) for leaf, n in expected.items()))
         mine = {x for leaf in touched for x in deeper.get(leaf, [leaf])}
         if not set(of) <= mine:
             raise ValueError(f"{root}: a change made rows outside the parts of its keys: {sorted(set(of) - mine)[:5]}")
@@ -281,7 +289,7 @@ def compact(spark: SparkSession, root: str, keys: list[str], schema: StructType
     gone = [x for some in joined.values() for x in some]
     old = read(spark, root, schema, gone, of=m)
     leaves = tuple(sorted(kept, key=_leaf))
-    of, n, _ = _write(spark, root, old, keys, leaves, m.version + 1, sort, []) if old is not None else ({}, {}, {})
+    of, n, _ = _write(spark, root, old, keys, leaves, m.version + 1, sort, [], max(rows[x] for x in joined)) if old is not None else ({}, {}, {})
     rest = {x: f for x, f in m.of.items() if x not in gone}
     if not _publish(spark, root, Manifest(m.version + 1, rest | of, {x: c for x, c in m.rows.items() if x not in gone} | n, m.most, leaves), replace=False):
         remove(spark, f"{root}/data/{next(iter(of.values()))}") if of else None
