@@ -50,6 +50,15 @@ def counted(term: str) -> bool:
     return bool(re.fullmatch("[a-z]+|[0-9]+", term))
 
 
+def met(need: Need, gram: Column) -> Column:
+    """Whether a token is one that the need asks for, without the dictionary. Patterns of several characters are Latin runs with marks."""
+    p = need.pattern
+    if need.whole or len(p) == 1:
+        return gram == p if need.whole else F.contains(gram, F.lit(p))
+    begins, ends, run = p.startswith(BEGIN), p.endswith(END), p.strip(BEGIN + END)
+    return gram == run if begins and ends else F.startswith(gram, F.lit(run)) if begins else F.endswith(gram, F.lit(run)) if ends else F.contains(gram, F.lit(run))
+
+
 def parts_of(pattern: str) -> list[str]:
     return [pattern] if len(pattern) <= 3 else list(dict.fromkeys(pattern[i : i + 3] for i in range(len(pattern) - 2)))
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,8 @@ def normal(c: Column) -> Column:
 
 
 #: White space but blanks, and what is no Latin letter: others of a run in pairs that overlap (1), the last of such a run, a lone one (2), digits (3).
-APART = r"(?U)[\s&&[^ ]]|(?=([^\sa-z0-9]{2}))[^\sa-z0-9]|(?<=[^\sa-z0-9])[^\sa-z0-9]|([^\sa-z0-9])|([0-9]+)"
+#: Latin letters and blanks, most of a text, are passed by before any of these is tried.
+APART = r"(?U)(?![a-z ])(?:[\s&&[^ ]]|(?=([^\sa-z0-9]{2}))[^\sa-z0-9]|(?<=[^\sa-z0-9])[^\sa-z0-9]|([^\sa-z0-9])|([0-9]+))"
 #: Bytes of text whose tokens one task counts: its memory is that of so many, however large the corpus.
 PART_BYTES = 4 << 20
 
@@ -96,15 +99,22 @@ def expand(groups: list[list[str]], glossary: DataFrame) -> list[list[str]]:
     return [list(dict.fromkeys(s for t in g for s in table.get(t) or [t])) for g in groups]
 
 
-def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]], tokens: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
-    """Chunks that have, of some term of every group, all that it needs in the postings, and those with split words of their own.
+def _met_at_once(index: DataFrame, wanted: list[list[list[lexicon.Need]]]) -> DataFrame | None:
+    """chunk_id of chunks that have all needs of some term of every group, in one pass over the postings; None where no group narrows."""
+    wanted = [g for g in wanted if all(g)]
+    every = list(dict.fromkeys(n for g in wanted for t in g for n in t))
+    if not every:
+        return None
+    met = [lexicon.met(n, F.col("gram")) for n in every]
+    have = index.filter(reduce(or_, met)).groupBy("chunk_id").agg(*(F.bool_or(m).alias(f"__{i}") for i, m in enumerate(met)))
+    of = lambda t: reduce(and_, (F.col(f"__{every.index(n)}") for n in t))
+    return have.filter(reduce(and_, (reduce(or_, map(of, g)) for g in wanted))).select("chunk_id")
 
-    tokens: the dictionary of the postings; made from them if there is none. A pattern that very many tokens hold does not
-    narrow. words: (word, chunk_id) of the split words; then only chunks with some term of every group among those come.
-    """
-    wanted = [[lexicon.needs(t) for t in g] for g in groups]
+
+def _met_by_tokens(index: DataFrame, wanted: list[list[list[lexicon.Need]]], tokens: DataFrame) -> DataFrame | None:
+    """The same with the dictionary: only the postings of its own grams are read."""
     patterns = sorted({n.pattern for g in wanted for t in g for n in t if not n.whole})
-    held = lexicon.look_up(patterns, lexicon.dictionary(index) if tokens is None and patterns else tokens)
+    held = lexicon.look_up(patterns, tokens)
     grams_of = lambda n: [n.pattern] if n.whole else held[n.pattern]
     narrow = None
     for g in wanted:
@@ -121,6 +131,17 @@ def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]], tok
             some = some | whole
         ids = have.filter(some).select("chunk_id")
         narrow = ids if narrow is None else narrow.join(ids, "chunk_id", "left_semi")
+    return narrow
+
+
+def candidates(chunks: DataFrame, index: DataFrame, groups: list[list[str]], tokens: DataFrame | None = None, words: DataFrame | None = None) -> DataFrame:
+    """Chunks that have, of some term of every group, all that it needs in the postings, and those with split words of their own.
+
+    tokens: the dictionary of the postings; a pattern that very many of them hold does not narrow. Without one each posting
+    is looked at, once for all terms: no dictionary is made for a search. words: (word, chunk_id) of the split words; then only chunks with some term of every group among those come.
+    """
+    wanted = [[lexicon.needs(t) for t in g] for g in groups]
+    narrow = _met_at_once(index, wanted) if tokens is None else _met_by_tokens(index, wanted, tokens)
     if narrow is None:
         return chunks
     if "tokenized" not in chunks.columns:
