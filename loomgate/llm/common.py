@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there, and lost executors lose nothing.
 
-    Later joins see exact sizes, and both of their sides are plain exchanges, so AQE may split hot keys.
+    Later joins see the sizes of files, and both of their sides are plain exchanges, so AQE may split hot keys.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgate-{uuid.uuid4().hex}"
@@ -60,6 +60,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_rows(df: DataFrame) -> DataFrame:
+    """df, which a join sorts and merges and never broadcasts. For what grows with the input: Spark sizes a table by its files,
+    which are compressed, and by its columns, and doesn't see the rows that explode() adds."""
+    return df.hint("merge")
+
+
 def scored(fn_factory: Callable[[], Callable[[list], dict]], schema: str, *cols: str | Column) -> Column:
     """A struct column computed by an Arrow UDF over batches of values.
 

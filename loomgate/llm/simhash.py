@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, read, scored
+from .common import discard, materialize, read, scored, whole_rows
 from .components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -111,7 +111,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     bit = F.when(first, low).otherwise(high)
     at = F.when(bit == 0, 0).otherwise(F.bit_count(bit - 1)).cast("long")
     stands = F.shiftrightunsigned(F.col("key"), 32) == F.when(first, at).otherwise(at + 32)
-    return a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits) & stands).select("a", "b")
+    return a.join(whole_rows(b), "key").filter((F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits) & stands).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id") -> DataFrame:
@@ -119,12 +119,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, doc_id: str = "doc_id"
     fps = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), "text"), size).select("doc_id", "fp"))
     reps = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     joined = materialize(components(links(reps.select("fp"))))
-    of = reps.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    of = reps.join(whole_rows(joined.withColumnRenamed("node", "fp")), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     of = materialize(of)
     least = materialize(of.groupBy("component").agg(F.min("rep").alias("component_id")))
-    classes = materialize(of.join(least, "component").select("fp", "component_id"))
+    classes = materialize(of.join(whole_rows(least), "component").select("fp", "component_id"))
     discard(reps, joined, of, least)
-    return fps.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return fps.join(whole_rows(classes), "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
