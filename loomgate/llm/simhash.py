@@ -230,15 +230,15 @@ def _verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, size: int, le
         of_word = word_hashes()
         return lambda texts: {"h": [shingle_set(t, size, of_word).view(np.int64) for t in texts]}
 
-    side = lambda c: sizes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("spread").alias(f"{c}_spread"))
+    side = lambda c: whole_rows(sizes.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("spread").alias(f"{c}_spread")))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("s", scored(can, "can boolean", "a_n", "a_spread", "b_n", "b_spread"))
     pairs = materialize(pairs.filter("s.can").select("a", "b"))
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(sizes.select("node", "row"), "node"))
+    wanted = materialize(nodes.join(whole_rows(sizes.select("node", "row")), "node"))
     # rows that repeat a doc_id and text are one
-    sets = _among(docs, wanted).join(wanted, "row").dropDuplicates(["row"]).select("node", scored(make, "h array<long>", F.col("text"))["h"].alias("h"))
+    sets = _among(docs, wanted).join(whole_rows(wanted), "row").dropDuplicates(["row"]).select("node", scored(make, "h array<long>", F.col("text"))["h"].alias("h"))
     sets = materialize(sets)
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("h").alias(f"{c}_h"))
+    side = lambda c: whole_rows(sets.select(F.col("node").alias(c), F.col("h").alias(f"{c}_h")))
     both = F.size(F.array_intersect("a_h", "b_h"))
     enough = both * (least.numerator + least.denominator) >= (F.size("a_h") + F.size("b_h")) * least.numerator
     held = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(enough).select("a", "b"))
@@ -256,12 +256,12 @@ def _apart(rest: DataFrame, may) -> DataFrame:
     tally = tally.agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"))
     tally = tally.select("key", "all", F.col("top.c").alias("top"), F.col("top.component").alias("most")).filter("top < all")
     parts = F.ceil(F.col("all") * (F.col("all") - F.col("top")) / F.lit(PAIRS)).cast("int")
-    mixed = materialize(rest.join(tally.select("key", "most", parts.alias("parts")), "key"))
+    mixed = materialize(rest.join(whole_rows(tally.select("key", "most", parts.alias("parts"))), "key"))
     side = lambda c: [F.col(x).alias(f"{c}_{x}") for x in ("node", "n", "pos", "component")]
     a = mixed.filter("component <> most").select("key", "most", *side("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     b = mixed.select("key", *side("b"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     once = (F.col("b_component") == F.col("most")) | (F.col("a_node") < F.col("b_node"))
-    pairs = a.join(b, ["key", "part"]).filter((F.col("a_component") != F.col("b_component")) & once & may(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))
+    pairs = a.join(whole_rows(b), ["key", "part"]).filter((F.col("a_component") != F.col("b_component")) & once & may(F.col("a_n"), F.col("a_pos"), F.col("b_n"), F.col("b_pos")))
     pairs = materialize(pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
     discard(mixed)
     return pairs
@@ -270,8 +270,8 @@ def _apart(rest: DataFrame, may) -> DataFrame:
 def _near(sizes: DataFrame) -> DataFrame:
     """sizes: node, fp. Pairs a < b of nodes that deletion variants link, through the first node of each fingerprint."""
     firsts = materialize(sizes.groupBy("fp").agg(F.min("node").alias("first")))
-    same = sizes.join(firsts, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    side = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    same = sizes.join(whole_rows(firsts), "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda c: whole_rows(firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")))
     met = links(firsts.select("fp")).join(side("a"), "a").join(side("b"), "b")
     return same.unionByName(met.select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b")))
 
@@ -305,15 +305,15 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
     texts = found.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")).alias("f")).select("digest", "f.*")
     # nodes are numbers in the order of doc_id, so the first of a bucket is what its near copies were made of, if anything
     texts = materialize(texts.orderBy("no_id", "doc_id", "digest").withColumn("node", F.monotonically_increasing_id()))
-    sizes = materialize(found.select("at", "n", "spread", "fp").join(texts.select("at", "node", "row"), "at").drop("at"))
-    sets = materialize(found.select("at", "n", "keys").join(texts.select("at", "node"), "at").select("node", "n", "keys"))
+    sizes = materialize(found.select("at", "n", "spread", "fp").join(whole_rows(texts.select("at", "node", "row")), "at").drop("at"))
+    sets = materialize(found.select("at", "n", "keys").join(whole_rows(texts.select("at", "node")), "at").select("node", "n", "keys"))
     index = sets.select("node", "n", F.posexplode("keys").alias("pos", "key"))
     # the first of each bucket, its size and place as one number; a bucket of one is none
     whole = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
     first = index.groupBy("key").agg(F.min("node").alias("first"), F.min_by(whole, "node").alias("of"), F.count(F.lit(1)).alias("rows"))
     of = F.shiftright("of", 32).alias("first_n"), F.col("of").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).alias("first_pos")
     first = materialize(first.filter("rows > 1").select("key", "first", *of))
-    index = materialize(index.join(first, "key").filter(F.col("node") != F.col("first")))
+    index = materialize(index.join(whole_rows(first), "key").filter(F.col("node") != F.col("first")))
     discard(sets, first)
 
     def may(an, ap, bn, bp):
@@ -325,24 +325,24 @@ def near_copies(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float =
     # the deletion variants come first: what they link is verified, and the buckets are asked for other pairs only
     near = materialize(_near(sizes))
     linked = _verified(near, sizes, docs, size, least)
-    pairs = materialize(to_first.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(near, ["a", "b"], "left_anti"))
+    pairs = materialize(to_first.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().join(whole_rows(near), ["a", "b"], "left_anti"))
     held = _verified(pairs, sizes, docs, size, least)
     edges = materialize(linked.unionByName(held))
     discard(near, linked, held)
     groups = materialize(components(edges))
-    rest = index.select("key", "node", "n", "pos").join(groups, "node", "left")
+    rest = index.select("key", "node", "n", "pos").join(whole_rows(groups), "node", "left")
     rest = materialize(rest.withColumn("component", F.coalesce("component", "node")))
     left = _apart(rest, may)
     discard(pairs, index, rest, groups)
     more = _verified(left, sizes, docs, size, least)
     groups = materialize(components(edges.unionByName(more)))
     discard(left, edges, more, sizes)
-    of = texts.join(groups, "node", "left").select("digest", "node", "row", F.coalesce("component", "node").alias("component"))
+    of = texts.join(whole_rows(groups), "node", "left").select("digest", "node", "row", F.coalesce("component", "node").alias("component"))
     of = materialize(of)
     stays = of.groupBy("component").agg(F.min(F.struct("node", "row")).alias("f")).select("component", F.col("f.row").alias("stays"))
-    stays = materialize(of.join(stays, "component").select("digest", "stays"))
+    stays = materialize(of.join(whole_rows(stays), "component").select("digest", "stays"))
     discard(of, groups, texts)
-    gone = materialize(found.select("doc_id", "row", "digest").join(stays, "digest").filter("row <> stays").select("doc_id", "row").distinct())
+    gone = materialize(found.select("doc_id", "row", "digest").join(whole_rows(stays), "digest").filter("row <> stays").select("doc_id", "row").distinct())
     discard(found, stays)
     return gone
 
@@ -358,5 +358,5 @@ def keep_one(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = STA
     doubtful = materialize(gone.unionByName(repeated).distinct())
     whole = docs.select(_row().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")).withColumn("s", _places(doubtful))
     # most rows are seen to stay as they are read; only the others travel
-    rest = whole.filter("s.in").select("row", "whole").join(gone, "row", "left_anti").groupBy("row").agg(F.first("whole").alias("whole"))
+    rest = whole.filter("s.in").select("row", "whole").join(whole_rows(gone), "row", "left_anti").groupBy("row").agg(F.first("whole").alias("whole"))
     return whole.filter("not s.in").select("whole.*").union(rest.select("whole.*"))
